@@ -176,3 +176,59 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     group = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
     return group, at
+
+
+def equal_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries whose key occurs at least twice, ordered by key and then place; and where each key's run begins (with the end)."""
+    n = len(keys)
+    bits = np.uint64(max(1, int(n - 1).bit_length()) if n else 1)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    packed = (keys & ~low) | np.arange(n, dtype=np.uint64)
+    packed.sort()  # one plain sort of key and place together; keys that only share their high bits are parted below
+    high = packed >> bits
+    same = high[1:] == high[:-1]
+    near = np.zeros(n, bool)
+    near[1:] |= same
+    near[:-1] |= same
+    at = (packed[near] & low).astype(np.int64)
+    k = keys[at]
+    order = np.lexsort((at, k))
+    at, k = at[order], k[order]
+    new = np.ones(len(at), bool)
+    new[1:] = k[1:] != k[:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(at)))
+    many = np.repeat(size > 1, size)
+    at = at[many]
+    size = size[size > 1]
+    return at, np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """True where the key occurs more than once."""
+    out = np.zeros(len(keys), bool)
+    out[equal_runs(keys)[0]] = True
+    return out
+
+
+def seen_before(keys: np.ndarray) -> np.ndarray:
+    """True where an earlier entry has the same key."""
+    at, begin = equal_runs(keys)
+    out = np.zeros(len(keys), bool)
+    out[at] = True
+    out[at[begin[:-1]]] = False
+    return out
+
+
+def row_sums(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many entries of each row's range are set."""
+    total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+    return total[off[1:]] - total[off[:-1]]
+
+
+def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Mask of the n places that lie in [s, s + width) for some start."""
+    edge = np.zeros(n + width + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + width, -1)
+    return np.cumsum(edge[:n]) > 0
