@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echolot.llm import packing, quality
+from echolot.llm import neardup, packing, quality
 from echolot.llm.queries import vocabulary_path
 from echolot.scratch import written
 
@@ -13,11 +13,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(docs)
+
+
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary_path())
 
 
-STAGES = [("quality", quality_rules), ("pack", pack_windows)]
+STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("pack", pack_windows)]
 ORACLE_SQL = None
 
 

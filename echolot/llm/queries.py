@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, warc
+from . import chat, neardup, packing, quality, warc
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -46,5 +50,5 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_cascade, op6_warc_captures, op8_chat_format, op9_pack_windows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op6_warc_captures, op8_chat_format, op9_pack_windows)}
 ORACLE_SQL: dict[str, str] = {}
