@@ -10,8 +10,8 @@ are revisits, which carry the HTTP header but not the payload.  The smallest id
 combined before the shuffle; it is joined back by digest, a join whose skewed partitions Spark splits.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; pages with a null id are archived with an id
-of "null" and compared last; repeated rows (same id) are captures of their own, and all but one of equal rows are revisits
-of their own id; an empty table writes no records; other columns are ignored.
+of "null" and compared last; rows that repeat an id are captures of their own, so of equal rows all but one are revisits of
+their own id; an empty table writes no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,22 +50,20 @@ def _record(kind: str, head: dict[str, Column], block: Column) -> Column:
 
 
 def captures(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """key, page_id, url, payload, digest, and of a revisit the key of its response."""
+    """page_id, url, payload, digest, a key for each row, and of a revisit the key of its response (origin)."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     )
-    rows = rows.withColumn("digest", digest(F.col("payload").cast("binary"))).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
-    large = F.octet_length("payload") >= min_payload
-    # The payload hash is a part of the key so that equal digests of other payloads never meet.
-    rows = rows.withColumn("same", F.when(large, F.concat(F.col("digest"), F.lit(":"), F.sha2(F.col("payload"), 256)))).withColumn("order", F.coalesce("page_id", F.lit((1 << 63) - 1)))
-    first = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    # The row's place in its input partition tells repeated ids apart; it is fixed before any shuffle.
+    rows = rows.withColumn("digest", digest(F.col("payload").cast("binary"))).withColumn("me", F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("id"), F.monotonically_increasing_id().alias("row")))
+    # The payload's SHA-256 is a part of the key, so payloads that only share the SHA-1 never meet.
+    rows = rows.withColumn("same", F.when(F.octet_length("payload") >= min_payload, F.concat(F.col("digest"), F.sha2("payload", 256))))
+    first = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("me").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     rows = rows.join(first, "same", "left")
-    # Rows that repeat an id: one of them is the response.
-    twin = F.row_number().over(Window.partitionBy("order", "same").orderBy(F.lit(1)))
-    rows = rows.withColumn("twin", F.when(F.col("first") == F.col("order"), twin).otherwise(F.lit(1)))
-    return rows.withColumn("origin", F.when((F.col("first") < F.col("order")) | (F.col("twin") > 1), F.when(F.col("first") == (1 << 63) - 1, F.lit("null")).otherwise(F.col("first").cast("string"))))
+    key = lambda c: F.concat(F.when(c["id"] == (1 << 63) - 1, F.lit("null")).otherwise(c["id"].cast("string")), F.lit("."), c["row"].cast("string"))
+    return rows.select("page_id", "url", "payload", "digest", key(F.col("me")).alias("key"), F.when(F.col("first") != F.col("me"), key(F.col("first"))).alias("origin"))
 
 
 def records(found: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -176,7 +174,7 @@ def page_digests(spark: SparkSession, pages: DataFrame, min_payload: int = 0) ->
     path = table_path(spark, "warc")
     write_archives(pages, path, min_payload)
     got = assemble(read_records(spark, path).withColumn("digest", F.when(F.col("kind") == "response", _sha1_of("payload")).otherwise(F.col("digest"))).withColumn("payload_length", F.when(F.col("kind") == "response", F.octet_length("payload")).otherwise(F.col("payload_length"))).withColumn("payload", F.when(F.col("kind") == "metadata", F.col("payload"))))
-    number = lambda c: F.try_element_at(F.split(F.rtrim(c, F.lit(">")), ":"), F.lit(-1)).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r":(-?\d+)\.\d+>$", 1).try_cast("long")
     return got.select(
         number(F.col("capture")).alias("page_id"),
         F.col("response.payload_length").alias("payload_bytes"),
