@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, packing, quality, warc
+from . import chat, neardup, packing, quality, substring, suffixes, warc
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,10 +32,20 @@ def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(spark, _table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The conversation that the contract adds.
 EXTRA_TURN = "</s>[INST] ok [/INST]"
 
@@ -50,5 +60,5 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op6_warc_captures, op8_chat_format, op9_pack_windows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op5_substring_dedup, op6_warc_captures, op8_chat_format, op9_pack_windows, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
