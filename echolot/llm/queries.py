@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, packing, quality, substring, suffixes, warc
+from . import chat, mixing, neardup, packing, quality, substring, suffixes, topk, warc
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,6 +32,15 @@ def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
+def op3_mixture_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.document_rates(_table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir))
+    return rates.select("doc_id", "n_tokens", *(F.round(F.col("p")[k], 6).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)), F.round("rate", 6).alias("rate"), "copies")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,6 +55,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
 #: The conversation that the contract adds.
 EXTRA_TURN = "</s>[INST] ok [/INST]"
 
@@ -60,5 +73,5 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op5_substring_dedup, op6_warc_captures, op8_chat_format, op9_pack_windows, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op3_mixture_rates, op5_substring_dedup, op6_warc_captures, op7_exact_top_k, op8_chat_format, op9_pack_windows, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
