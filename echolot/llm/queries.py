@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, packing, quality, substring, suffixes, topk, warc
+from . import chat, lm, mixing, neardup, packing, quality, substring, suffixes, topk, warc
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,6 +41,10 @@ def op3_mixture_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "n_tokens", *(F.round(F.col("p")[k], 6).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)), F.round("rate", 6).alias("rate"), "copies")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -73,5 +77,5 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op3_mixture_rates, op5_substring_dedup, op6_warc_captures, op7_exact_top_k, op8_chat_format, op9_pack_windows, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op3_mixture_rates, op4_lm_score, op5_substring_dedup, op6_warc_captures, op7_exact_top_k, op8_chat_format, op9_pack_windows, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
