@@ -1,10 +1,8 @@
-"""Name of each registered query: the Spark callable and the SQL that must give the same rows."""
+"""Name of each registered query: the Spark callable, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import duplicate, evaluation, frequency, report  # noqa: F401  (they register their queries)
+from .plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

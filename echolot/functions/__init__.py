@@ -1 +1 @@
-"""TODO"""
+"""Column expressions and Arrow functions over token sequences."""

@@ -1 +1 @@
-"""TODO"""
+"""Readers and writers: checked tables, token corpora, tolerant logs."""
