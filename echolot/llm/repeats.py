@@ -111,10 +111,13 @@ def anchors(h: np.ndarray, first: np.ndarray, units: Units) -> tuple[np.ndarray,
     return start, (sliding_min(key, units.length - units.gram + 1)[start] & _LOW).astype(np.int64)
 
 
-def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """doc_id as given, doc and tie (never null) and the text (a null is empty)."""
+def keyed(docs: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
+    """A struct of the columns to keep, doc and tie (never null) and the text (a null is empty).  The tie is 0 if no id repeats."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(body).bitwiseAND(F.lit(0x7FFFFF)).alias("tie"), body.alias("body"))
+    doc = F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1))
+    unique = not docs.select(doc.alias("doc")).groupBy("doc").count().where("count > 1").take(1)
+    tie = F.lit(0).cast("long") if unique else F.xxhash64(body).bitwiseAND(F.lit(0x7FFFFF))
+    return docs.select(F.struct(*keep).alias("rest"), doc.alias("doc"), tie.alias("tie"), body.alias("body"))
 
 
 def _batch_anchors(batch: pa.RecordBatch, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,13 +251,23 @@ def stretches(marked: DataFrame, units: Units, hot: frozenset[int]) -> DataFrame
             kinds[o[again]] = _KNOWN
             keep[o[twin]] = False
         known = kinds == _KNOWN
+        if (known & keep).any():  # runs of stretches that follow one another become one row
+            k = np.flatnonzero(known & keep)
+            k = k[np.lexsort((at[k], doc[k]))]
+            head = np.append(True, (doc[k][1:] != doc[k][:-1]) | (at[k][1:] != at[k][:-1] + n[k][:-1]))
+            total = np.concatenate(([0], np.cumsum(n[k])))
+            begin = np.flatnonzero(head)
+            n = n.copy()
+            n[k[begin]] = total[np.append(begin[1:], len(k))] - total[begin]
+            keep[k[~head]] = False
         key = np.where(known, mix(key ^ mix(doc.astype(np.uint64) + at.astype(np.uint64))), key)
         blank = pa.nulls(len(key), pa.binary())
         body = blank if body is None else pa.compute.if_else(pa.array(known), pa.scalar(None, pa.binary()), body)
         out = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), pa.array(kinds), pa.array(anchor.astype(np.int32)), pa.array(n.astype(np.int32)), body], names=["key", "doc", "at", "kind", "anchor", "n", "body"])
         return out if keep.all() else out.filter(pa.array(keep))
 
-    return marked.select("doc", "tie", "body", "places").mapInArrow(run, _STRETCHES)
+    # rest isn't used here, but with it the texts' exchange is the one that the last join reads, and Spark reuses it.
+    return marked.select("doc", "tie", "body", "places", "rest").mapInArrow(run, _STRETCHES)
 
 
 @dataclass
@@ -352,15 +365,15 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def with_repeats(docs: DataFrame, units: Units, resolve: Resolver, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, body and begins, ends: the unit ranges of the text that repeated windows cover."""
-    base = keyed(docs, id, text)
+def with_repeats(docs: DataFrame, units: Units, resolve: Resolver, id: str = "doc_id", text: str = "text", hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
+    """rest (a struct of the columns to keep, by default the id), body and begins, ends: the unit ranges of the text that repeated windows cover."""
+    base = keyed(docs, id, text, [id] if keep is None else keep)
     # Both joins deal the texts out by the same key, so Spark moves them once and reads the exchange twice.
-    texts = base.select("doc_id", "doc", "tie", "body")
+    texts = base.select("rest", "doc", "tie", "body")
     marked = texts.join(repeated_anchors(base, units), ["doc", "tie"])
     runs = repeated_runs(stretches(marked, units, hot_anchors(base, units, hot)), units.length, resolve)
     runs = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    return texts.join(runs, ["doc", "tie"], "left").select("doc_id", "body", F.col("runs.begin").alias("begins"), F.col("runs.end").alias("ends"))
+    return texts.join(runs, ["doc", "tie"], "left").select("rest", "body", F.col("runs.begin").alias("begins"), F.col("runs.end").alias("ends"))
 
 
 def covered_units(batch: pa.RecordBatch, c: Chunk, first: np.ndarray, begins: int, ends: int) -> np.ndarray:

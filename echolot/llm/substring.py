@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .repeats import HOT, Block, Words, covered_units, with_repeats
 from .textops import Chunk, chunks, mix, ragged, seen_before, word_hashes, words
@@ -75,6 +76,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(np.diff(w.first)), pa.array(total[w.first[1:]] - total[w.first[:-1]]), kept], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     found = with_repeats(docs, Words(length, seed), resolver(length, seed), id, text, hot)
+    found = found.select(F.col("rest")[id].cast("long").alias("doc_id"), "body", "begins", "ends")
     return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -14,6 +14,7 @@ Bytes are compared themselves, not hashes.
 
 Defined cases: a null text is empty; matches never cross documents; ties, null ids and repeated rows are ordered as
 repeats.py says; an empty table gives an empty result; columns other than id and text are ignored by ``remove_repeats``.
+``deduplicate`` keeps all columns, whatever their names; a character that lost some of its bytes goes.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .repeats import HOT, Block, Bytes, covered_units, with_repeats
 from .textops import chunks, ragged
 
-LENGTH, SEED = 100, 32
+LENGTH, SEED = 100, 24
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members in one way.
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Suffixes in a bucket, about.
@@ -164,5 +167,26 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                 kept = pa.Array.from_buffers(pa.large_binary(), c.n, [None, pa.py_buffer(off), pa.py_buffer(c.data[~gone])]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), *map(pa.array, (size, removed, spans)), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_repeats(docs, Bytes(length, seed), resolver(length), id, text, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = with_repeats(docs, Bytes(length, seed), resolver(length), id, text, hot).select(F.col("rest")[id].cast("long").alias("doc_id"), "body", "begins", "ends")
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
+
+
+def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str = "n_chars", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """docs with what is left of each text (a null one is then empty); the column chars, if there is one, follows the text."""
+    others = [c for c in docs.columns if c != text]
+    found = with_repeats(docs, Bytes(length, seed), resolver(length), id, text, hot, others)
+    schema = T.StructType([found.schema["rest"], T.StructField("kept", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1)):
+                gone = covered_units(batch, c, c.off, 2, 3)
+                kept = [c.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(c.off[:-1], c.off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(kept, pa.string())], names=["rest", "kept"])
+
+    left = found.mapInArrow(run, schema)
+    column = {c: F.col("rest")[c] for c in others} | {text: F.col("kept")}
+    if chars in column:
+        column[chars] = F.length("kept").cast(docs.schema[chars].dataType)
+    return left.select(*(column[c].alias(c) for c in docs.columns))
