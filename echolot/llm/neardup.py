@@ -4,9 +4,9 @@
    the signature, and an empty bin takes the value of a filled one that a fixed hash sequence of the bin's number finds.
 2. Texts with the same set are one node (grouped by a 128-bit hash of the set, combined before the shuffle), so thousands of
    copies cost one row from here on.
-3. Bands of the signature are buckets.  A bucket links its members to its smallest and its largest node only, never all pairs.
-   Members that the full-set check parts from both are linked anew: to the ends of what is left and of what did hold, until
-   nothing is left.
+3. Bands of the signature are buckets, and so are pairs of neighbouring bands.  A bucket ties each member to its smallest and
+   its largest node only, never all pairs.  A bucket of one band gathers nearly every pair that is similar enough; where it
+   also gathers strangers, so that its ends are not similar to all members, the narrower buckets part them.
 4. Every candidate edge is checked on full sets; components come from alternating large-star and small-star steps.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; one with fewer words than a
@@ -163,42 +163,19 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _ends(members: DataFrame) -> DataFrame:
-    return members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-
-
 def links(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: verified links between the nodes (smallest ids) of different sets."""
     nodes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = _ends(members).where("lo < hi")
-    live = cut(members.join(buckets, "key"))
-    wanted = live.select(F.col("node").alias("doc_id")).distinct()
-    texts = cut(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
-    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    def pairs(rows: DataFrame, *centres: str) -> DataFrame:
-        return rows.select(F.explode(F.array(*(pair("node", c) for c in centres))).alias("p")).where("p.a < p.b").select("p.a", "p.b").distinct()
-
-    tested = cut(linked_pairs(pairs(live, "lo", "hi"), texts, k, percent))
-    good = tested.where("linked").select("a", "b")
-    apart = _apart(live, good, ["lo", "hi"])
-    while (left := cut(apart)).take(1):
-        held = live.select("key", "node").join(left.select("key", "node"), ["key", "node"], "left_anti").join(left.select("key").distinct(), "key", "left_semi")
-        again = left.select("key", "node").join(_ends(left), "key").join(_ends(held).select("key", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "key", "left")
-        again = again.withColumn("lo2", F.coalesce("lo2", "lo")).withColumn("hi2", F.coalesce("hi2", "hi"))
-        new = pairs(again, "lo", "hi", "lo2", "hi2").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = cut(linked_pairs(new, texts, k, percent))
-        tested = tested.union(more)
-        good = good.union(more.where("linked").select("a", "b"))
-        apart = _apart(again, good, ["lo", "hi", "lo2", "hi2"])
-    return good
-
-
-def _apart(rows: DataFrame, good: DataFrame, centres: list[str]) -> DataFrame:
-    """Members (key, node) that are neither an end of their bucket nor linked to one of its centres."""
-    tied = rows.select("key", "node", F.explode(F.array(*centres)).alias("c")).select("key", "node", F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).join(good.distinct(), ["a", "b"], "left_semi").select("key", "node").distinct()
-    return rows.where("node != lo and node != hi").select("key", "node").join(tied, ["key", "node"], "left_anti")
+    bands = F.col("bands")
+    turned = F.concat(F.slice(bands, 2, F.size(bands) - 1), F.slice(bands, 1, 1))
+    double = F.zip_with(bands, turned, lambda x, y: F.xxhash64(x, y))
+    members = nodes.select("node", F.explode(F.concat(bands, double)).alias("key"))
+    ends = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    pair = lambda c: F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
+    pairs = cut(members.join(ends, "key").select(F.explode(F.array(pair("lo"), pair("hi"))).alias("p")).where("p.a < p.b").select("p.a", "p.b").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    return linked_pairs(pairs, cut(texts), k, percent).where("linked").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
