@@ -140,9 +140,9 @@ def attention_entropy(spark, sf):
     return _vectors(spark, sf).withColumn("w", M.softmax(F.col("e"))).select("vec_id", r9(M.attention_entropy(F.col("w"))).alias("entropy"))
 
 
-@query(f"""WITH {_VEC}, t AS (SELECT vec_id, [round(x, 3) FOR x IN e[1:8]] AS a FROM v)
+@query(f"""WITH {_VEC}, t AS (SELECT vec_id, [floor(x * 1000) FOR x IN e[1:8]] AS a FROM v)
 SELECT vec_id, len(a)::BIGINT AS n, round(list_sum(a), 6) AS total FROM t""")
 def stringified_array_parse(spark, sf):
-    text = F.concat(F.lit("["), F.array_join(F.transform(F.slice("e", 1, 8), lambda x: F.round(x, 3).cast("string")), "  "), F.lit("]"))
+    text = F.concat(F.lit("["), F.array_join(F.transform(F.slice("e", 1, 8), lambda x: F.floor(x * 1000).cast("string")), "  "), F.lit("]"))
     a = M.parse_array(F.col("t"))
     return _vectors(spark, sf).withColumn("t", text).select("vec_id", F.size(a).cast("long").alias("n"), r9(F.aggregate(a, F.lit(0.0), lambda x, y: x + y)).alias("total"))
