@@ -128,3 +128,16 @@ def search_taxonomies(train_rows: DataFrame, test_rows: DataFrame, features: lis
         scored = routed_predictions(test_rows.withColumn("__t", expression), "__t", models, features)
         out.append((name, scored.agg(F.avg(log_loss(F.col(label), F.col("model_score")))).first()[0]))
     return sorted(out, key=lambda x: x[1])
+
+
+def save_model(model: LogisticRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> LogisticRegressionModel:
+    return LogisticRegressionModel.load(path)
+
+
+def with_indicator(rows: DataFrame, taxonomy: str, categories: list[str]) -> DataFrame:
+    """A 0/1 column for each category, as in models that take the taxonomy as features."""
+    return rows.withColumns({f"is_{c}": (F.col(taxonomy) == c).cast("int") for c in categories})

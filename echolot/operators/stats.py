@@ -119,3 +119,30 @@ def likelihood_ratio(loss_without: float, loss_with: float) -> tuple[float, floa
     """Statistic and p-value (one degree) from two sums of log losses."""
     x = 2 * (loss_without - loss_with)
     return x, chi2_tail(x)
+
+
+def xi_pvalue(xi_value: float, n: int) -> float:
+    """One-sided p-value of xi under independence: sqrt(n) * xi is about normal with variance 2/5."""
+    return normal_tail(math.sqrt(n) * xi_value / math.sqrt(0.4)) / 2 if xi_value > 0 else 1 - normal_tail(math.sqrt(n) * xi_value / math.sqrt(0.4)) / 2
+
+
+def signed_rank_pvalue(n: int, w_plus: float) -> float:
+    """Two-sided p-value of Wilcoxon's statistic by its normal approximation."""
+    if n == 0:
+        return math.nan
+    return normal_tail((w_plus - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+
+
+def in_groups(rows: DataFrame, category: str, subset: str, whole: str = "all") -> DataFrame:
+    """Every row once in its own (category, subset) and in the groups that stand for all, so that one grouped aggregate serves every cell."""
+    both = [F.array(F.lit(whole), F.col(c).cast("string")) for c in (category, subset)]
+    out = rows.withColumn("__categories", F.array_distinct(both[0])).withColumn("__subsets", F.array_distinct(both[1])).drop(category, subset)
+    return out.withColumn(category, F.explode("__categories")).withColumn(subset, F.explode("__subsets")).drop("__categories", "__subsets")
+
+
+def scaled_weights(weights: DataFrame) -> DataFrame:
+    """(model, feature, weight) as a matrix of models by features, each feature standardised over the models (population deviation)."""
+    w = Window.partitionBy("feature")
+    deviation = F.stddev_pop("weight").over(w)
+    scaled = (F.col("weight") - F.avg("weight").over(w)) / F.when(deviation == 0, 1.0).otherwise(deviation)
+    return weights.withColumn("scaled", scaled).groupBy("model").pivot("feature").agg(F.first("scaled"))

@@ -188,3 +188,48 @@ def routed_taxonomy_predictions(spark, sf):
     f = _matrix(spark, sf).join(raw, "id")
     models = {t: modeling.train(f.where(F.col("taxonomy") == t), _FEATURES) for t in ("recitation", "reconstruction", "recollection")}
     return modeling.routed_predictions(f, "taxonomy", models, _FEATURES).select("id", "label", "taxonomy", F.round("model_score", 4).alias("model_score"), "model_predictions")
+
+
+@query(f"""WITH {FRAME}, f AS (SELECT *, ('0x' || substr(md5(id::VARCHAR || '-42'), 1, 8))::BIGINT % 10 AS fold FROM frame),
+c AS (SELECT fold, greatest(score, 1 - score) AS c, CASE WHEN (score > 1 - score)::INT = label THEN 1.0 ELSE 0.0 END AS r FROM f), b AS (SELECT fold, ceil(c * 10) AS bin, avg(c) AS c, avg(r) AS r, count(*) AS n FROM c GROUP BY ALL),
+e AS (SELECT fold, sum(abs(c - r) * n) / sum(n) AS ece FROM b GROUP BY fold), m AS (SELECT fold, count(*) FILTER (label = 1 AND score > 0.5) AS tp, count(*) FILTER (score > 0.5) AS said, count(*) FILTER (label = 1) AS pos FROM f GROUP BY fold)
+SELECT fold, round(ece, 6) AS ece, round(coalesce(tp::DOUBLE / nullif(said, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(pos, 0), 0), 6) AS recall FROM e JOIN m USING (fold)""")
+def fold_metrics(spark, sf):
+    from ..operators.sampling import fold_of
+
+    f = frame(spark, sf).withColumns({"fold": fold_of("id", 10), "predicted": F.col("score") > 0.5})
+    c = metrics.confusion(f, "label", "predicted", "fold").select("fold", "precision", "recall")
+    out = metrics.calibration_error(f, "label", "score", 10, "fold").join(c, "fold")
+    return out.select("fold", *(r9(F.col(x)).alias(x) for x in ("ece", "precision", "recall")))
+
+
+@query(f"""WITH {FRAME}, g AS (SELECT lang, CASE WHEN nl_score >= 0.5 THEN 'nl' ELSE 'code' END AS subset, length AS x, label AS y FROM frame),
+a AS (SELECT unnest(['all', lang]) AS lang, subset, x, y FROM g), b AS (SELECT lang, unnest(['all', subset]) AS subset, x, y FROM a)
+SELECT lang, subset, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS statistic, count(*) AS n FROM b GROUP BY ALL""")
+def correlation_grid(spark, sf):
+    f = frame(spark, sf).select("lang", F.when(F.col("nl_score") >= 0.5, "nl").otherwise("code").alias("subset"), "length", "label")
+    return stats.pearson(stats.in_groups(f, "lang", "subset"), "length", "label", "lang", "subset").withColumn("statistic", r9(F.col("statistic")))
+
+
+@query(f"""WITH {FRAME}, w AS (SELECT lang AS model, source AS feature, avg(score) AS weight FROM frame WHERE source IN ('src0', 'src1', 'src2') GROUP BY ALL),
+s AS (SELECT model, feature, (weight - avg(weight) OVER p) / CASE WHEN stddev_pop(weight) OVER p = 0 THEN 1 ELSE stddev_pop(weight) OVER p END AS s FROM w WINDOW p AS (PARTITION BY feature))
+SELECT model, round(max(s) FILTER (feature = 'src0'), 6) AS src0, round(max(s) FILTER (feature = 'src1'), 6) AS src1, round(max(s) FILTER (feature = 'src2'), 6) AS src2 FROM s GROUP BY model""")
+def scaled_weight_matrix(spark, sf):
+    w = frame(spark, sf).where(F.col("source").isin("src0", "src1", "src2")).groupBy(F.col("lang").alias("model"), F.col("source").alias("feature")).agg(F.avg("score").alias("weight"))
+    m = stats.scaled_weights(w)
+    return m.select("model", *(r9(F.col(c)).alias(c) for c in ("src0", "src1", "src2")))
+
+
+@query()
+def chunk_repetition_ratios(spark, sf):
+    k = chunk_repetition(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return k.crossJoin(F.broadcast(k.agg(F.sum("n").alias("total")))).select("k", "n", r9(F.col("n") / F.col("total")).alias("ratio"))  # one row of totals
+
+
+@query()
+def bootstrapped_kl(spark, sf):
+    from ..operators.sampling import bootstrap_rows
+
+    f = frame(spark, sf).select("id", (F.col("duplicates") % 4).alias("bucket"), (F.col("score") + 0.001).alias("p"), (F.col("base_score") + 0.001).alias("q"))
+    out = stats.kl_divergence(bootstrap_rows(f, 10, "id"), "p", "q", "bucket", "replicate")
+    return out.groupBy("bucket").agg(r9(F.avg("symmetric")).alias("mean"), r9(F.stddev_pop("symmetric")).alias("sd"))

@@ -123,3 +123,8 @@ def slice_by_percent(rows: DataFrame, key: str, first: int, last: int) -> DataFr
     out = rows.crossJoin(F.broadcast(bounds))  # one row
     top = F.col(key) <= F.col("b")[1] if last == 100 else F.col(key) < F.col("b")[1]
     return out.where((F.col(key) >= F.col("b")[0]) & top).drop("b")
+
+
+def write_metrics_json(spark: SparkSession, metrics: dict[str, float], path: str) -> None:
+    """One JSON document of name and value."""
+    spark.createDataFrame([(k, float(v)) for k, v in metrics.items()], "metric string, value double").repartition(1).write.mode("overwrite").json(path)

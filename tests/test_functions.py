@@ -118,3 +118,54 @@ def test_tails():
     assert math.isclose(stats.normal_tail(1.959963984540054), 0.05, rel_tol=1e-6)
     assert math.isclose(stats.t_tail(2.2281388519649385, 10), 0.05, rel_tol=1e-6)
     assert math.isclose(stats.t_tail(12.706204736432095, 1), 0.05, rel_tol=1e-6)
+
+
+def test_names(spark):
+    from echolot.functions import names
+
+    rows = spark.createDataFrame([("deduped.12b.71500",), ("duped.1.4b",), ("other",)], "s string")
+    s = F.col("s")
+    got = [tuple(r) for r in rows.select(names.model_size(s), names.checkpoint(s), names.parameters(names.model_size(s)), names.is_split(s)).collect()]
+    assert got == [("12b", 0.5, 12e9, True), ("1.4b", 1.0, 1.4e9, True), (None, 1.0, None, False)]
+    assert one(spark, names.display_name(F.col("s"), {"a": "Alpha"}), s="token_count") == "Token Count"
+    assert tuple(one(spark, names.metric_key(F.col("s")), s="model_recitation_pr_auc")) == ("model", "recitation", "pr_auc")
+
+
+def test_adapters(spark):
+    from echolot.operators import adapters
+
+    def make():
+        return lambda batch: batch.assign(score=batch["x"] * 2.0)[["x", "score"]]
+
+    rows = spark.range(10).withColumnRenamed("id", "x")
+    assert adapters.score_batches(rows, make, "x long, score double").agg(F.sum("score")).first()[0] == 90
+    assert one(spark, adapters.mean_dependency_distance(F.col("h")), h=[1, 1, 0]) == 1.0
+
+
+def test_models(spark, tmp_path):
+    import numpy as np
+
+    from echolot.operators import modeling
+
+    rng = np.random.default_rng(0)
+    data = [(float(a), float(b), int(a + 0.5 * rng.standard_normal() > 0)) for a, b in rng.standard_normal((400, 2))]
+    rows = spark.createDataFrame(data, "a double, b double, label int").cache()
+    model = modeling.train(rows, ["a", "b"])
+    out = modeling.predict(model, rows, ["a", "b"])
+    assert out.where((F.col("label") == 1) == F.col("predictions")).count() > 320
+    x = np.array([r[:2] for r in data])
+    y = np.array([r[2] for r in data])
+    w = np.append(model.coefficients.toArray(), model.intercept)
+    p = 1 / (1 + np.exp(-(x @ w[:2] + w[2])))
+    weight = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+    assert np.abs(x.T @ (weight * (p - y)) + w[:2]).max() < 1e-3  # gradient of the penalised loss with C = 1
+    wald = dict(modeling.wald(model, rows, ["a", "b"]))
+    assert wald["a"] > 50 > wald["b"]
+    modeling.save_model(model, str(tmp_path / "m"))
+    assert modeling.load_model(str(tmp_path / "m")).intercept == model.intercept
+    thresholds = modeling.quantile_thresholds(rows, ["a", "b"])
+    assert len(modeling.taxonomy_candidates(thresholds)) == 18
+    with pytest.raises(ValueError, match="candidates"):
+        modeling.taxonomy_candidates(thresholds, 0, 19)
+    found = modeling.search_taxonomies(rows, rows, ["a", "b"], modeling.taxonomy_candidates(thresholds, 0, 2))
+    assert all(0 < loss < 2 for _, loss in found)
