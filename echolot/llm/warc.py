@@ -2,7 +2,7 @@
 
 A capture is a transaction of a request, a response (or revisit) and a metadata record.  Request and metadata name their
 response in WARC-Concurrent-To, and ``assemble`` joins the three by it into one nested row.  Records end in two line ends,
-which is the line separator given to the writer, so the part files are plain WARC files; ``read_records`` reads whole files
+which is the line separator given to the writer, so the part files are gzipped WARC files; ``read_records`` reads whole files
 (kept small by ``records_per_file``) and follows Content-Length.
 
 Of captures with equal payloads (of at least ``min_payload`` bytes) the one with the smallest id is a response and the others
@@ -17,6 +17,7 @@ their own id; an empty table writes no records; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -89,11 +90,13 @@ def records(found: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = 0, records_per_file: int = 3000) -> None:
-    records(captures(pages, min_payload)).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records(captures(pages, min_payload)).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
     """Records of an archive, in order.  The payload of a response or revisit is what follows the HTTP header."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at, size = 0, len(data)
     while at < size:
         stop = data.index(b"\r\n\r\n", at)
