@@ -26,8 +26,8 @@ from .tokens import encoder
 
 WINDOW = 1024
 END_ID = 0
-#: Bytes a row of ids takes at most in an Arrow batch that a task hands back.
-_BATCH_BYTES = 8 << 20
+#: Input partitions up to which their offsets (16 bytes each) are broadcast.
+BROADCAST_PARTS = 1_000_000
 
 
 def tokenize(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -61,7 +61,9 @@ def pack(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text
     lines = written(tokenize(docs, vocabulary, id, text, end_id), "ids")
     totals = lines.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))  # a row for each input partition
-    placed = lines.join(base, "part").select("doc_id", "n_tokens", (F.col("base") + F.col("before")).alias("at"), "ids")
+    # One row for each input partition; beyond BROADCAST_PARTS an ordinary join does it.
+    small = totals.count() <= BROADCAST_PARTS
+    placed = lines.join(F.broadcast(base) if small else base, "part").select("doc_id", "n_tokens", (F.col("base") + F.col("before")).alias("at"), "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
