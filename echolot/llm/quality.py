@@ -13,6 +13,7 @@ share an id are judged one by one; an empty table gives an empty result; other c
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -30,7 +31,7 @@ SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 #: Words of the windows in which repeats are looked for.
 WINDOW = 8
 #: Documents of the sample that orders the rules; it steers cost only.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 
 
 class Facts:
@@ -153,30 +154,21 @@ def cascade(c: Chunk, rules: Iterable[Rule], facts: Facts | None = None) -> np.n
 def plan_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a bounded sample, each among what those before it pass."""
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column(0)):
-                took, masks = [], np.zeros(c.n, np.int64)
-                for k, rule in enumerate(rules):
-                    began = time.thread_time()
-                    masks |= rule.reject(Facts(c)).astype(np.int64) << k
-                    took.append(time.thread_time() - began)
-                found, count = np.unique(masks, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"mask": pa.array(found, pa.int64()), "n": pa.array(count, pa.int64()), "took": pa.array([took] + [[0.0] * len(rules)] * (len(found) - 1), pa.list_(pa.float64()))})
-
-    seen = (
-        docs.select(F.col(text).alias("t"))
-        .limit(sample_rows)
-        .mapInArrow(profile, "mask long, n long, took array<double>")
-        .groupBy("mask")
-        .agg(F.sum("n").alias("n"), *(F.sum(F.col("took")[k]).alias(f"s{k}") for k in range(len(rules))))
-        .collect()  # at most 2 ** rules rows
-    )
-    cost = [sum(r[f"s{k}"] for r in seen) + 1e-9 for k in range(len(rules))]
+    took, seen = np.zeros(len(rules)), Counter()
+    # take() reads input partitions only until it has enough rows; the sample's size doesn't grow with the table.
+    sample = pa.array([r[0] for r in docs.select(F.col(text).cast("string")).take(sample_rows)], pa.string())
+    for c in chunks(sample):
+        masks = np.zeros(c.n, np.int64)
+        for k, rule in enumerate(rules):
+            began = time.thread_time()
+            masks |= rule.reject(Facts(c)).astype(np.int64) << k
+            took[k] += time.thread_time() - began
+        seen.update(masks.tolist())
+    cost = took + 1e-9
     left, order = list(range(len(rules))), []
     while left:
         gone = sum(1 << k for k in order)
-        alive = [(r["mask"], r["n"]) for r in seen if not r["mask"] & gone]
+        alive = [(m, n) for m, n in seen.items() if not m & gone]
         best = max(left, key=lambda k: (sum(n for m, n in alive if m >> k & 1) / cost[k], -k))
         order.append(best)
         left.remove(best)
