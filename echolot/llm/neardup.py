@@ -163,9 +163,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def links(docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: verified links between the nodes (smallest ids) of different sets."""
-    nodes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: verified links between the nodes (smallest ids) of different sets, from rows of node and bands."""
     bands = F.col("bands")
     turned = F.concat(F.slice(bands, 2, F.size(bands) - 1), F.slice(bands, 1, 1))
     double = F.zip_with(bands, turned, lambda x, y: F.xxhash64(x, y))
@@ -183,12 +182,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id:
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = cut(sketch(docs, k))
     whole = sketches.where("n_shingles > 0 and doc_id is not null")
-    nodes = whole.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    member = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(nodes, ["n_shingles", "set_a", "set_b"], "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
+    # Cut here, so that the join below deals out both sides itself and Spark can split the copies of one set.
+    nodes = cut(whole.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    member = sketches.drop("bands").join(nodes.drop("bands"), ["n_shingles", "set_a", "set_b"], "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
     # An id with several rows ties the sets of its rows together.
     shared = whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ties = member.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    found = links(docs, sketches, k, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = links(docs, nodes, k, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     tree = components(found.union(ties))
     out = member.join(tree, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
