@@ -30,12 +30,15 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .textops import Chunk, chunks, equal_runs, gram_hashes, inside, mix, prefix_hash, ragged, range_hash, sliding_min, word_hashes, words
 
 #: A hash with more occurrences than this, and than one in HOT_SHARE of all anchors, is hot; so at most HOT_SHARE are.
 HOT, HOT_SHARE = 20_000, 1_000_000
 #: Occurrences in one batch from which a hash is counted at all as a candidate for hot.
 HOT_IN_BATCH = 8
+#: Bytes of stretches among which equal ones are sent once.
+SEND_BYTES = 24 << 20
 #: Bytes of stretches that a resolver gets at once (whole anchors, so one anchor's stretches may exceed it).
 BLOCK_BYTES = 2 << 20
 
@@ -147,7 +150,8 @@ def hot_anchors(docs: DataFrame, units: Units, hot: int = HOT) -> frozenset[int]
             keys = np.append(h[at[begin[:-1][many]]].view(np.int64), 0)  # under 0: all anchors
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.append(size[many], len(h)))], names=["key", "n"])
 
-    counted = docs.select("doc", "tie", "body").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > min(hot, HOT))
+    counted = docs.select("doc", "tie", "body").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = cut(counted.where((F.col("n") > hot) | (F.col("key") == 0)))
     total = (counted.where("key = 0").first() or [0, 0])[1]
     return frozenset(r.key for r in counted.where((F.col("key") != 0) & (F.col("n") > max(hot, total // HOT_SHARE))).select("key").collect())
 
@@ -208,6 +212,8 @@ def stretches(marked: DataFrame, units: Units, hot: frozenset[int]) -> DataFrame
         for batch in batches:
             doc, tie, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             p_off, p_all = places.offsets.to_numpy(), places.values.to_numpy()
+            held: dict[int, list[tuple]] = {_STRETCH: [], _WINDOW: []}
+            size = 0
             for c in chunks(batch.column(2)):
                 h, first = units.hashes(c)
                 start, m = anchors(h, first, units)
@@ -220,9 +226,22 @@ def stretches(marked: DataFrame, units: Units, hot: frozenset[int]) -> DataFrame
                 is_hot = np.isin(h[m].view(np.int64), common) if len(common) else np.zeros(len(m), bool)
                 row = np.searchsorted(first, start, "right") - 1
                 at = (tie[c.lo + row] << _TIE_SHIFT) + start - first[row]
-                yield from rows_of(units, c, doc[c.lo + row], at, start, m, h, is_hot)
-
-    def rows_of(units: Units, c: Chunk, doc: np.ndarray, at: np.ndarray, start: np.ndarray, m: np.ndarray, h: np.ndarray, is_hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+                size += collect(held, c, doc[c.lo + row], at, start, m, h, is_hot)
+                if size >= SEND_BYTES:
+                    yield from flush(held)
+                    size = 0
+            yield from flush(held)
+
+    def flush(held: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        for kind, parts in held.items():
+            if parts:
+                *arrays, bodies = zip(*parts, strict=True)
+                yield batch_of(*map(np.concatenate, arrays), kind, pa.concat_arrays(bodies) if kind == _STRETCH else None)
+                parts.clear()
+
+    def collect(held: dict[int, list[tuple]], c: Chunk, doc: np.ndarray, at: np.ndarray, start: np.ndarray, m: np.ndarray, h: np.ndarray, is_hot: np.ndarray) -> int:
+        """Adds a chunk's stretches and hot windows; returns about how many bytes they take."""
+        size = 0
         if len(cold := np.flatnonzero(~is_hot)):
             begin = np.append(True, (m[cold][1:] != m[cold][:-1]) | (start[cold][1:] != start[cold][:-1] + 1))
             n = np.diff(np.append(np.flatnonzero(begin), len(cold)))
@@ -231,10 +250,13 @@ def stretches(marked: DataFrame, units: Units, hot: frozenset[int]) -> DataFrame
             off = np.frombuffer(body.buffers()[1], np.int32)[: len(one) + 1].astype(np.int64)
             data = np.frombuffer(body.buffers()[2], np.uint8)
             same = range_hash(prefix_hash(data), off[:-1], off[1:]) if len(data) else np.zeros(len(one), np.uint64)
-            yield batch_of(h[m[one]], doc[one], at[one], n, m[one] - start[one], same, _STRETCH, body)
+            held[_STRETCH].append((h[m[one]], doc[one], at[one], n, m[one] - start[one], same, body))
+            size += len(data) + 48 * len(one)
         if len(warm := np.flatnonzero(is_hot)):
             key = units.window_hashes(c, start[warm])
-            yield batch_of(key, doc[warm], at[warm], np.ones(len(warm), np.int64), np.zeros(len(warm), np.int64), key, _WINDOW, None)
+            held[_WINDOW].append((key, doc[warm], at[warm], np.ones(len(warm), np.int64), np.zeros(len(warm), np.int64), key, None))
+            size += 48 * len(warm)
+        return size
 
     def batch_of(key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, same: np.ndarray, kind: int, body: pa.Array | None) -> pa.RecordBatch:
         """Of equal stretches only the first in order is to be resolved; a row that repeats a text goes."""
