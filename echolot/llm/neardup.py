@@ -1,12 +1,14 @@
-"""MinHash near-duplicates: one permutation, optimal densification, banded buckets, star-shaped candidate edges.
+"""MinHash near-duplicates: one permutation, optimal densification, banded buckets, star-shaped candidate edges
+and then those between a bucket's components.
 
 1. Every text becomes a set of word shingles.  One hash per shingle picks a bin and a value; the least value of each bin is
    the signature, and an empty bin takes the value of a filled one that a fixed hash sequence of the bin's number finds.
 2. Texts with the same set are one node (grouped by a 128-bit hash of the set, combined before the shuffle), so thousands of
    copies cost one row from here on.
-3. Bands of the signature are buckets, and so are pairs of neighbouring bands.  A bucket ties each member to its smallest and
-   its largest node only, never all pairs.  A bucket of one band gathers nearly every pair that is similar enough; where it
-   also gathers strangers, so that its ends are not similar to all members, the narrower buckets part them.
+3. Bands of the signature are buckets, and so are pairs of neighbouring bands.  A bucket first ties each member to its smallest
+   and its largest node.  Where the links found so far leave a bucket of one band in several components, its members are then
+   tried with the ends of its other components, and at last with all members of them, so every pair of a bucket that is
+   similar enough ends in one component; only pairs that are already joined are never tried.
 4. Every candidate edge is checked on full sets; components come from alternating large-star and small-star steps.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; one with fewer words than a
@@ -163,8 +165,35 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _pairs_apart(nodes: DataFrame, good: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """a, b: pairs of a bucket's members that the links a, b of good leave in different components.
+
+    whole: all such pairs; else only those with the smallest or largest member of a bucket's component.  Pairs whose set
+    sizes alone rule a link out are left out.
+    """
+    tree = components(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    members = nodes.select("node", "n_shingles", F.explode("bands").alias("key")).join(tree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    row = F.struct("node", "n_shingles")
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi"))
+    parts = cut(parts)
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    live = cut(members.join(mixed.select("key", F.col("most.component").alias("most")), "key"))
+    if whole:  # a pair of different components has a member outside the bucket's largest one
+        from_ = live.where("component != most").select("key", "component", "node", "n_shingles")
+    else:
+        ends = parts.join(mixed.select("key"), "key", "left_semi").select("key", "component", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e"))
+        from_ = ends.select("key", "component", "e.node", "e.n_shingles")
+    from_ = from_.toDF("key", "c", "x", "s")
+    fits = 100 * F.least("s", "n_shingles") >= percent * F.greatest("s", "n_shingles")
+    met = live.join(from_, "key").where((F.col("c") != F.col("component")) & fits)
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: verified links between the nodes (smallest ids) of different sets, from rows of node and bands."""
+    """a, b: verified links between the nodes (smallest ids) of different sets, from rows of node, n_shingles and bands.
+
+    They join any two nodes that are similar enough and share a band.
+    """
     bands = F.col("bands")
     turned = F.concat(F.slice(bands, 2, F.size(bands) - 1), F.slice(bands, 1, 1))
     double = F.zip_with(bands, turned, lambda x, y: F.xxhash64(x, y))
@@ -173,8 +202,14 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     pair = lambda c: F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
     pairs = cut(members.join(ends, "key").select(F.explode(F.array(pair("lo"), pair("hi"))).alias("p")).where("p.a < p.b").select("p.a", "p.b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    return linked_pairs(pairs, cut(texts), k, percent).where("linked").select("a", "b")
+    texts = cut(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
+    tested = pairs
+    good = cut(linked_pairs(pairs, texts, k, percent).where("linked").select("a", "b"))
+    for whole in (False, True):
+        new = cut(_pairs_apart(nodes, good, percent, whole).join(tested, ["a", "b"], "left_anti"))
+        good = cut(good.union(linked_pairs(new, texts, k, percent).where("linked").select("a", "b")))
+        tested = tested.union(new)
+    return good
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:

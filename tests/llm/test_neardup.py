@@ -38,3 +38,18 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in neardup.near_duplicates(more).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, None), (None, None), (4, 4), (5, 5)], key=str)
     assert sorted((r.doc_id for r in neardup.deduplicate(more).collect()), key=str) == sorted([1, 1, 4, 5, None, None], key=str)
+
+
+def test_pairs_inside_a_crowd(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    core = [word() for _ in range(120)]
+    rows = [(i, " ".join(core + [word() for _ in range(20)])) for i in range(300)]  # 0.75 similar, by the core alone
+    for i in range(100, 120):
+        own = [word() for _ in range(7)]
+        rows[2 * i - 80] = (2 * i - 80, " ".join(core + own + [word() for _ in range(12)]))
+        rows[2 * i - 79] = (2 * i - 79, " ".join(core + own + [word() for _ in range(12)]))
+    want = brute.components(rows)
+    assert sum(not kept for *_, kept in want) == 20
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardup.near_duplicates(table, k=4).collect()} == want
