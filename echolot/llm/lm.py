@@ -10,8 +10,8 @@ unknown.  Words are ranked by frequency and cut into classes of equal size; the
 words of the class.  The hidden state of a GRU is carried from window to window, in training (where gradients stop at
 a window's start: truncated backpropagation) and in scoring, so a document is always scored whole, however long.
 
-Training is rounds of parallel descent: each round every task trains on its own part of a fixed share of the training
-documents, starting from the same parameters, and the parameters are averaged by a Spark aggregate, weighted by tokens.
+Training is rounds of parallel descent: each round every task trains on its own part of the round's share of the training
+documents (the shares of all rounds are all documents, each once), starting from the same parameters, and the parameters are averaged by a Spark aggregate, weighted by tokens.
 
 Defined cases: a null or empty text is the end alone; a null id counts as training text; rows that share an id or are equal
 are documents of their own; very long texts are scored window by window; an empty table gives an empty result; columns
@@ -38,8 +38,8 @@ FREQUENT = 1 << 18
 VOCABULARY, CLASS_SIZE = 2048, 46
 HIDDEN, EMBEDDING = 32, 16
 WINDOW, BATCH = 16, 128
-#: Each round trains on one in SHARE of the training documents, whatever their number.
-ROUNDS, SHARE, RATE = 3, 16, 0.015
+#: The rounds part the training documents among them, so each document is learnt once.
+ROUNDS, RATE = 3, 0.015
 #: Tokens that a task lays out at once.
 LEARN_TOKENS = 1 << 19
 #: Documents scored side by side, and steps of a scoring window.
@@ -344,7 +344,7 @@ class Trainer:
             self.model.p[k] -= pace * m / (np.sqrt(v * still) + 1e-8)
 
 
-def fit(docs: DataFrame, words: Lexicon, count: np.ndarray, rounds: int = ROUNDS, share: int = SHARE) -> Model:
+def fit(docs: DataFrame, words: Lexicon, count: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Rounds of parallel training on docs (doc_id, body, held_out), averaged by Spark."""
     model = Model(count)
     for k in range(rounds):
@@ -372,7 +372,7 @@ def fit(docs: DataFrame, words: Lexicon, count: np.ndarray, rounds: int = ROUNDS
                 place = np.arange(-1, len(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.append(1.0, flat) * seen)], names=["place", "x"])
 
-        mine = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == k)).select("body")
+        mine = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)).select("body")
         got = mine.mapInArrow(run, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()  # a row for each parameter
         if got.num_rows:
             x = np.zeros(got.num_rows)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from echolot.llm import lm, topk
@@ -102,3 +103,17 @@ def test_state_is_carried_across_windows(monkeypatch):
     monkeypatch.setattr(lm, "SCORE_WINDOW", 5)
     monkeypatch.setattr(lm, "SCORE_BATCH", 2)
     assert np.allclose(lm.score_documents(model, ids, first), whole, rtol=1e-4)
+
+
+def test_every_training_document_is_learnt(spark):
+    text = " ".join(["aa bb cc dd"] * 30)
+    some = spark.range(400).selectExpr("id AS doc_id", "pmod(xxhash64(id), 16) AS k").where("k >= 3").collect()
+    ids = {r.k: r.doc_id for r in some if not held(r.doc_id)}
+    assert len(ids) == 13  # documents that training on three sixteenths would never see
+    hashes = lm.tokens(next(lm.chunks(pa.array([text]))))[0]
+    word, n = np.unique(hashes, return_counts=True)
+    words, count = lm.lexicon(lm.Frequent(word, n, 1, int(n.sum()), len(word)))
+    start = lm.Model(count).vector()
+    for i in (ids[3], ids[9], None):
+        docs = lm._prepared(spark.createDataFrame([(i, text)], "doc_id long, text string"), "doc_id", "text")
+        assert not np.allclose(lm.fit(docs, words, count).vector(), start)
