@@ -2,7 +2,7 @@
 
 A softmax classifier, trained on a bounded sample of labelled rows, gives every document a posterior over domains.  Then
 nonnegative rates are fitted by projected gradient: the expected tokens of a domain are the sum over documents of
-rate * tokens * posterior, and the squared distance of these totals from the targets is minimised over rates from 0 to MOST.  A step changes a rate by
+rate * tokens * posterior, and the squared distance of these totals from the targets is minimised.  A step changes a rate by
 the inner product of the document's posterior with one small vector, so the driver holds that vector per step and each pass
 over the posteriors, which are dealt over the cluster, returns one total for each domain.
 
@@ -33,9 +33,7 @@ LABEL_ROWS = 4000
 BUCKETS = 1 << 11
 #: Domains in order, and the share of all tokens that each is to have.
 DOMAINS = ("clean", "low", "toxic")
-TARGETS = {"clean": 0.98, "low": 0.01, "toxic": 0.01}
-#: Rates stay between 0 and this: a scarce domain is not repeated beyond it, even if its target stays out of reach.
-MOST = 4.0
+TARGETS = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
 _DENSE = 7
 
 
@@ -131,10 +129,10 @@ def _lists(p: np.ndarray) -> pa.Array:
 
 
 def rates(p: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps of a path: from 1, each step goes along its vector and then back into [0, MOST]."""
+    """Rates after the steps of a path: from 1, each step goes along its vector and back to zero if below."""
     r = np.ones(len(p))
     for step in path:
-        r = np.clip(r - p @ step, 0.0, MOST)
+        r = np.maximum(0.0, r - p @ step)
     return r
 
 
@@ -157,7 +155,7 @@ def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, tokens:
                 n, p = batch.column(0).to_numpy(), batch.column(1).values.to_numpy().reshape(-1, k)
                 r = rates(p, path)
                 total += (n * r) @ p
-                free = p * ((r > 0) & (r < MOST))[:, None]
+                free = p * (r > 0)[:, None]
                 gram += (free * n[:, None]).T @ free
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + k * k)), pa.array(np.concatenate((total, gram.ravel())))], names=["place", "x"])
 
@@ -205,6 +203,17 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, flo
     return table.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double, copies long")
 
 
+def domain_totals(rated: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+    """domain, target and reached: the share of all tokens that a domain is to have, and that of its expected tokens.
+
+    rated: rows of n_tokens, p and rate, as document_rates makes them; reached is relative to the tokens before mixing.
+    """
+    weight = sum(targets[d] for d in DOMAINS)
+    sums = rated.agg(F.sum("n_tokens").alias("all"), *(F.sum(F.col("n_tokens") * F.col("rate") * F.col("p")[k]).alias(d) for k, d in enumerate(DOMAINS)))
+    each = (F.struct(F.lit(d).alias("domain"), F.lit(targets[d] / weight).alias("target"), (F.col(d) / F.col("all")).alias("reached")) for d in DOMAINS)
+    return sums.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, id: str = "doc_id", text: str = "text", label_rows: int = LABEL_ROWS) -> DataFrame:
     """The rows of docs, each as often as its rate says."""
     model = fit_classifier(docs, labels, id, text, label_rows)

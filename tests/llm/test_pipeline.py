@@ -68,3 +68,16 @@ def test_classifier_on_held_out_labels(spark):
     assert empty.count() == 0
     odd = spark.createDataFrame([(None, None, 0), (1, "", 0), (1, "a b", 0)], "doc_id long, text string, p int")
     assert mixing.document_rates(odd, labels.limit(0)).count() == 3
+
+
+def test_scarce_domain_reaches_its_target(spark):
+    p = np.array([[0.98, 0.01, 0.01]] * 400 + [[0.01, 0.98, 0.01]] + [[0.01, 0.01, 0.98]] * 8)
+    rows = [(100, [float(x) for x in b]) for b in p]
+    table = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    assert mixing.TARGETS == {"clean": 0.9, "low": 0.08, "toxic": 0.02}
+    r = mixing.rates(p, mixing.fit_rates(table))
+    assert r.max() > 4
+    rated = spark.createDataFrame([(*a, float(x)) for a, x in zip(rows, r, strict=True)], "n_tokens long, p array<double>, rate double")
+    for domain, target, reached in mixing.domain_totals(rated).collect():
+        assert abs(target - mixing.TARGETS[domain]) < 1e-9
+        assert abs(reached - target) < 2e-3
