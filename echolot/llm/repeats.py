@@ -6,17 +6,21 @@ earlier, without moving every window through a shuffle:
 1. Winnowing.  Of the ``gram``-unit grams in a window, the one with the least hash is the window's anchor.  It depends on
    the window's content alone, so equal windows have equal anchors at equal distances; about one unit in
    (length - gram) / 2 is an anchor.  Only anchors whose hash occurs twice in the corpus can belong to a repeated window.
-   In each batch an anchor hash is sent once; its other occurrences there are known to repeat and skip the grouping, so a
-   passage in a third of all documents loads no task.
+   In each batch an anchor hash is sent once, with the number of its occurrences there; the others are known to repeat and
+   skip the grouping, so a passage in a third of all documents loads no task.
 2. Texts with repeated anchors are met with those (a join by document), and the windows of each such anchor are cut out
-   as one stretch of text.  Equal stretches of a batch are sent once, the later ones are already known to repeat.
-3. Stretches meet by anchor hash, sorted, so a task holds the stretches of a few anchors at a time; a resolver marks the
-   windows that start earlier elsewhere.  Anchors so common that their stretches would overload a task are found first
-   (a list whose length is bounded, see HOT) and their windows meet by the hash of the whole window instead.
+   as one stretch of text.  Of equal stretches of a batch (compared byte by byte) one is sent, the others are known to repeat.
+3. Stretches meet by anchor hash, sorted, so a task holds the stretches of a few anchors at a time; a resolver compares
+   their units and marks the windows that start earlier elsewhere.  Anchors with more than ``hot`` occurrences, counted
+   exactly in step 1, would overload a task: their stretches are cut into pieces of ``units.piece`` windows, which meet by
+   the content that these windows have in common.  A piece with many different contexts is so short that few differ.
 4. Runs of marked windows go back to their documents.
 
-Order: smaller id, then start.  A null id counts as the largest.  Rows that share an id are texts of their own, ordered by
-a 24-bit hash of the text; rows that are equal in both are one text and get one result each.
+Hashes only decide what meets; equality is decided on the units themselves.
+
+Order: smaller id, then start.  A null id counts as the largest.  Rows that share an id are texts of their own, in an order
+that is written down once (a table with row numbers, made only where ids repeat); of rows that share id and text all but one
+are repeats.
 """
 
 from __future__ import annotations
@@ -27,28 +31,32 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
-from .textops import Chunk, chunks, equal_runs, gram_hashes, inside, mix, prefix_hash, ragged, range_hash, sliding_min, word_hashes, words
+from ..scratch import written
+from .textops import Chunk, byte_words, chunks, equal_runs, gram_hashes, inside, mix, ragged, sliding_min, word_hashes, words
 
-#: A hash with more occurrences than this, and than one in HOT_SHARE of all anchors, is hot; so at most HOT_SHARE are.
-HOT, HOT_SHARE = 20_000, 1_000_000
-#: Occurrences in one batch from which a hash is counted at all as a candidate for hot.
-HOT_IN_BATCH = 8
+#: An anchor with more occurrences than this is hot, at any size of the corpus.
+HOT = 20_000
+#: Up to so many hot anchors are sent to the tasks as a list; more are met by a join.
+HOT_LIST = 1 << 20
 #: Bytes of stretches among which equal ones are sent once.
-SEND_BYTES = 24 << 20
-#: Bytes of stretches that a resolver gets at once (whole anchors, so one anchor's stretches may exceed it).
-BLOCK_BYTES = 2 << 20
+SEND_BYTES = 16 << 20
+#: Bytes of stretches that a resolver gets at once (whole keys, so at most HOT stretches more).
+BLOCK_BYTES = 1 << 20
 
 _LOW = np.uint64(0xFFFFFFFF)
-_TIE_SHIFT = 40  # places of a text take 40 bits, the tie 23
+_PLACE_BITS = 40
 
 
 class Units:
     """What windows are made of."""
 
+    #: Windows of a hot anchor that stay together.
+    piece = 1
+
     def __init__(self, length: int, gram: int):
         self.length, self.gram = length, gram
 
@@ -56,53 +64,67 @@ class Units:
         """Hash of the gram at each unit, and the first unit of each row (with the end)."""
         raise NotImplementedError
 
-    def window_hashes(self, c: Chunk, start: np.ndarray) -> np.ndarray:
+    def bodies(self, c: Chunk, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Units start to end of the chunk."""
         raise NotImplementedError
 
-    def cut(self, c: Chunk, start: np.ndarray, end: np.ndarray) -> pa.Array:
-        """Units start to end of the chunk as binary values."""
+    def edges(self, body: bytes) -> list[int] | range:
+        """Byte offset of each unit of a body, and its end."""
         raise NotImplementedError
 
+    def pieces(self, body: bytes, n: int, anchor: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """(key, first window, windows, body) of the pieces of a stretch of n windows whose anchor is its unit ``anchor``.
 
-def binary_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte ranges of data as binary values."""
-    size = end - start
-    off = np.concatenate(([0], np.cumsum(size)))
-    if off[-1] >= 1 << 31:
-        raise ValueError("more than 2 GB of stretches in a chunk")
-    i, k = ragged(size)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data[start[i] + k])])
+        A piece has the windows whose distance from the anchor falls in one range; its key is the hash of what all windows
+        of that range have in common, which lies in each of them.
+        """
+        edge = self.edges(body)
+        for q in range(max(0, anchor - n + 1) // self.piece, anchor // self.piece + 1):
+            last = anchor - q * self.piece
+            first = last - self.piece + 1
+            lo, hi = max(first, 0), min(last, n - 1)
+            core = body[edge[last] : edge[first + self.length]]
+            yield xxhash.xxh3_64_intdigest(core, q), lo, hi - lo + 1, body[edge[lo] : edge[hi + self.length]]
 
 
 class Bytes(Units):
+    piece = 4
+
     def hashes(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         n = max(0, len(c.data) - self.gram + 1)
-        at = np.arange(n)
-        return range_hash(prefix_hash(c.data), at, at + self.gram), c.off
+        w = byte_words(c.data)
+        h = np.zeros(n, np.uint64)
+        for at in dict.fromkeys((*range(0, self.gram - 7, 8), self.gram - 8)):
+            h = mix(h + w[at : at + n])
+        return h, c.off
 
-    def window_hashes(self, c: Chunk, start: np.ndarray) -> np.ndarray:
-        return range_hash(prefix_hash(c.data), start, start + self.length)
+    def bodies(self, c: Chunk, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        line = c.data.tobytes()
+        return [line[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
-    def cut(self, c: Chunk, start: np.ndarray, end: np.ndarray) -> pa.Array:
-        return binary_array(c.data, start, end)
+    def edges(self, body: bytes) -> range:
+        return range(len(body) + 1)
 
 
 class Words(Units):
+    """Bodies are words with one space after each."""
+
     def hashes(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         w = words(c)
         return gram_hashes(word_hashes(c, w), self.gram), w.first
 
-    def window_hashes(self, c: Chunk, start: np.ndarray) -> np.ndarray:
-        return gram_hashes(word_hashes(c, words(c)), self.length)[start]
-
-    def cut(self, c: Chunk, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    def bodies(self, c: Chunk, start: np.ndarray, end: np.ndarray) -> list[bytes]:
         w = words(c)
-        size = w.end - w.start + 1  # each word and a space after it
+        size = w.end - w.start + 1
         off = np.concatenate(([0], np.cumsum(size)))
         line = np.full(off[-1], 32, np.uint8)
         word, k = ragged(size - 1)
         line[off[word] + k] = c.data[w.start[word] + k]
-        return binary_array(line, off[start], off[end])
+        line = line.tobytes()
+        return [line[a:b] for a, b in zip(off[start].tolist(), off[end].tolist(), strict=True)]
+
+    def edges(self, body: bytes) -> list[int]:
+        return [0, *(np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1).tolist()]
 
 
 def anchors(h: np.ndarray, first: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -114,19 +136,25 @@ def anchors(h: np.ndarray, first: np.ndarray, units: Units) -> tuple[np.ndarray,
     return start, (sliding_min(key, units.length - units.gram + 1)[start] & _LOW).astype(np.int64)
 
 
-def keyed(docs: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
-    """A struct of the columns to keep, doc and tie (never null) and the text (a null is empty).  The tie is 0 if no id repeats."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    doc = F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1))
-    unique = not docs.select(doc.alias("doc")).groupBy("doc").count().where("count > 1").take(1)
-    tie = F.lit(0).cast("long") if unique else F.xxhash64(body).bitwiseAND(F.lit(0x7FFFFF))
-    return docs.select(F.struct(*keep).alias("rest"), doc.alias("doc"), tie.alias("tie"), body.alias("body"))
+def numbered(docs: DataFrame, id: str, text: str, keep: list[str]) -> DataFrame:
+    """rest (a struct of the columns to keep), doc (a unique number in the order of ids) and body (a null text is empty).
+
+    The number is the id itself unless an id is null or repeats, which a count of the ids tells.
+    """
+    rows = docs.select(F.struct(*keep).alias("rest"), F.col(id).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    odd = docs.select(F.col(id).cast("long").alias("doc")).groupBy("doc").count().where("doc is null or count > 1").take(1)
+    if not odd:
+        return rows
+    tie = F.xxhash64("body"), F.xxhash64(F.lit(1), "body"), F.monotonically_increasing_id()
+    ordered = rows.select("*", *(t.alias(f"tie_{k}") for k, t in enumerate(tie))).sort(F.asc_nulls_last("doc"), "tie_0", "tie_1", "tie_2")
+    # Partitions of the sort are in order, so these numbers are too; written, as a second run could give others.
+    return written(ordered.select("rest", F.monotonically_increasing_id().alias("doc"), "body"), "rows")
 
 
 def _batch_anchors(batch: pa.RecordBatch, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and place in its row of every anchor of a batch (doc, tie, body)."""
+    """Hash, row and place in its row of every anchor of a batch (doc, body)."""
     hs, rows, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for c in chunks(batch.column(2)):
+    for c in chunks(batch.column(1)):
         h, first = units.hashes(c)
         _, m = anchors(h, first, units)
         if len(m):
@@ -138,83 +166,96 @@ def _batch_anchors(batch: pa.RecordBatch, units: Units) -> tuple[np.ndarray, np.
     return np.concatenate(hs), np.concatenate(rows), np.concatenate(places)
 
 
-def hot_anchors(docs: DataFrame, units: Units, hot: int = HOT) -> frozenset[int]:
-    """Anchor hashes of very many occurrences; at most HOT_SHARE."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, _, _ = _batch_anchors(batch, units)
-            at, begin = equal_runs(h)
-            size = np.diff(begin)
-            many = size >= HOT_IN_BATCH
-            keys = np.append(h[at[begin[:-1][many]]].view(np.int64), 0)  # under 0: all anchors
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.append(size[many], len(h)))], names=["key", "n"])
-
-    counted = docs.select("doc", "tie", "body").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = cut(counted.where((F.col("n") > hot) | (F.col("key") == 0)))
-    total = (counted.where("key = 0").first() or [0, 0])[1]
-    return frozenset(r.key for r in counted.where((F.col("key") != 0) & (F.col("n") > max(hot, total // HOT_SHARE))).select("key").collect())
-
-
-def repeated_anchors(docs: DataFrame, units: Units) -> DataFrame:
-    """doc, tie and the places of its anchors whose hash occurs more than once in the corpus."""
+def repeated_anchors(docs: DataFrame, units: Units, hot: int = HOT) -> DataFrame:
+    """A written table of doc and place of every anchor whose hash occurs more than once in the corpus; and in rows without doc the hashes (key) that occur more than ``hot`` times."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc = batch.column(0).to_numpy()
             h, row, place = _batch_anchors(batch, units)
             at, begin = equal_runs(h)
-            known = np.zeros(len(h), np.int64)
-            known[at] = 2  # goes on without being grouped
-            known[at[begin[:-1]]] = 1  # stands for its hash, and is known to repeat
-            key = np.where(known == 2, mix(h ^ mix(doc[row].astype(np.uint64) + place.astype(np.uint64))), h)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[row]), pa.array(tie[row] << _TIE_SHIFT | place << 1 | (known > 0))], names=["key", "doc", "at"])
+            n = np.ones(len(h), np.int64)
+            n[at] = 0  # known to repeat; goes on without being grouped
+            n[at[begin[:-1]]] = np.diff(begin)  # stands for all occurrences in this batch
+            key = np.where(n == 0, mix(h ^ mix(doc[row].astype(np.uint64) + place.astype(np.uint64))), h)
+            n = np.minimum(n, (1 << 22) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[row]), pa.array(n << _PLACE_BITS | place)], names=["key", "doc", "at"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by key; the last row of a batch waits for the next one.
-        held: list[np.ndarray] = []
-        tied = False
+        # Rows come sorted by key; the last key of a batch goes on in the next one: what is known of it is kept.
+        last, met, total, waiting = None, 0, 0, None
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(3)]
-            key, doc, at = (np.concatenate(x) for x in zip(held, new, strict=True)) if held else new
+            key, doc, at = (batch.column(i).to_numpy() for i in range(3))
             if not len(key):
                 continue
-            same = key[1:] == key[:-1]
-            many = at & 1 > 0
-            many[1:] |= same
-            many[:-1] |= same
-            many[0] |= tied
-            tied = bool(same[-1]) if len(same) else tied
-            held = [key[-1:], doc[-1:], at[-1:]]
-            yield out(doc[:-1], at[:-1], many[:-1])
-        if held:
-            yield out(held[1], held[2], (held[2] & 1 > 0) | tied)
-
-    def out(doc: np.ndarray, at: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        at = at[many]
-        return pa.RecordBatch.from_arrays([pa.array(doc[many]), pa.array(at >> _TIE_SHIFT), pa.array((at & ((1 << _TIE_SHIFT) - 1)) >> 1)], names=["doc", "tie", "place"])
-
-    sent = docs.select("doc", "tie", "body").mapInArrow(send, "key long, doc long, at long")
-    found = sent.repartition("key").sortWithinPartitions("key").mapInArrow(group, "doc long, tie long, place long")
-    return found.groupBy("doc", "tie").agg(F.collect_list("place").alias("places"))  # no longer than the text
-
-
-#: How a row of stretches is meant: to be resolved, a window by its hash, or known to repeat.
-_STRETCH, _WINDOW, _KNOWN = 0, 1, 2
-_STRETCHES = "key long, doc long, at long, kind int, anchor int, n int, body binary"
-
-
-def stretches(marked: DataFrame, units: Units, hot: frozenset[int]) -> DataFrame:
-    """Runs of windows of the same repeated anchor, from rows of doc, tie, body and places."""
-    common = np.sort(np.array(sorted(hot), np.int64))
+            n, place = at >> _PLACE_BITS, at & ((1 << _PLACE_BITS) - 1)
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(begin, len(key)))
+            sums = np.add.reduceat(n, begin)
+            rows = size.copy()
+            goes_on = key[0] == last
+            if goes_on:
+                rows[0] += met
+                sums[0] += total
+            many = np.repeat((rows > 1) | (sums != 1), size)
+            hot_now = sums > hot
+            hot_now[0] &= not (goes_on and total > hot)  # told already
+            hot_keys = key[begin][hot_now]
+            if goes_on and waiting is not None:  # the first row of this key had no partner so far
+                doc, place, many = (np.append(a, b) for a, b in ((waiting[0], doc), (waiting[1], place), (True, many)))
+            waiting = None
+            last, met, total = key[-1], rows[-1], sums[-1]
+            if met == 1 and total == 1:
+                waiting = doc[-1], place[-1]
+            yield out(doc[many], place[many], hot_keys)
+
+    def out(doc: np.ndarray, place: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        none, blank = pa.nulls(len(keys), pa.int64()), pa.nulls(len(doc), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(doc), none]), pa.concat_arrays([pa.array(place), none]), pa.concat_arrays([blank, pa.array(keys)])], names=["doc", "place", "key"])
+
+    sent = docs.select("doc", "body").mapInArrow(send, "key long, doc long, at long")
+    return written(sent.repartition("key").sortWithinPartitions("key").mapInArrow(group, "doc long, place long, key long"), "anchors")
+
+
+#: body is null where a stretch is known to repeat.
+_STRETCHES = "key long, doc long, at long, anchor int, n int, body binary"
+_NAMES = ["key", "doc", "at", "anchor", "n", "body"]
+
+
+def _sent_once(key: np.ndarray, doc: np.ndarray, at: np.ndarray, anchor: np.ndarray, n: np.ndarray, body: list[bytes]) -> pa.RecordBatch:
+    """Of equal stretches the first in order keeps its body; runs of the others that follow one another become one row."""
+    order = np.lexsort((at, doc))
+    first: dict[bytes, int] = {}
+    copy = np.fromiter((first.setdefault(body[i], i) != i for i in order.tolist()), bool, len(order))
+    lead, known = order[~copy], order[copy]
+    head = np.append(True, (doc[known][1:] != doc[known][:-1]) | (at[known][1:] != at[known][:-1] + n[known][:-1])) if len(known) else np.zeros(0, bool)
+    begin = np.flatnonzero(head)
+    run = np.add.reduceat(n[known], begin) if len(begin) else n[:0]
+    known = known[begin]
+    spread = mix(doc[known].astype(np.uint64) ^ mix(at[known].astype(np.uint64))).view(np.int64)
+    rows = np.concatenate((lead, known))
+    columns = np.concatenate((key[lead], spread)), doc[rows], at[rows], anchor[rows].astype(np.int32), np.concatenate((n[lead], run)).astype(np.int32)
+    bodies = pa.array([body[i] for i in lead.tolist()] + [None] * len(known), pa.binary())
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), bodies], names=_NAMES)
+
+
+def _in_pieces(parts: Iterator[tuple], units: Units) -> Iterator[tuple]:
+    """key, doc, at, anchor, n and body of the pieces of hot stretches, which come as doc, at, anchor, n and body."""
+    for doc, at, anchor, n, body in parts:
+        for key, j, m, piece in units.pieces(body, n, anchor):
+            yield key - (1 << 64 if key >> 63 else 0), doc, at + j, anchor - j, m, piece
+
+
+def stretches(marked: DataFrame, units: Units, hot: np.ndarray | None) -> DataFrame:
+    """Runs of windows of the same repeated anchor, from rows of doc, body and places; those of the hot anchors in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tie, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            doc, places = batch.column(0).to_numpy(), batch.column(2)
             p_off, p_all = places.offsets.to_numpy(), places.values.to_numpy()
-            held: dict[int, list[tuple]] = {_STRETCH: [], _WINDOW: []}
+            held: list[tuple] = []
             size = 0
-            for c in chunks(batch.column(2)):
+            for c in chunks(batch.column(1)):
                 h, first = units.hashes(c)
                 start, m = anchors(h, first, units)
                 here = p_all[p_off[c.lo] : p_off[c.hi]] + np.repeat(first[:-1], np.diff(p_off[c.lo : c.hi + 1]))
@@ -223,78 +264,51 @@ def stretches(marked: DataFrame, units: Units, hot: frozenset[int]) -> DataFrame
                 start, m = start[mark[m]], m[mark[m]]
                 if not len(start):
                     continue
-                is_hot = np.isin(h[m].view(np.int64), common) if len(common) else np.zeros(len(m), bool)
+                begin = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (start[1:] != start[:-1] + 1)))
+                n = np.diff(np.append(begin, len(start)))
+                start, m = start[begin], m[begin]
                 row = np.searchsorted(first, start, "right") - 1
-                at = (tie[c.lo + row] << _TIE_SHIFT) + start - first[row]
-                size += collect(held, c, doc[c.lo + row], at, start, m, h, is_hot)
+                body = units.bodies(c, start, start + n + units.length - 1)
+                found = [h[m].view(np.int64), doc[c.lo + row], start - first[row], m - start, n, body]
+                if hot is not None and (warm := np.isin(found[0], hot)).any():
+                    parts = zip(*(x[warm].tolist() for x in found[1:5]), [body[i] for i in np.flatnonzero(warm).tolist()], strict=True)
+                    cut = list(_in_pieces(parts, units))
+                    found = [np.concatenate((x[~warm], np.array([p[k] for p in cut], np.int64))) for k, x in enumerate(found[:5])]
+                    found.append([body[i] for i in np.flatnonzero(~warm).tolist()] + [p[5] for p in cut])
+                held.append(tuple(found))
+                size += sum(map(len, found[5])) + 80 * len(found[5])
                 if size >= SEND_BYTES:
-                    yield from flush(held)
+                    yield flush(held)
                     size = 0
-            yield from flush(held)
-
-    def flush(held: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
-        for kind, parts in held.items():
-            if parts:
-                *arrays, bodies = zip(*parts, strict=True)
-                yield batch_of(*map(np.concatenate, arrays), kind, pa.concat_arrays(bodies) if kind == _STRETCH else None)
-                parts.clear()
-
-    def collect(held: dict[int, list[tuple]], c: Chunk, doc: np.ndarray, at: np.ndarray, start: np.ndarray, m: np.ndarray, h: np.ndarray, is_hot: np.ndarray) -> int:
-        """Adds a chunk's stretches and hot windows; returns about how many bytes they take."""
-        size = 0
-        if len(cold := np.flatnonzero(~is_hot)):
-            begin = np.append(True, (m[cold][1:] != m[cold][:-1]) | (start[cold][1:] != start[cold][:-1] + 1))
-            n = np.diff(np.append(np.flatnonzero(begin), len(cold)))
-            one = cold[begin]
-            body = units.cut(c, start[one], start[one] + n + units.length - 1)
-            off = np.frombuffer(body.buffers()[1], np.int32)[: len(one) + 1].astype(np.int64)
-            data = np.frombuffer(body.buffers()[2], np.uint8)
-            same = range_hash(prefix_hash(data), off[:-1], off[1:]) if len(data) else np.zeros(len(one), np.uint64)
-            held[_STRETCH].append((h[m[one]], doc[one], at[one], n, m[one] - start[one], same, body))
-            size += len(data) + 48 * len(one)
-        if len(warm := np.flatnonzero(is_hot)):
-            key = units.window_hashes(c, start[warm])
-            held[_WINDOW].append((key, doc[warm], at[warm], np.ones(len(warm), np.int64), np.zeros(len(warm), np.int64), key, None))
-            size += 48 * len(warm)
-        return size
-
-    def batch_of(key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, same: np.ndarray, kind: int, body: pa.Array | None) -> pa.RecordBatch:
-        """Of equal stretches only the first in order is to be resolved; a row that repeats a text goes."""
-        kinds, keep = np.full(len(key), kind, np.int32), np.ones(len(key), bool)
-        o, begin = equal_runs(same)
-        if len(o):
-            run_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-            order = np.lexsort((at[o], doc[o], run_of))
-            o = o[order]
-            again = np.ones(len(o), bool)
-            again[begin[:-1]] = False
-            twin = np.zeros(len(o), bool)
-            twin[1:] = again[1:] & (doc[o][1:] == doc[o][:-1]) & (at[o][1:] == at[o][:-1])
-            kinds[o[again]] = _KNOWN
-            keep[o[twin]] = False
-        known = kinds == _KNOWN
-        if (known & keep).any():  # runs of stretches that follow one another become one row
-            k = np.flatnonzero(known & keep)
-            k = k[np.lexsort((at[k], doc[k]))]
-            head = np.append(True, (doc[k][1:] != doc[k][:-1]) | (at[k][1:] != at[k][:-1] + n[k][:-1]))
-            total = np.concatenate(([0], np.cumsum(n[k])))
-            begin = np.flatnonzero(head)
-            n = n.copy()
-            n[k[begin]] = total[np.append(begin[1:], len(k))] - total[begin]
-            keep[k[~head]] = False
-        key = np.where(known, mix(key ^ mix(doc.astype(np.uint64) + at.astype(np.uint64))), key)
-        blank = pa.nulls(len(key), pa.binary())
-        body = blank if body is None else pa.compute.if_else(pa.array(known), pa.scalar(None, pa.binary()), body)
-        out = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), pa.array(kinds), pa.array(anchor.astype(np.int32)), pa.array(n.astype(np.int32)), body], names=["key", "doc", "at", "kind", "anchor", "n", "body"])
-        return out if keep.all() else out.filter(pa.array(keep))
+            if held:
+                yield flush(held)
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        *arrays, bodies = zip(*held, strict=True)
+        held.clear()
+        return _sent_once(*map(np.concatenate, arrays), [b for part in bodies for b in part])
 
     # rest isn't used here, but with it the texts' exchange is the one that the last join reads, and Spark reuses it.
-    return marked.select("doc", "tie", "body", "places", "rest").mapInArrow(run, _STRETCHES)
+    return marked.select("doc", "body", "places", "rest").mapInArrow(run, _STRETCHES)
+
+
+def split_hot(found: DataFrame, hot: DataFrame, units: Units) -> DataFrame:
+    """Stretches with those of the hot keys (a table of any size) cut into pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            warm = np.array(pa.compute.and_(batch.column(6).is_valid(), batch.column(5).is_valid()))
+            yield batch.filter(pa.array(~warm)).select(_NAMES)
+            some = batch.filter(pa.array(warm))
+            if cut := list(_in_pieces(zip(*(some.column(k).to_pylist() for k in (1, 2, 3, 4, 5)), strict=True), units)):
+                yield _sent_once(*(np.array([p[k] for p in cut], np.int64) for k in range(5)), [p[5] for p in cut])
+
+    return found.join(hot.select("key", F.lit(True).alias("hot")), "key", "left").select(*_NAMES, "hot").mapInArrow(run, _STRETCHES)
 
 
 @dataclass
 class Block:
-    """Stretches of some anchors in order of document and start; stretch i has n[i] windows, its anchor at unit anchor[i]."""
+    """Stretches of some keys in order of document and start; stretch i has n[i] windows, its anchor at unit anchor[i]."""
 
     key: np.ndarray
     anchor: np.ndarray
@@ -307,103 +321,83 @@ Resolver = Callable[[Block], np.ndarray]
 
 
 def repeated_runs(found: DataFrame, length: int, resolve: Resolver) -> DataFrame:
-    """doc, tie, begin, end: unit ranges that repeated windows cover (they may overlap)."""
-    low = (1 << _TIE_SHIFT) - 1
+    """doc, begin, end: unit ranges that repeated windows cover (they may overlap)."""
 
-    def spans(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        begin = at & low
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at >> _TIE_SHIFT), pa.array(begin), pa.array(begin + n + length - 1)], names=["doc", "tie", "begin", "end"])
+    def spans(doc: np.ndarray, begin: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(begin), pa.array(begin + n + length - 1)], names=["doc", "begin", "end"])
 
-    def settle(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of whole keys, sorted by key."""
-        kind = rows.column(3).to_numpy()
-        doc, at, n = rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(5).to_numpy().astype(np.int64)
-        known = kind == _KNOWN
+        rows = [pa.concat_arrays([b.column(i) for b in held]) for i in range(6)]
+        key, doc, at, anchor, n = (c.to_numpy() for c in rows[:5])
+        n = n.astype(np.int64)
+        known = np.array(rows[5].is_null())
         if known.any():
             yield spans(doc[known], at[known], n[known])
-        win = np.flatnonzero(kind == _WINDOW)
-        if len(win):
-            key = rows.column(0).to_numpy()[win]
-            order = win[np.lexsort((at[win], doc[win], key))]
-            k = rows.column(0).to_numpy()[order]
-            lead = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            lead = np.repeat(order[lead], np.diff(np.append(lead, len(k))))
-            dup = (doc[order] != doc[lead]) | (at[order] != at[lead])
-            yield spans(doc[order[dup]], at[order[dup]], n[order[dup]])
-        at_work = np.flatnonzero(kind == _STRETCH)
-        if not len(at_work):
+        same = key[1:] == key[:-1]
+        meets = (np.append(False, same) | np.append(same, False)) & ~known  # a stretch alone in its key repeats nothing
+        work = np.flatnonzero(meets)
+        if len(work) < 2:
             return
-        at_work = at_work[np.lexsort((at[at_work], doc[at_work]))]
-        part = rows.take(pa.array(at_work))
-        body = part.column(6)
-        first: dict[tuple[int, bytes], int] = {}
-        fresh, copies = [], []
-        keys, d, a = part.column(0).to_pylist(), doc[at_work], at[at_work]
-        for i, (k, b) in enumerate(zip(keys, body.to_pylist(), strict=True)):
-            j = first.setdefault((k, b), i)
-            if j == i:
-                fresh.append(i)
-            elif d[i] != d[j] or a[i] != a[j]:
-                copies.append(i)
-        if copies:
-            yield spans(d[copies], a[copies], n[at_work[copies]])
-        if len(fresh) > 1:
-            f = part.take(pa.array(fresh))
-            body = pa.concat_arrays([f.column(6)])
-            off = np.frombuffer(body.buffers()[1], np.int32)[: len(fresh) + 1].astype(np.int64)
-            data = np.frombuffer(body.buffers()[2], np.uint8)[off[0] : off[-1]]
-            count = f.column(5).to_numpy().astype(np.int64)
-            dup = resolve(Block(f.column(0).to_numpy(), f.column(4).to_numpy().astype(np.int64), count, data, off - off[0]))
-            owner, j = ragged(count)
-            begin = dup & np.append(True, ~dup[:-1] | (owner[1:] != owner[:-1]))
-            stop = dup & np.append(~dup[1:] | (owner[1:] != owner[:-1]), True)
-            b, e = np.flatnonzero(begin), np.flatnonzero(stop)
-            yield spans(d[fresh][owner[b]], a[fresh][owner[b]] + j[b], e - b + 1)
+        work = work[np.lexsort((at[work], doc[work]))]
+        body = rows[5].take(pa.array(work))
+        off = np.frombuffer(body.buffers()[1], np.int32)[: len(work) + 1].astype(np.int64)
+        data = np.frombuffer(body.buffers()[2], np.uint8)[: off[-1]]
+        n = n[work]
+        dup = resolve(Block(key[work], anchor[work].astype(np.int64), n, data, off))
+        owner, j = ragged(n)
+        new = owner[1:] != owner[:-1]
+        b = np.flatnonzero(dup & np.append(True, ~dup[:-1] | new))
+        e = np.flatnonzero(dup & np.append(~dup[1:] | new, True))
+        if len(b):
+            yield spans(doc[work][owner[b]], at[work][owner[b]] + j[b], e - b + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.append(held[-1].column(0)[-1].as_py() != key[0] if held else False, key[1:] != key[:-1]))
-            body_off = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(6)), 0).to_numpy() + 48)))
+            edges = np.flatnonzero(np.append(key[0] != last if held else False, key[1:] != key[:-1]))
+            last = key[-1]
+            total = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(5)), 0).to_numpy() + 48)))
             lo = 0
-            for e in edges:  # only places where a block may end
-                if size + body_off[e] - body_off[lo] >= BLOCK_BYTES:
-                    held.append(batch.slice(lo, int(e) - lo))
-                    yield from settle(_joined(held))
-                    held, size, lo = [], 0, int(e)
+            for e in edges.tolist():  # only places where a block may end
+                if size + total[e] - total[lo] >= BLOCK_BYTES:
+                    held.append(batch.slice(lo, e - lo))
+                    yield from settle(held)
+                    held, size, lo = [], 0, e
             held.append(batch.slice(lo))
-            size += int(body_off[-1] - body_off[lo])
+            size += int(total[-1] - total[lo])
         if held:
-            yield from settle(_joined(held))
-
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, tie long, begin long, end long")
-
+            yield from settle(held)
 
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, begin long, end long")
 
 
 def with_repeats(docs: DataFrame, units: Units, resolve: Resolver, id: str = "doc_id", text: str = "text", hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
     """rest (a struct of the columns to keep, by default the id), body and begins, ends: the unit ranges of the text that repeated windows cover."""
-    base = keyed(docs, id, text, [id] if keep is None else keep)
+    texts = numbered(docs, id, text, [id] if keep is None else keep)
+    found = repeated_anchors(texts, units, hot)
+    places = found.where("doc is not null").groupBy("doc").agg(F.collect_list("place").alias("places"))  # no longer than the text
+    hot_keys = found.where("doc is null").select("key")
     # Both joins deal the texts out by the same key, so Spark moves them once and reads the exchange twice.
-    texts = base.select("rest", "doc", "tie", "body")
-    marked = texts.join(repeated_anchors(base, units), ["doc", "tie"])
-    runs = repeated_runs(stretches(marked, units, hot_anchors(base, units, hot)), units.length, resolve)
-    runs = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    return texts.join(runs, ["doc", "tie"], "left").select("rest", "body", F.col("runs.begin").alias("begins"), F.col("runs.end").alias("ends"))
+    marked = texts.join(places, "doc")
+    if hot_keys.count() <= HOT_LIST:
+        few = hot_keys.toArrow()["key"].to_numpy()
+        cut = stretches(marked, units, few if len(few) else None)
+    else:
+        cut = split_hot(stretches(marked, units, None), hot_keys, units)
+    runs = repeated_runs(cut, units.length, resolve).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+    return texts.join(runs, "doc", "left").select("rest", "body", F.col("runs.begin").alias("begins"), F.col("runs.end").alias("ends"))
 
 
 def covered_units(batch: pa.RecordBatch, c: Chunk, first: np.ndarray, begins: int, ends: int) -> np.ndarray:
     """Mask of a chunk's units that the ranges in two list columns cover; first: the first unit of each row."""
-    edge = np.zeros(int(first[-1]) + 1, np.int32)
+    total = int(first[-1])
     lists = batch.column(begins).slice(c.lo, c.n), batch.column(ends).slice(c.lo, c.n)
     count = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists[0]), 0))
     base = np.repeat(first[:-1], count)
-    np.add.at(edge, base + lists[0].flatten().to_numpy(), 1)
-    np.add.at(edge, base + lists[1].flatten().to_numpy(), -1)
-    return np.cumsum(edge[:-1]) > 0
+    opened, closed = (np.bincount(base + x.flatten().to_numpy(), minlength=total + 1)[:total] for x in lists)
+    return np.cumsum(opened - closed) > 0

@@ -3,10 +3,11 @@
 Seeds are winnowed anchors of 8 words; the documents that share one meet at it (see repeats.py).  A match is extended to the
 left and to the right word by word, for all occurrences of a seed in lockstep: after each step two occurrences are still
 together if all words so far agree.  A window of ``length`` words that a left and a right extension reach together is a
-repeat; runs of them make the maximal repeats, and every repeat but the first occurrence is removed.
+repeat if its words are those of the first such window; runs of repeated windows are the maximal repeats over the length
+threshold, and all of a repeat but its first occurrence is removed.
 
-Defined cases: a null or empty text has no words and keeps the hash of the empty text; ties, null ids and repeated rows
-are ordered as repeats.py says; an empty table gives an empty result; columns other than id and text are ignored.
+Defined cases: a null or empty text has no words and keeps the hash of the empty text; null and repeated ids are ordered as
+repeats.py says, and of rows that share id and text all but one are repeats; an empty table gives an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import HOT, Block, Words, covered_units, with_repeats
-from .textops import Chunk, chunks, mix, ragged, seen_before, word_hashes, words
+from .textops import Chunk, chunks, equal_runs, mix, ragged, same_bytes, word_hashes, words
 
 LENGTH, SEED = 20, 8
 
@@ -45,7 +46,14 @@ def resolver(length: int = LENGTH, seed: int = SEED):
                 state[ok, d] = mix(state[ok, d - 1] * np.uint64(0x9E3779B97F4A7C15) + h[at[ok]])
         i, j = ragged(b.n)
         back = b.anchor[i] - j  # words of window j before the seed
-        return seen_before(mix(left[i, back] + mix(right[i, most - back] ^ back.astype(np.uint64))))
+        at, begin = equal_runs(mix(left[i, back] + mix(right[i, most - back] ^ back.astype(np.uint64))))
+        lead = np.repeat(at[begin[:-1]], np.diff(begin))
+        later, lead = at[at != lead], lead[at != lead]
+        first = w.first[:-1][i] + j
+        lo, hi = w.start[first], w.end[first + length - 1]
+        dup = np.zeros(len(i), bool)
+        dup[later] = same_bytes(c.data, lo[later], hi[later], lo[lead], hi[lead])
+        return dup
 
     return resolve
 

@@ -3,17 +3,19 @@
 repeats.py brings together the stretches of text whose windows can repeat; here a block of them is sorted:
 
 * A difference cover D modulo V is a set of residues such that any two places are both in D after one shift of less than V.
-  The suffixes at the places of the block that lie in D are ranked first (the cover sample, under a fifth of all places).
+  The suffixes at the places of the block that lie in D are ranked first (the cover sample, under a fifth of all places):
+  by their first V bytes, and then by doubling, as the place V further on is in the sample too.
 * The windows' suffixes are then sorted one suffix bucket at a time (by their first bytes), to V bytes directly.  Suffixes
   that still tie are settled by the sample's ranks after their shift, in a three-way quicksort that treats all ties of the
   bucket at once.  So a tie of any length costs one look-up, and memory is bounded by the sample and one bucket.
 * Neighbours in the sorted bucket whose common prefix has the window's length are occurrences of the same string; all but
   the first in document order are repeats.
 
-Bytes are compared themselves, not hashes.
+Hashes only bring stretches together; what repeats is decided by comparing bytes.  Stretches that are equal as a whole
+within one batch are compared there, before they are sent, and only one of them is sorted.
 
-Defined cases: a null text is empty; matches never cross documents; ties, null ids and repeated rows are ordered as
-repeats.py says; an empty table gives an empty result; columns other than id and text are ignored by ``remove_repeats``.
+Defined cases: a null text is empty; matches never cross documents; null and repeated ids are ordered as repeats.py says, and
+of rows that share id and text all but one are repeats; an empty table gives an empty result; columns other than id and text are ignored by ``remove_repeats``.
 ``deduplicate`` keeps all columns, whatever their names; a character that lost some of its bytes goes.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .repeats import HOT, Block, Bytes, covered_units, with_repeats
-from .textops import chunks, ragged
+from .textops import byte_words, chunks, ragged
 
 LENGTH, SEED = 100, 24
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members in one way.
@@ -46,26 +48,19 @@ def _shifts() -> np.ndarray:
 SHIFT = _shifts()
 
 
-def _words_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes at each place as an integer that sorts like them."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | x[at + k]
-    return out
-
-
-def _refine(x: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at some places by their first depth bytes, and the number of each one's group of equals."""
+def _refine(at: np.ndarray, keys: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of some places by one key after the other (each an array over all places), and the number of each one's group of equals."""
     n = len(at)
     order, group = np.arange(n), np.zeros(n, np.int64)
     tied = np.arange(n)  # positions in order that are not alone in their group
-    for d in range(0, depth, 8):
+    for key in keys:
         if not len(tied):
             break
-        w = _words_at(x, at[order[tied]] + d)
-        if depth - d < 8:
-            w >>= np.uint64(8 * (8 - depth + d))
-        by = np.lexsort((w, group[tied]))
+        w = key[at[order[tied]]]
+        if len(tied) == n and not group[-1]:  # one group so far
+            by = np.argsort(w)
+        else:
+            by = np.lexsort((w, group[tied]))
         order[tied] = order[tied][by]
         w, g = w[by], group[tied]
         # A group's number is the position of its first member, so parts of a group get new numbers in place.
@@ -77,6 +72,26 @@ def _refine(x: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.n
     return order, group
 
 
+def _prefix_keys(word: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """The first depth bytes at each place as integers of 8 bytes; word: the 8 bytes at each place."""
+    for d in range(0, depth, 8):
+        w = word[d:]
+        yield w if depth - d >= 8 else w >> np.uint64(8 * (8 - depth + d))
+
+
+def _cover_ranks(word: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """Ranks of the suffixes at the cover's places among n, by at least depth bytes; 0 elsewhere."""
+    sample = np.flatnonzero(np.isin(np.arange(n) % V, COVER))
+    order, group = _refine(sample, _prefix_keys(word, V))
+    rank, known = np.zeros(len(word), np.int64), V
+    rank[sample[order]] = group + 1
+    while known < depth and len(sample):
+        order, group = _refine(sample, iter((rank, np.append(rank[known:], np.zeros(known, np.int64)))))
+        rank[sample[order]] = group + 1
+        known *= 2
+    return rank
+
+
 def _settle(order: np.ndarray, group: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Sorts each group of ties by the cover sample's ranks: three-way quicksort of all groups at once."""
     alone = np.append(True, group[1:] != group[:-1]) & np.append(group[1:] != group[:-1], True)
@@ -99,9 +114,9 @@ def _settle(order: np.ndarray, group: np.ndarray, at: np.ndarray, rank: np.ndarr
     return order
 
 
-def _buckets(x: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+def _buckets(word: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """Indices of the suffixes, one bucket at a time; suffixes that share their first 8 bytes share their bucket."""
-    first = _words_at(x, at)
+    first = word[at]
     many = len(at) // BUCKET
     if not many:
         yield np.arange(len(at))
@@ -117,16 +132,13 @@ def resolver(length: int = LENGTH):
     """Marks the windows of a block that start earlier in it too."""
 
     def resolve(b: Block) -> np.ndarray:
-        x = np.append(b.data, np.zeros(2 * length + V + 16, np.uint8))
+        word = byte_words(np.append(b.data, np.zeros(2 * length + 2 * V, np.uint8)))
         stretch, j = ragged(b.n)
         at = b.off[:-1][stretch] + j  # in document order, as the stretches are
-        sample = np.flatnonzero(np.isin(np.arange(len(b.data)) % V, COVER))
-        order, group = _refine(x, sample, length)
-        rank = np.zeros(len(x), np.int64)
-        rank[sample[order]] = group
+        rank = _cover_ranks(word, len(b.data), length)
         dup = np.zeros(len(at), bool)
-        for mine in _buckets(x, at):
-            order, group = _refine(x, at[mine], V)
+        for mine in _buckets(word, at):
+            order, group = _refine(at[mine], _prefix_keys(word, V))
             order = mine[_settle(order, group, at[mine], rank)]
             same = np.append(False, group[1:] == group[:-1])
             near = np.flatnonzero(same)
@@ -136,7 +148,7 @@ def resolver(length: int = LENGTH):
                 left = np.flatnonzero(equal)
                 if not len(left):
                     break
-                u, v = _words_at(x, p[left] + d), _words_at(x, q[left] + d)
+                u, v = word[p[left] + d], word[q[left] + d]
                 if length - d < 8:
                     u, v = u >> np.uint64(8 * (8 - length + d)), v >> np.uint64(8 * (8 - length + d))
                 equal[left[u != v]] = False
@@ -171,7 +183,6 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str = "n_chars", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """docs with what is left of each text (a null one is then empty); the column chars, if there is one, follows the text."""
     others = [c for c in docs.columns if c != text]

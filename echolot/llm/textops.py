@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at once in a task; one longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -133,6 +133,17 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * inverse[start] ^ (end - start).astype(np.uint64))
 
 
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place as an integer that sorts like them; zeros follow the end."""
+    n = len(data)
+    rows = n // 8 + 1
+    padded = np.concatenate((data, np.zeros(8 * rows + 8 - n, np.uint8)))
+    out = np.empty((rows, 8), np.uint64)
+    for k in range(8):
+        out[:, k] = np.frombuffer(padded, ">u8", rows, k)
+    return out.ravel()[:n]
+
+
 def word_hashes(c: Chunk, w: Words, data: np.ndarray | None = None) -> np.ndarray:
     return range_hash(prefix_hash(c.data if data is None else data), w.start, w.end)
 
@@ -178,6 +189,19 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, at
 
 
+def same_bytes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether data[lo:hi] are the bytes data[other_lo:other_hi], for each pair of ranges; about ``most`` bytes at once."""
+    size = hi - lo
+    out = size == other_hi - other_lo
+    pairs = np.flatnonzero(out)
+    total = np.cumsum(size[pairs])
+    for p in np.split(pairs, np.searchsorted(total, np.arange(most, total[-1], most))) if len(pairs) else ():
+        row, k = ragged(size[p])
+        differs = data[lo[p][row] + k] != data[other_lo[p][row] + k]
+        out[p[row[differs]]] = False
+    return out
+
+
 def equal_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries whose key occurs at least twice, ordered by key and then place; and where each key's run begins (with the end)."""
     n = len(keys)
