@@ -1,15 +1,22 @@
-"""MinHash near-duplicates: one permutation, optimal densification, banded buckets, star-shaped candidate edges
-and then those between a bucket's components.
+"""MinHash near-duplicates: one permutation, optimal densification, banded buckets and star-shaped candidate edges.
 
 1. Every text becomes a set of word shingles.  One hash per shingle picks a bin and a value; the least value of each bin is
    the signature, and an empty bin takes the value of a filled one that a fixed hash sequence of the bin's number finds.
 2. Texts with the same set are one node (grouped by a 128-bit hash of the set, combined before the shuffle), so thousands of
    copies cost one row from here on.
-3. Bands of the signature are buckets, and so are pairs of neighbouring bands.  A bucket first ties each member to its smallest
-   and its largest node.  Where the links found so far leave a bucket of one band in several components, its members are then
-   tried with the ends of its other components, and at last with all members of them, so every pair of a bucket that is
-   similar enough ends in one component; only pairs that are already joined are never tried.
-4. Every candidate edge is checked on full sets; components come from alternating large-star and small-star steps.
+3. Bands of the signature are buckets.  A bucket of n nodes gives at most 2n edges: from each member to the one with the
+   smallest set (the centre) and to one that may be the text that the others were made from (the one with the smallest id, in
+   later rounds the one that meets most others).  Every edge is checked on full sets.
+4. Buckets that the links leave in several components go on.  If but a few members (STRAGGLERS) are outside the largest
+   component, these are tried with all members of other components.  Otherwise the members are dealt out again, by shingles
+   that the centre lacks, and the narrower buckets are treated as in 3 and 4.  Nothing is lost by that:
+   the centre c is no larger than x and y; if it isn't linked with y, x and y can share at most |y & c| <
+   p (|y| + |c|) / (100 + p) shingles inside c, which is too few for a link of x and y, so they have one outside c in
+   common; in fact so many that a prefix of y's shingles outside c must meet those of x.  A narrower bucket has a
+   later centre, so this ends.  A crowd that has only its centre's shingles in common falls apart at once.
+5. Components come from alternating large-star and small-star steps.
+
+So every pair at the threshold that shares a bucket ends in one component, and no bucket gives all its pairs.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; one with fewer words than a
 shingle has is one shingle; rows that share an id are one node and are linked by any of their sets, and each keeps a result
@@ -23,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
-from .textops import LOWER, Chunk, chunks, gram_hashes, inside, mix, seen_before, word_hashes, words
+from ..scratch import cut, written
+from .textops import LOWER, Chunk, chunks, gram_hashes, inside, mix, ragged, repeated, seen_before, word_hashes, words
 
 WORDS = 5
 PERCENT = 80
 #: 24 bands of 4 bins: a pair at 0.8 shares no band with probability 3e-6; at 0.3 it shares one with 0.18.
 BANDS, BAND_BINS = 24, 4
+#: Members outside a bucket's largest component that are tried with all others.
+STRAGGLERS = 8
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -114,34 +123,61 @@ def sketch(docs: DataFrame, k: int = WORDS, id: str = "doc_id", text: str = "tex
     return docs.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
+def _side_by_side(batch: pa.RecordBatch, k: int, step: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of pairs lo to hi of a batch (a, b, text_a, text_b): the distinct shingles, the row of each (twice the pair, and 1 for b) and whether its pair's other text has it too."""
+    left, right = batch.column(2), batch.column(3)
+    both = pa.concat_arrays([left, right]).take(pa.array(np.arange(2 * len(left)).reshape(2, -1).T.ravel()))
+    for lo in range(0, len(left), step):
+        part = both.slice(2 * lo, 2 * step)
+        found = [(g, row + c.lo) for c in chunks(part) for g, row in (distinct_shingles(c, k),)]
+        g, row = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield lo, lo + len(part) // 2, g, row, repeated(g ^ mix(row.astype(np.uint64) // np.uint64(2)))
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+
+
 def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b and whether 100 * intersection >= percent * union of their full shingle sets; pairs are few for each text."""
+    """a, b: the pairs with 100 * intersection >= percent * union of their full shingle sets, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = pa.array(batch.column(2)), pa.array(batch.column(3))
-            both = pa.concat_arrays([left, right]).take(pa.array(np.arange(2 * len(left)).reshape(2, -1).T.ravel()))  # a pair's texts side by side
-            good: list[np.ndarray] = []
-            step = 256
-            for lo in range(0, len(both), 2 * step):
-                part = both.slice(lo, 2 * step)
-                rows, hashes, base = [], [], 0
-                for c in chunks(part):
-                    g, row = distinct_shingles(c, k)
-                    rows.append(row + c.lo)
-                    hashes.append(g)
-                row, g = np.concatenate(rows), np.concatenate(hashes)
-                n = len(part) // 2
-                pair = row // 2
-                size = np.bincount(pair, minlength=n)
-                common = np.bincount(pair[seen_before(g ^ mix(pair.astype(np.uint64) + np.uint64(base)))], minlength=n)
-                good.append(100 * common >= percent * (size - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(good) if good else np.zeros(0, bool))], names=["a", "b", "linked"])
+            good = np.zeros(batch.num_rows, bool)
+            for lo, hi, _, row, both in _side_by_side(batch, k):
+                size = np.bincount(row // 2, minlength=hi - lo)
+                common = np.bincount(row[both] // 2, minlength=hi - lo) // 2
+                good[lo:hi] = 100 * common >= percent * (size - common)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return cut(_with_texts(pairs, texts).mapInArrow(run, "a long, b long").distinct())
+
+
+def outside(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b and keys: of the shingles of b that a lacks, those of which a partner of b must have one.
+
+    a's set is not larger than b's, nor than that of any partner asked for.  If a and b are not linked, a partner has so many of
+    them that it meets the first ones in a fixed order; if they are, all are needed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, g, row, both in _side_by_side(batch, k):
+                n = 2 * (hi - lo)
+                size, common = np.bincount(row, minlength=n), np.bincount(row[both], minlength=n)[1::2]
+                least = -(-percent * (size[::2] + size[1::2]) // (100 + percent)) - common
+                mine = np.flatnonzero(~both & (row % 2 == 1))
+                mine = mine[np.lexsort((mix(g[mine]), row[mine]))]
+                own = np.bincount(row[mine] // 2, minlength=hi - lo)
+                take = np.maximum(own - np.maximum(least, 1) + 1, 0)
+                pair, at = ragged(own)
+                kept = mine[at < take[pair]]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(take, own)))).astype(np.int32)), pa.array(g[kept].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=["a", "b", "keys"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, keys array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,7 +190,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # Cut, so that the join deals out both sides itself and Spark can split the edges of a node with very many.
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
@@ -165,28 +202,44 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _pairs_apart(nodes: DataFrame, good: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """a, b: pairs of a bucket's members that the links a, b of good leave in different components.
+def _pair(other: str, size: str) -> Column:
+    """The node and another one, the one of the smaller set (then of the smaller id) first."""
+    mine, its = F.struct(F.col("n_shingles").alias("s"), F.col("node").alias("x")), F.struct(F.col(size).alias("s"), F.col(other).alias("x"))
+    return F.struct(F.least(mine, its)["x"].alias("a"), F.greatest(mine, its)["x"].alias("b"))
+
+
+def _fits(size: str, percent: int) -> Column:
+    """Whether set sizes alone don't rule a link out."""
+    return 100 * F.least(size, "n_shingles") >= percent * F.greatest(size, "n_shingles")
+
+
+def _ends(members: DataFrame) -> DataFrame:
+    """key, node and size of the smallest set (centre) and of the member with the largest ``met``, of keys with several members."""
+    size = F.struct("n_shingles", "node")
+    ends = members.groupBy("key").agg(F.min(size).alias("c"), F.max(F.struct("met", "node", "n_shingles")).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    return cut(ends.select("key", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"), F.col("m.node").alias("origin"), F.col("m.n_shingles").alias("origin_size")))
 
-    whole: all such pairs; else only those with the smallest or largest member of a bucket's component.  Pairs whose set
-    sizes alone rule a link out are left out.
-    """
-    tree = components(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    members = nodes.select("node", "n_shingles", F.explode("bands").alias("key")).join(tree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    row = F.struct("node", "n_shingles")
-    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi"))
-    parts = cut(parts)
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    live = cut(members.join(mixed.select("key", F.col("most.component").alias("most")), "key"))
-    if whole:  # a pair of different components has a member outside the bucket's largest one
-        from_ = live.where("component != most").select("key", "component", "node", "n_shingles")
-    else:
-        ends = parts.join(mixed.select("key"), "key", "left_semi").select("key", "component", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e"))
-        from_ = ends.select("key", "component", "e.node", "e.n_shingles")
-    from_ = from_.toDF("key", "c", "x", "s")
-    fits = 100 * F.least("s", "n_shingles") >= percent * F.greatest("s", "n_shingles")
-    met = live.join(from_, "key").where((F.col("c") != F.col("component")) & fits)
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+def _with_met(members: DataFrame) -> DataFrame:
+    """Members with met: the sizes of a node's buckets together."""
+    sizes = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    met = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("met"))
+    return cut(members.join(cut(met), "node"))
+
+
+def _star(members: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """a, b: each member with the two ends of its bucket, where set sizes allow a link."""
+    each = F.array(*(F.when(_fits(f"{e}_size", percent), _pair(e, f"{e}_size")) for e in ("centre", "origin")))
+    return members.join(ends, "key").select(F.explode(each).alias("p")).where("p.a != p.b").select("p.a", "p.b").distinct()
+
+
+def _apart(members: DataFrame, tree: DataFrame) -> DataFrame:
+    """Members of the keys that hold several components, with component, the largest one (most) and how many are outside it (rest)."""
+    known = members.join(tree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = cut(mixed.select("key", F.col("most.component").alias("most"), (F.col("n") - F.col("most.n")).alias("rest")))
+    return cut(known.join(mixed, "key"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,22 +247,31 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
 
     They join any two nodes that are similar enough and share a band.
     """
-    bands = F.col("bands")
-    turned = F.concat(F.slice(bands, 2, F.size(bands) - 1), F.slice(bands, 1, 1))
-    double = F.zip_with(bands, turned, lambda x, y: F.xxhash64(x, y))
-    members = nodes.select("node", F.explode(F.concat(bands, double)).alias("key"))
-    ends = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    pair = lambda c: F.struct(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
-    pairs = cut(members.join(ends, "key").select(F.explode(F.array(pair("lo"), pair("hi"))).alias("p")).where("p.a < p.b").select("p.a", "p.b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
-    tested = pairs
-    good = cut(linked_pairs(pairs, texts, k, percent).where("linked").select("a", "b"))
-    for whole in (False, True):
-        new = cut(_pairs_apart(nodes, good, percent, whole).join(tested, ["a", "b"], "left_anti"))
-        good = cut(good.union(linked_pairs(new, texts, k, percent).where("linked").select("a", "b")))
-        tested = tested.union(new)
-    return good
+    members = nodes.select("node", "n_shingles", F.explode("bands").alias("key"), (-F.col("node")).alias("met"))
+    ends = _ends(members)
+    members = cut(members.join(ends.select("key"), "key", "left_semi"))
+    texts = written(docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    good = linked_pairs(cut(_star(members, ends, percent)), texts, k, percent)
+    while True:
+        tree = components(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        apart = _apart(members, tree)
+        few, many = apart.where(F.col("rest") <= STRAGGLERS), apart.where(F.col("rest") > STRAGGLERS)
+        out = few.where("component != most").select("key", F.col("component").alias("c"), F.col("node").alias("x"), F.col("n_shingles").alias("s"))
+        pairs = few.join(cut(out), "key").where((F.col("c") != F.col("component")) & _fits("s", percent)).select(_pair("x", "s").alias("p")).select("p.a", "p.b")
+        stars = many.join(ends.select("key", "centre"), "key").where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "n_shingles").distinct()
+        stars = cut(stars)
+        crowded = not stars.isEmpty()
+        if crowded:
+            keys = outside(stars.select("a", "b").distinct(), texts, k, percent)
+            # A bucket of the next round: members of a centre's buckets that share a shingle which the centre lacks.
+            dealt = keys.join(stars, ["a", "b"]).select(F.col("b").alias("node"), "n_shingles", F.explode("keys").alias("g"), "a").select("node", "n_shingles", F.xxhash64("a", "g").alias("key")).distinct()
+            members = _with_met(_apart(cut(dealt), tree).select("node", "n_shingles", "key"))
+            ends = _ends(members)
+            pairs = pairs.union(_star(members, ends, percent))
+        pairs = cut(pairs.distinct())
+        good = cut(good.union(linked_pairs(pairs, texts, k, percent)))
+        if not crowded:
+            return good
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:

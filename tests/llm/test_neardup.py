@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from echolot.llm import neardup
 from echolot.llm.queries import QUERIES
 from tests.llm import brute
@@ -53,3 +55,59 @@ def test_pairs_inside_a_crowd(spark):
     assert sum(not kept for *_, kept in want) == 20
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in neardup.near_duplicates(table, k=4).collect()} == want
+
+
+def templated(rng, template, own, shared, pairs=150):
+    """Pairs of texts on one template: strangers have the template alone in common, mates also ``shared`` words."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    core, rows = [word() for _ in range(template)], []
+    for _ in range(pairs):
+        mine = [word() for _ in range(shared)]
+        rows += [" ".join(core + mine + [word() for _ in range(own)]) for _ in range(2)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("template, own, shared", [(140, 14, 6), (140, 13, 10)])
+def test_no_link_is_lost_on_a_template(spark, template, own, shared):
+    rows = templated(random.Random(11), template, own, shared)
+    want = brute.components(rows)
+    assert sum(not kept for *_, kept in want) == 150
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardup.near_duplicates(table, k=4).collect()} == want
+
+
+def test_variants_of_one_text(spark):
+    """Every variant is linked with the text in the middle, and hardly with one another."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    base = [word() for _ in range(200)]
+    rows = [" ".join(base)]
+    for _ in range(60):
+        text = list(base)
+        for at in rng.sample(range(200), 5):
+            text[at] = word()
+        rows.append(" ".join(text[: rng.randint(196, 200)]))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardup.near_duplicates(table, k=4).collect()} == brute.components(rows)
+
+
+def test_keys_outside_a_centre(spark):
+    """Two partners that are no smaller than a centre meet in what they have outside it, linked with it or not."""
+    rng = random.Random(13)
+    texts = [t for _, t in templated(rng, 60, 6, 4, pairs=20)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [brute.shingles(t) for t in texts]
+    centre = min(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    pairs = spark.createDataFrame([(centre, i) for i in range(len(sets)) if i != centre], "a long, b long")
+    keys = {r.b: set(r["keys"]) for r in neardup.outside(pairs, table, 4, 80).collect()}
+    linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    found = 0
+    for i in keys:
+        for j in keys:
+            if i < j and linked(i, j) and not (linked(i, centre) and linked(j, centre)):
+                assert keys[i] & keys[j]
+                found += 1
+    assert found
