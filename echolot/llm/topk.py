@@ -1,22 +1,23 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Queries are taken in blocks of bounded size; each block becomes a cover tree that is broadcast.  A task gathers its
+Queries are taken in blocks of bounded bytes; each block becomes a cover tree that is broadcast.  A task gathers its
 candidate vectors in blocks and indexes each as a cover tree too.  Pairs of nodes are then visited together: the inner
 product of any query and any candidate below them is at most  q.p + |q| R_p + |p| R_q + R_q R_p  with the nodes' centres and
-covering radii, and if that is less than the worst k-th score of the query group the pair is pruned.  Pairs of leaves are
-scored exactly.  First k-th scores come from a bounded sample of candidates, so pruning starts early; the tasks' best are
+covering radii, and if that is less, by more than rounding can make of it, than the worst k-th score of the query group the
+pair is pruned.  Pairs of leaves are scored exactly, in integers where doubles could round.  First k-th scores come from a bounded sample of candidates, so pruning starts early; the tasks' best are
 merged by a ranked window that drops rows before its shuffle.
 
 Equal vectors are one point of the index with the k + 1 smallest of their ids: more can't be in a result.
 
-Defined cases: vectors that are null, empty, of another length than the first query's, or hold null or non-finite components
-take no part; a null id takes no part; ties go to the smaller id; rows that repeat an id and its vector count once, rows
+Defined cases: vectors that are null, empty or hold null or non-finite components take no part; a query's candidates are the
+vectors of its length; scores are exact while they fit a long; a null id takes no part; ties go to the smaller id; rows that repeat an id and its vector count once, rows
 that repeat an id with another vector are candidates of their own and the query has the results of each; without queries or
 candidates the result is empty; columns other than id and vector are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,8 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors broadcast at once, candidates indexed at once, candidates that give the first scores.
-QUERY_BLOCK, CANDIDATE_BLOCK, SAMPLE = 8192, 8192, 2048
+from ..scratch import written
+from .textops import ragged
+
+#: Bytes of query vectors broadcast at once, candidates indexed at once, candidates of a length that give the first scores.
+QUERY_BYTES, CANDIDATE_BLOCK, SAMPLE = 16 << 20, 8192, 2048
+#: A score that no pair has.
+NONE = np.iinfo(np.int64).min
 LEAF, FANOUT = 64, 12
 
 
@@ -66,8 +72,8 @@ class Best:
     """The best k scores and ids of each query so far."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
-        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        self.floor = np.full(n, -np.inf) if floor is None else floor  # no result scores less
+        self.score, self.id = np.full((n, k), NONE), np.full((n, k), np.iinfo(np.int64).max)
+        self.floor = np.full(n, NONE) if floor is None else floor  # no result scores less
 
     def worst(self, rows: np.ndarray) -> np.ndarray:
         return np.maximum(self.score[rows, -1], self.floor[rows])
@@ -82,19 +88,27 @@ class Best:
             real = new >= 0
             s = np.concatenate((self.score[rows[i]], np.repeat(scores[i, at], real.sum(axis=1))))
             d = np.concatenate((self.id[rows[i]], new[real]))
-            order = np.lexsort((d, -s))[:k]
+            order = np.lexsort((d, ~s))[:k]
             self.score[rows[i]], self.id[rows[i]] = s[order], d[order]
 
 
+def scores(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of q and p (whole doubles) as integers."""
+    if q.size and p.size and np.abs(q).max() * np.abs(p).max() * q.shape[1] >= 1 << 53:
+        return q.astype(np.int64) @ p.T.astype(np.int64)
+    return (q @ p.T).astype(np.int64)
+
+
 def search(q: np.ndarray, queries: Node, p: np.ndarray, ids: np.ndarray, points: Node, best: Best) -> None:
     stack = [(queries, points)]
     while stack:
         a, b = stack.pop()
         most = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-        if most * (1 + 1e-12) + 1e-6 < best.worst(a.members).min():
+        slack = 1e-9 * (a.norm + a.radius) * (b.norm + b.radius) + 1.0
+        if most + slack < best.worst(a.members).min():
             continue
         if not a.children and not b.children:
-            best.offer(a.members, q[a.members] @ p[b.members].T, ids[b.members])
+            best.offer(a.members, scores(q[a.members], p[b.members]), ids[b.members])
         elif a.children and (not b.children or a.radius > b.radius):
             stack += [(x, b) for x in a.children]
         else:  # the most promising child is popped first
@@ -108,60 +122,54 @@ def integer_vectors(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
     return table.where(fine & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double")).alias("v"))
 
 
-def _matrix(col: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of length d as a matrix, and which rows those are."""
-    size = np.diff(col.offsets.to_numpy())
-    rows = np.flatnonzero(size == d)
-    flat = col.flatten().to_numpy()
-    if len(rows) == len(size):
-        return flat.reshape(-1, d), rows
-    start = np.concatenate(([0], np.cumsum(size)))[:-1]
-    return flat[start[rows][:, None] + np.arange(d)], rows
+def _matrix(col: pa.Array, d: int) -> np.ndarray:
+    """Lists of length d as the rows of a matrix."""
+    return col.flatten().to_numpy().reshape(-1, d)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k best candidates other than itself of every row for which is_query(id) holds."""
     ints = integer_vectors(vectors, id, vector)
     spark = vectors.sparkSession
     # The window's limit is applied before its shuffle too, so a vector that fills a third of the table stays k + 1 rows a task.
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     points = ints.distinct().withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    asked = ints.where(is_query(F.col("id"))).distinct()
-    n = asked.select("v").distinct().count()
-    if not n:
+    points = written(points, "points")  # read once for each block of queries
+    asked = written(ints.where(is_query(F.col("id"))).distinct(), "queries")
+    sizes = asked.groupBy(F.size("v").alias("d")).agg(F.count_distinct("v").alias("n")).collect()  # a row for each length
+    parts = []
+    for d, n in sorted(sizes):
+        alike = points.where(F.size("v") == d)
+        sample = alike.orderBy(F.xxhash64("v")).limit(SAMPLE).toArrow()
+        blocks = -(-8 * d * n // query_bytes)
+        for b in range(blocks):
+            mine = asked.select("v").where((F.size("v") == d) & (F.pmod(F.xxhash64("v"), F.lit(blocks)) == b)).distinct().toArrow()  # about query_bytes
+            if mine.num_rows:
+                parts.append(_search_block(alike, mine["v"].combine_chunks(), sample, k))
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks = -(-n // query_block)
-    sample = points.orderBy(F.xxhash64("v")).limit(SAMPLE).toArrow()
-    found = None
-    for b in range(blocks):
-        mine = asked.select("v").distinct().where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == b).toArrow()  # about query_block rows
-        if mine.num_rows:
-            part = _search_block(points, mine["v"].combine_chunks(), sample, k)
-            found = part if found is None else found.unionByName(part)
+    found = functools.reduce(DataFrame.unionByName, parts)
     merged = found.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1).select("v", F.col("id").alias("vec_id"), "score")
     own = asked.withColumnRenamed("id", "query_id").join(merged, "v").where("query_id != vec_id")
     place = F.row_number().over(Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id"))
-    return own.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    return own.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _search_block(points: DataFrame, queries: pa.Array, sample: pa.Table, k: int) -> DataFrame:
-    """v, id and score: each task's k + 1 best for every query vector of a block."""
+    """v, id and score: each task's k + 1 best points (all of the queries' length) for every query vector of a block."""
     d = len(queries[0])
-    q, _ = _matrix(queries, d)
-    width = k + 1
+    q, width = _matrix(queries, d), k + 1
 
-    def id_matrix(col: pa.Array, rows: np.ndarray) -> np.ndarray:
-        out = np.full((len(rows), width), -1, np.int64)
-        for i, x in enumerate(col.take(pa.array(rows)).to_pylist()):
-            out[i, : len(x)] = x
+    def id_matrix(col: pa.Array) -> np.ndarray:
+        out = np.full((len(col), width), -1, np.int64)
+        row, at = ragged(np.diff(col.offsets.to_numpy()))
+        out[row, at] = col.flatten().to_numpy()
         return out
 
     tree = cover_tree(q)
     first = Best(len(q), width)
-    if sample.num_rows:
-        p, rows = _matrix(sample["v"].combine_chunks(), d)
-        if len(rows):
-            search(q, tree, p, id_matrix(sample["ids"].combine_chunks(), rows), cover_tree(p), first)
+    p = _matrix(sample["v"].combine_chunks(), d)
+    search(q, tree, p, id_matrix(sample["ids"].combine_chunks()), cover_tree(p), first)
     sent = points.sparkSession.sparkContext.broadcast((q, first.score[:, -1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +183,14 @@ def _search_block(points: DataFrame, queries: pa.Array, sample: pa.Table, k: int
             held.clear()
 
         for batch in batches:
-            p, rows = _matrix(batch.column(0), d)
-            if len(rows):
-                held.append((p, id_matrix(batch.column(1), rows)))
+            if batch.num_rows:
+                held.append((_matrix(batch.column(0), d), id_matrix(batch.column(1))))
             if sum(len(x) for x, _ in held) >= CANDIDATE_BLOCK:
                 flush()
         if held:
             flush()
-        row, col = np.nonzero(np.isfinite(best.score))
+        row, col = np.nonzero(best.score > NONE)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) * d + 1, d, dtype=np.int32)), pa.array(q[row].ravel()))
         yield pa.RecordBatch.from_arrays([lists, pa.array(best.id[row, col]), pa.array(best.score[row, col])], names=["v", "id", "score"])
 
-    return points.select("v", "ids").mapInArrow(run, "v array<double>, id long, score double")
+    return points.select("v", "ids").mapInArrow(run, "v array<double>, id long, score long")
