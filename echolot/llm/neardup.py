@@ -5,15 +5,15 @@
 2. Texts with the same set are one node (grouped by a 128-bit hash of the set, combined before the shuffle), so thousands of
    copies cost one row from here on.
 3. Bands of the signature are buckets.  A bucket of n nodes gives at most 2n edges: from each member to the one with the
-   smallest set (the centre) and to one that may be the text that the others were made from (the one with the smallest id, in
-   later rounds the one that meets most others).  Every edge is checked on full sets.
+   smallest set and to the one with the smallest id.  Every edge is checked on full sets.
 4. Buckets that the links leave in several components go on.  If but a few members (STRAGGLERS) are outside the largest
-   component, these are tried with all members of other components.  Otherwise the members are dealt out again, by shingles
-   that the centre lacks, and the narrower buckets are treated as in 3 and 4.  Nothing is lost by that:
-   the centre c is no larger than x and y; if it isn't linked with y, x and y can share at most |y & c| <
-   p (|y| + |c|) / (100 + p) shingles inside c, which is too few for a link of x and y, so they have one outside c in
-   common; in fact so many that a prefix of y's shingles outside c must meet those of x.  A narrower bucket has a
-   later centre, so this ends.  A crowd that has only its centre's shingles in common falls apart at once.
+   component, these are tried with all members of other components; a bounded number more (CROWD) in blocks, so that a member's
+   text moves once a block and not once a pair.  Otherwise all members are held against one, the
+   origin o (that which shares most buckets with others), and dealt out again into narrower buckets, by shingles that o lacks.
+   Nothing is lost by that: a link of x and y takes p (|x| + |y|) / (100 + p) common shingles.  If |x & o| or |y & o| is less,
+   they have some outside o in common, in fact so many that a prefix of x's shingles outside o must meet those of y.  The
+   others, whose common part with o alone could do, are smaller than o and stay together as one bucket without o.  So every
+   pair meets in a narrower or smaller bucket, and a crowd that has only its origin's shingles in common falls apart at once.
 5. Components come from alternating large-star and small-star steps.
 
 So every pair at the threshold that shares a bucket ends in one component, and no bucket gives all its pairs.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, written
+from ..scratch import written
 from .textops import LOWER, Chunk, chunks, gram_hashes, inside, mix, ragged, repeated, seen_before, word_hashes, words
 
 WORDS = 5
@@ -41,7 +41,15 @@ PERCENT = 80
 #: 24 bands of 4 bins: a pair at 0.8 shares no band with probability 3e-6; at 0.3 it shares one with 0.18.
 BANDS, BAND_BINS = 24, 4
 #: Members outside a bucket's largest component that are tried with all others.
-STRAGGLERS = 8
+STRAGGLERS = 32
+#: Members outside it that are tried with all others in blocks, from the second round on, and how many of both sides a block has.
+CROWD, BLOCK, BLOCK_OTHERS = 1024, 64, 4096
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows as a table: the rounds below build on it, and a plan that is read back carries nothing of how it came about."""
+    return written(df, "near")
+
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -152,14 +160,15 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
                 good[lo:hi] = 100 * common >= percent * (size - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return cut(_with_texts(pairs, texts).mapInArrow(run, "a long, b long").distinct())
+    return _kept(_with_texts(pairs, texts).mapInArrow(run, "a long, b long").distinct())
 
 
-def outside(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b and keys: of the shingles of b that a lacks, those of which a partner of b must have one.
+def outside(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, linked, inside and keys, from rows of a, b and least (no set of a's star is smaller).
 
-    a's set is not larger than b's, nor than that of any partner asked for.  If a and b are not linked, a partner has so many of
-    them that it meets the first ones in a fixed order; if they are, all are needed.
+    inside: up to which set size of a partner the shingles that b shares with a could alone make a link.
+    keys: shingles of b that a lacks; two members of the star that aren't both smaller than the other's ``inside`` and are
+    similar enough have a key in common.  They are the first ones in a fixed order, as many as are sure to meet a partner's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +176,71 @@ def outside(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             for lo, hi, g, row, both in _side_by_side(batch, k):
                 n = 2 * (hi - lo)
                 size, common = np.bincount(row, minlength=n), np.bincount(row[both], minlength=n)[1::2]
-                least = -(-percent * (size[::2] + size[1::2]) // (100 + percent)) - common
-                mine = np.flatnonzero(~both & (row % 2 == 1))
-                mine = mine[np.lexsort((mix(g[mine]), row[mine]))]
-                own = np.bincount(row[mine] // 2, minlength=hi - lo)
-                take = np.maximum(own - np.maximum(least, 1) + 1, 0)
+                other, mine = size[::2], size[1::2]
+                smallest = batch.column(4).to_numpy()[lo:hi]
+                least = np.maximum(-(-percent * (mine + smallest) // (100 + percent)) - common, 1)
+                out = np.flatnonzero(~both & (row % 2 == 1))
+                out = out[np.lexsort((mix(g[out]), row[out]))]
+                own = np.bincount(row[out] // 2, minlength=hi - lo)
+                take = np.clip(own - least + 1, 0, own)
                 pair, at = ragged(own)
-                kept = mine[at < take[pair]]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(take, own)))).astype(np.int32)), pa.array(g[kept].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=["a", "b", "keys"])
+                kept = g[out[at < take[pair]]].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(kept))
+                linked = 100 * common >= percent * (other + mine - common)
+                ids = (batch.column(i).slice(lo, hi - lo) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(linked), pa.array((100 + percent) * common // percent - mine), lists], names=["a", "b", "linked", "inside", "keys"])
+
+    with_texts = _with_texts(stars, texts).join(stars.select("a", "b", "least"), ["a", "b"])
+    return _kept(with_texts.mapInArrow(run, "a long, b long, linked boolean, inside long, keys array<long>"))
+
+
+def crossed(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between the members outside a key's largest component and those of other components, from rows as _apart gives them.
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, keys array<long>")
+    Blocks of both sides meet, so a task holds the sets of BLOCK members at a time; of a member's links with one component
+    in a batch one is returned.
+    """
+    blocks, parts = F.ceil(F.col("rest") / BLOCK), F.ceil(F.col("n") / BLOCK_OTHERS)
+    of = lambda count, *by: F.pmod(F.xxhash64(*by), count)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    some = members.where("component != most").select("key", "node", "component", of(blocks, "node").alias("block"), every(parts).alias("part"), F.lit(0).alias("side"))
+    others = members.select("key", "node", "component", every(blocks).alias("block"), of(parts, "node", F.lit(1)).alias("part"), F.lit(1).alias("side"))
+    rows = _kept(some.union(others).select(F.xxhash64("key", "block", "part").alias("group"), "side", F.col("node").alias("doc_id"), "component"))
+    rows = rows.join(texts, "doc_id").select("group", "side", F.col("doc_id").alias("node"), "component", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            key, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]))) if len(key) else []
+            for lo, hi in zip(edge, np.append(edge[1:], len(key)), strict=True):
+                if key[lo] != group:
+                    group, held = key[lo], []
+                for at in range(lo, hi, 256):
+                    own = batch.slice(at, min(256, hi - at))
+                    found = [(g, row + c.lo) for c in chunks(own.column(4)) for g, row in (distinct_shingles(c, k),)]
+                    sets = own.column(2).to_numpy(), own.column(3).to_numpy(), *(np.concatenate(x) for x in zip(*found, strict=True))
+                    if side[lo] == 0:
+                        held.append(sets)
+                    elif held:
+                        yield meet(held, sets)
+
+    def meet(held: list[tuple], sets: tuple) -> pa.RecordBatch:
+        if len(held) > 1:
+            base = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
+            held[:] = [(*(np.concatenate([h[i] for h in held]) for i in range(3)), np.concatenate([h[3] + b for h, b in zip(held, base, strict=True)]))]
+        y, y_part, g, row = held[0]
+        x, x_part, g_x, row_x = sets
+        order = np.argsort(g, kind="stable")
+        lo, hi = (np.searchsorted(g[order], g_x, side) for side in ("left", "right"))
+        i, j = ragged(hi - lo)
+        common = np.bincount(row_x[i] * len(y) + row[order[lo[i] + j]], minlength=len(x) * len(y)).reshape(len(x), len(y))
+        total = np.bincount(row_x, minlength=len(x))[:, None] + np.bincount(row, minlength=len(y))
+        b, a = np.nonzero((100 * common >= percent * (total - common)) & (common > 0) & (x_part[:, None] != y_part))
+        once = np.flatnonzero(~seen_before(mix(a.astype(np.uint64)) ^ x_part[b].astype(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(y[a[once]]), pa.array(x[b[once]])], names=["a", "b"])
+
+    return _kept(rows.repartition("group").sortWithinPartitions("group", "side").mapInArrow(run, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,16 +249,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each large-star step ties the larger neighbours of a node to its smallest one, each small-star step the smaller ones; the
     result is reached when a round changes nothing, after a number of rounds that grows with the logarithm of the longest path.
     """
-    e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = _kept(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = e.union(e.select("v", "u"))
-        # Cut, so that the join deals out both sides itself and Spark can split the edges of a node with very many.
-        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        # Written, so that the join deals out both sides itself and Spark can split the edges of a node with very many.
+        least = _kept(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        e = cut(small)
+        e = _kept(small)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -213,18 +276,22 @@ def _fits(size: str, percent: int) -> Column:
     return 100 * F.least(size, "n_shingles") >= percent * F.greatest(size, "n_shingles")
 
 
-def _ends(members: DataFrame) -> DataFrame:
-    """key, node and size of the smallest set (centre) and of the member with the largest ``met``, of keys with several members."""
-    size = F.struct("n_shingles", "node")
-    ends = members.groupBy("key").agg(F.min(size).alias("c"), F.max(F.struct("met", "node", "n_shingles")).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    return cut(ends.select("key", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"), F.col("m.node").alias("origin"), F.col("m.n_shingles").alias("origin_size")))
+def _ends(members: DataFrame, origin: Column) -> DataFrame:
+    """key, and node and size of the smallest set (centre) and of the member with the largest value of origin, of keys with several members."""
+    centre, origin = F.min(F.struct("n_shingles", "node")), F.max(F.struct(origin.alias("by"), "node", "n_shingles"))
+    ends = members.groupBy("key").agg(centre.alias("c"), origin.alias("o"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    return _kept(ends.select("key", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size"), F.col("o.node").alias("origin"), F.col("o.n_shingles").alias("origin_size")))
 
 
-def _with_met(members: DataFrame) -> DataFrame:
-    """Members with met: the sizes of a node's buckets together."""
-    sizes = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+def _stars(members: DataFrame) -> DataFrame:
+    """a, b and least: each member (b) with the origin of its bucket, the member whose buckets are together largest, and the smallest set of that origin's buckets."""
+    sizes = _kept(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     met = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("met"))
-    return cut(members.join(cut(met), "node"))
+    ends = _ends(_kept(members.join(met, "node")), F.col("met"))
+    pairs = members.join(ends.select("key", F.col("origin").alias("a"), "centre_size"), "key").where("node != a")
+    # The least size is gathered from the buckets, so that no task gets all of an origin's members for it.
+    least = _kept(ends.groupBy(F.col("origin").alias("a")).agg(F.min("centre_size").alias("least")))
+    return _kept(pairs.select("a", F.col("node").alias("b"), "n_shingles").distinct().join(least, "a"))
 
 
 def _star(members: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
@@ -234,12 +301,23 @@ def _star(members: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(members: DataFrame, tree: DataFrame) -> DataFrame:
-    """Members of the keys that hold several components, with component, the largest one (most) and how many are outside it (rest)."""
+    """Members of the keys that hold several components, with component, the largest one (most), how many there are (n) and how many outside the largest one (rest)."""
     known = members.join(tree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = cut(mixed.select("key", F.col("most.component").alias("most"), (F.col("n") - F.col("most.n")).alias("rest")))
-    return cut(known.join(mixed, "key"))
+    mixed = _kept(mixed.select("key", "n", F.col("most.component").alias("most"), (F.col("n") - F.col("most.n")).alias("rest")))
+    return _kept(known.join(mixed, "key"))
+
+
+def _narrower(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """node, n_shingles and key of the next buckets: an origin's members that share a shingle outside it, and those whose common part with it could alone make a link."""
+    rows = found.join(stars, ["a", "b"]).withColumnRenamed("b", "node")
+    apart = rows.select("node", "n_shingles", F.explode("keys").alias("g"), "a").select("node", "n_shingles", F.xxhash64("a", "g").alias("key"))
+    most = _kept(rows.groupBy("a").agg(F.max("inside").alias("all"), F.max(F.when(~F.col("linked"), F.col("inside"))).alias("unlinked")))
+    # Of a pair that matters one is not linked with the origin.
+    limit = F.when(F.col("linked"), F.col("unlinked")).otherwise(F.col("all"))
+    inside = rows.join(most, "a").where((F.col("inside") >= F.col("least")) & (F.col("n_shingles") <= limit))
+    return _kept(apart.union(inside.select("node", "n_shingles", F.xxhash64("a", F.lit("inside")).alias("key"))).distinct())
 
 
 def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -247,40 +325,39 @@ def links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
 
     They join any two nodes that are similar enough and share a band.
     """
-    members = nodes.select("node", "n_shingles", F.explode("bands").alias("key"), (-F.col("node")).alias("met"))
-    ends = _ends(members)
-    members = cut(members.join(ends.select("key"), "key", "left_semi"))
+    members = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    ends = _ends(members, -F.col("node"))
+    members = _kept(members.join(ends.select("key"), "key", "left_semi"))
     texts = written(docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    good = linked_pairs(cut(_star(members, ends, percent)), texts, k, percent)
+    good = linked_pairs(_kept(_star(members, ends, percent)), texts, k, percent)
+    first = True
     while True:
-        tree = components(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        apart = _apart(members, tree)
+        apart = _apart(members, components(good.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         few, many = apart.where(F.col("rest") <= STRAGGLERS), apart.where(F.col("rest") > STRAGGLERS)
         out = few.where("component != most").select("key", F.col("component").alias("c"), F.col("node").alias("x"), F.col("n_shingles").alias("s"))
-        pairs = few.join(cut(out), "key").where((F.col("c") != F.col("component")) & _fits("s", percent)).select(_pair("x", "s").alias("p")).select("p.a", "p.b")
-        stars = many.join(ends.select("key", "centre"), "key").where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "n_shingles").distinct()
-        stars = cut(stars)
-        crowded = not stars.isEmpty()
-        if crowded:
-            keys = outside(stars.select("a", "b").distinct(), texts, k, percent)
-            # A bucket of the next round: members of a centre's buckets that share a shingle which the centre lacks.
-            dealt = keys.join(stars, ["a", "b"]).select(F.col("b").alias("node"), "n_shingles", F.explode("keys").alias("g"), "a").select("node", "n_shingles", F.xxhash64("a", "g").alias("key")).distinct()
-            members = _with_met(_apart(cut(dealt), tree).select("node", "n_shingles", "key"))
-            ends = _ends(members)
-            pairs = pairs.union(_star(members, ends, percent))
-        pairs = cut(pairs.distinct())
-        good = cut(good.union(linked_pairs(pairs, texts, k, percent)))
-        if not crowded:
+        pairs = few.join(_kept(out), "key").where((F.col("c") != F.col("component")) & _fits("s", percent)).select(_pair("x", "s").alias("p")).select("p.a", "p.b")
+        good = good.union(linked_pairs(_kept(pairs.distinct()), texts, k, percent))
+        if many.isEmpty():
             return good
+        if not first:
+            good = good.union(crossed(many.where(F.col("rest") <= CROWD), texts, k, percent))
+            many = many.where(F.col("rest") > CROWD)
+            if many.isEmpty():
+                return good
+        first = False
+        stars = _stars(many.select("node", "n_shingles", "key"))
+        found = outside(stars, texts, k, percent)
+        good = _kept(good.union(found.where("linked").select("a", "b")).distinct())
+        members = _narrower(stars, found)
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept (whether that is its own) for every row."""
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = cut(sketch(docs, k))
+    sketches = _kept(sketch(docs, k))
     whole = sketches.where("n_shingles > 0 and doc_id is not null")
-    # Cut here, so that the join below deals out both sides itself and Spark can split the copies of one set.
-    nodes = cut(whole.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    # Written here, so that the join below deals out both sides itself and Spark can split the copies of one set.
+    nodes = _kept(whole.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     member = sketches.drop("bands").join(nodes.drop("bands"), ["n_shingles", "set_a", "set_b"], "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
     # An id with several rows ties the sets of its rows together.
     shared = whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")

@@ -94,20 +94,51 @@ def test_variants_of_one_text(spark):
     assert {tuple(r) for r in neardup.near_duplicates(table, k=4).collect()} == brute.components(rows)
 
 
-def test_keys_outside_a_centre(spark):
-    """Two partners that are no smaller than a centre meet in what they have outside it, linked with it or not."""
+@pytest.mark.parametrize("stragglers, crowd", [(0, 0), (0, 1000), (5, 20)])
+def test_crowds_of_many_sizes(spark, monkeypatch, stragglers, crowd):
+    """Cut and changed versions of a few texts, so that sizes and similarities lie on both sides of every bound."""
+    monkeypatch.setattr(neardup, "STRAGGLERS", stragglers)
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_OTHERS", 40)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(60)]
+        for _ in range(50):
+            text = base[: rng.randint(45, 60)] + [word() for _ in range(rng.randint(0, 6))]
+            for at in rng.sample(range(45), rng.randint(0, 2)):
+                text[at] = word()
+            rows.append(" ".join(text))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardup.near_duplicates(table, k=4).collect()} == brute.components(rows)
+
+
+def test_keys_outside_an_origin(spark):
+    """Two similar members of a star meet in what they have outside its origin, or both fit inside it."""
     rng = random.Random(13)
-    texts = [t for _, t in templated(rng, 60, 6, 4, pairs=20)]
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    base = [word() for _ in range(80)]
+    texts = []
+    for _ in range(60):
+        text = base[: rng.randint(55, 80)] + [word() for _ in range(rng.randint(0, 8))]
+        text[rng.randrange(50)] = word()
+        texts.append(" ".join(text))
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = [brute.shingles(t) for t in texts]
-    centre = min(range(len(sets)), key=lambda i: (len(sets[i]), i))
-    pairs = spark.createDataFrame([(centre, i) for i in range(len(sets)) if i != centre], "a long, b long")
-    keys = {r.b: set(r["keys"]) for r in neardup.outside(pairs, table, 4, 80).collect()}
     linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
-    found = 0
-    for i in keys:
-        for j in keys:
-            if i < j and linked(i, j) and not (linked(i, centre) and linked(j, centre)):
-                assert keys[i] & keys[j]
-                found += 1
-    assert found
+    kinds = set()
+    for origin in (0, 7, 33):
+        stars = spark.createDataFrame([(origin, i, min(map(len, sets))) for i in range(len(sets)) if i != origin], "a long, b long, least long")
+        got = {r.b: r for r in neardup.outside(stars, table, 4, 80).collect()}
+        assert all(r.linked == linked(origin, i) for i, r in got.items())
+        for i in got:
+            for j in got:
+                if i < j and linked(i, j):
+                    both_inside = len(sets[i]) <= got[j].inside and len(sets[j]) <= got[i].inside
+                    assert both_inside or set(got[i]["keys"]) & set(got[j]["keys"])
+                    kinds.add(both_inside)
+    assert kinds == {True, False}
