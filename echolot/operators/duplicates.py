@@ -40,14 +40,16 @@ def approximate_duplicates(hashes: DataFrame, least: int = 2) -> DataFrame:
 def continuation_duplicates(sequences: DataFrame, offset: int = 32, n: int = 32, drop_last: bool = False) -> DataFrame:
     """sequence_id and how often its n tokens at the offset occur at any offset of any sequence, itself included; 1 without them.
 
-    Grams at the offset are grouped first: identical ones are counted once for all their sequences, so copies don't multiply.
-    Grams meet by a 64-bit key and are compared as arrays.
+    Windows are narrowed to the grams asked for and counted by a 128-bit key, so that neither tokens nor other windows are moved
+    for longer than it takes to meet them; grams at the offset are grouped first, so copies don't multiply.
     """
-    key = sequences.select("sequence_id", F.when(F.size("tokens") >= offset + n, F.slice("tokens", offset + 1, n)).alias("gram")).withColumn("key", gram_key(F.col("gram")))
-    wanted = key.where(F.col("gram").isNotNull()).select("key", "gram").distinct()
-    windows = gram_table(sequences, n, drop_last).select(gram_key(F.col("gram")).alias("key"), "gram").groupBy("key", "gram").agg(F.count(F.lit(1)).alias("times"))
-    counts = wanted.join(windows, ["key", "gram"])
-    return key.join(counts, ["key", "gram"], "left").select("sequence_id", F.coalesce("times", F.lit(1)).alias("sequence_duplicates"))
+    keys = lambda gram: (gram_key(gram).alias("key_a"), F.xxhash64(F.lit(n), gram).alias("key_b"))
+    gram = F.when(F.size("tokens") >= offset + n, F.slice("tokens", offset + 1, n))
+    mine = sequences.select("sequence_id", gram.alias("gram")).select("sequence_id", *(F.when(F.col("gram").isNotNull(), k).alias(name) for k, name in zip(keys(F.col("gram")), ("key_a", "key_b"), strict=True)))
+    wanted = mine.where("key_a is not null").select("key_a", "key_b").distinct()
+    windows = gram_table(sequences, n, drop_last).select(*keys(F.col("gram")))
+    counts = windows.join(wanted, ["key_a", "key_b"], "left_semi").groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("times"))
+    return mine.join(counts, ["key_a", "key_b"], "left").select("sequence_id", F.coalesce("times", F.lit(1)).alias("sequence_duplicates"))
 
 
 def unique_prefixes(sequences: DataFrame, n: int = 64) -> DataFrame:

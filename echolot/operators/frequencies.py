@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 VOCABULARY_ROWS = 1 << 16
 
 
-def token_counts(sequences: DataFrame, memorized: DataFrame | None = None) -> DataFrame:
+def token_counts(sequences: DataFrame, memorized: DataFrame | None = None, id: str = "sequence_id") -> DataFrame:
     """token_id, memorized, non_memorized: occurrences in sequences whose id is in the memorized table, and in others.
 
     Tokens are counted per task before the shuffle, so a token in every sequence is one row of each task.
     """
     if memorized is not None:
-        marks = memorized.select("sequence_id").distinct().withColumn("is_memorized", F.lit(True))
-        sequences = sequences.join(marks, "sequence_id", "left")
+        marks = memorized.select(id).distinct().withColumn("is_memorized", F.lit(True))
+        sequences = sequences.join(marks, id, "left")
     else:
         sequences = sequences.withColumn("is_memorized", F.lit(False))
     tokens = sequences.select(F.coalesce("is_memorized", F.lit(False)).alias("m"), F.explode("tokens").alias("token_id"))
@@ -44,9 +44,9 @@ def _small(table: DataFrame, rows: int = VOCABULARY_ROWS) -> DataFrame:
 def with_frequencies(sequences: DataFrame, memorized: DataFrame, non_memorized: DataFrame, *keep: str) -> DataFrame:
     """sequence_id, position, token and its frequency: memorized + non_memorized, null if either table lacks the token."""
     exploded = sequences.select("sequence_id", *keep, F.posexplode("tokens").alias("position", "token_id"))
-    m = _small(memorized.select("token_id", F.col("frequency").alias("m")))
-    n = _small(non_memorized.select("token_id", F.col("frequency").alias("n")))
-    return exploded.join(m, "token_id", "left").join(n, "token_id", "left").select("sequence_id", *keep, "position", "token_id", (F.col("m") + F.col("n")).alias("frequency"))
+    both = memorized.select("token_id", F.col("frequency").alias("m")).join(non_memorized.select("token_id", F.col("frequency").alias("n")), "token_id")
+    known = _small(both.select("token_id", (F.col("m") + F.col("n")).alias("frequency")))
+    return exploded.join(known, "token_id", "left").select("sequence_id", *keep, "position", "token_id", "frequency")
 
 
 def frequency_statistics(sequences: DataFrame, memorized: DataFrame, non_memorized: DataFrame) -> DataFrame:
@@ -55,21 +55,9 @@ def frequency_statistics(sequences: DataFrame, memorized: DataFrame, non_memoriz
     A sequence without tokens keeps its row, with nulls.  The median is exact; p25 and p75 are elements (percentile_approx, exact
     up to 10000 tokens).  Ids are expected to be unique: rows that share one would be one sequence here.
     """
-    f = F.col("frequency")
-    stats = (
-        with_frequencies(sequences, memorized, non_memorized)
-        .groupBy("sequence_id")
-        .agg(
-            F.max(f).alias("max_frequency"),
-            F.avg(f).alias("avg_frequency"),
-            F.min(f).alias("min_frequency"),
-            F.median(f).alias("median_frequency"),
-            F.percentile_approx(f, 0.25).alias("p25_frequency"),
-            F.percentile_approx(f, 0.75).alias("p75_frequency"),
-            F.transform(F.sort_array(F.collect_list(F.struct("position", "frequency"))), lambda x: x["frequency"]).alias("frequencies"),
-        )
-    )
-    return sequences.join(stats, "sequence_id", "left")
+    lists = with_frequencies(sequences, memorized, non_memorized).groupBy("sequence_id").agg(F.collect_list(F.struct("position", "frequency")).alias("_x"))
+    lists = lists.select("sequence_id", F.transform(F.array_sort("_x"), lambda x: x["frequency"]).alias("_f"))
+    return with_array_statistics(sequences.join(lists, "sequence_id", "left"), sequences.columns)
 
 
 def frequency_statistics_in_place(sequences: DataFrame, memorized: dict[int, int], non_memorized: dict[int, int]) -> DataFrame:
@@ -77,21 +65,26 @@ def frequency_statistics_in_place(sequences: DataFrame, memorized: dict[int, int
     pairs = [F.lit(x) for t in memorized.keys() & non_memorized.keys() for x in (t, memorized[t] + non_memorized[t])]
     lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<int,int>")
     found = F.transform("tokens", lambda t: F.element_at(lookup, t).cast("long"))
+    return with_array_statistics(sequences.withColumn("_f", found), sequences.columns)
+
+
+def with_array_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns and the statistics of the array _f, in which a null is a token without frequency."""
     known = F.array_sort(F.filter("_f", lambda x: x.isNotNull()))
     n = F.size("_k")
     at = lambda i: F.element_at("_k", i)
     some = F.when(n > 0, F.lit(True))
-    rows = sequences.withColumn("_f", found).withColumn("_k", known)
+    rows = rows.withColumn("_k", known)
     half = ((n + 1) / 2).cast("int")
     return rows.select(
-        *sequences.columns,
+        *columns,
         F.array_max("_k").alias("max_frequency"),
         F.when(some, F.aggregate("_k", F.lit(0.0), lambda a, x: a + x) / n).alias("avg_frequency"),
         F.array_min("_k").alias("min_frequency"),
         F.when(some, (at(F.greatest(half, F.lit(1))) + at(F.greatest(n - half + 1, F.lit(1)))) / 2.0).alias("median_frequency"),
         F.when(some, at(F.greatest(F.ceil(n * 0.25).cast("int"), F.lit(1)))).alias("p25_frequency"),
         F.when(some, at(F.greatest(F.ceil(n * 0.75).cast("int"), F.lit(1)))).alias("p75_frequency"),
-        F.when(F.size("tokens") > 0, F.col("_f")).alias("frequencies"),
+        F.when(F.size("_f") > 0, F.col("_f")).alias("frequencies"),
     )
 
 

@@ -9,7 +9,7 @@ from ..operators import duplicates as D
 from ..operators import similarity
 from .base import MEM, SEQ, memorized, query, sequences, table
 
-GRAMS = SEQ + """, grams AS (SELECT sequence_id, i AS "offset", array_to_string(tokens[i + 1:i + 32], '_') AS gram FROM (SELECT sequence_id, tokens, unnest(range(0, 33)) AS i FROM seq))"""
+GRAMS = SEQ + """, grams AS (SELECT sequence_id, i AS "offset", array_to_string(tokens[i + 1:i + 32], '_') AS gram FROM (SELECT sequence_id, tokens, unnest(range(0, len(tokens) - 31)) AS i FROM seq))"""
 
 
 @query(f"WITH {GRAMS} SELECT sequence_id, count(*) AS n, count(DISTINCT gram) AS n_distinct FROM grams GROUP BY sequence_id")
@@ -18,19 +18,19 @@ def ngram_enumerate_count(spark, sf):
 
 
 @query(f"""WITH {GRAMS}, c AS (SELECT gram, count(*) AS n FROM grams GROUP BY gram)
-SELECT sequence_id, n AS sequence_duplicates FROM grams JOIN c USING (gram) WHERE "offset" = 32""")
+SELECT sequence_id, coalesce(n, 1) AS sequence_duplicates FROM seq LEFT JOIN (SELECT sequence_id, n FROM grams JOIN c USING (gram) WHERE "offset" = 32) USING (sequence_id)""")
 def continuation_duplicate_count(spark, sf):
     return D.continuation_duplicates(sequences(spark, sf))
 
 
 _POWERS = ", ".join(str(pow(S.HASH_BASE, i, S.HASH_MODULUS)) for i in range(8))
 _HASHES = SEQ + f""", h AS (SELECT sequence_id, i AS "offset", (list_sum([(tokens[i + k]::HUGEINT * ([{_POWERS}]::HUGEINT[])[k]) % {S.HASH_MODULUS} FOR k IN range(1, 9)])::HUGEINT % {S.HASH_MODULUS})::BIGINT AS gram_hash
-FROM (SELECT sequence_id, tokens, unnest(range(0, 57)) AS i FROM seq))"""
+FROM (SELECT sequence_id, tokens, unnest(range(0, len(tokens) - 7)) AS i FROM seq))"""
 
 
-@query(f"""WITH {_HASHES} SELECT sequence_id, "offset", gram_hash FROM h WHERE "offset" % 8 = 0""")
+@query(f"""WITH {_HASHES} SELECT sequence_id, "offset", gram_hash FROM h""")
 def polynomial_ngram_hash(spark, sf):
-    return D.gram_hashes(sequences(spark, sf), 8).where("offset % 8 = 0").select("sequence_id", F.col("offset").cast("long").alias("offset"), "gram_hash")
+    return D.gram_hashes(sequences(spark, sf), 8).select("sequence_id", F.col("offset").cast("long").alias("offset"), "gram_hash")
 
 
 @query(f"""WITH {_HASHES}, c AS (SELECT gram_hash, count(*) AS n FROM h GROUP BY gram_hash HAVING count(*) >= 2)
@@ -112,9 +112,9 @@ def template_counts(spark, sf):
     return similarity.template_counts(rows, rows, 0.0)
 
 
-@query(f"WITH {MEM} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT sequence_id FROM mem)")
+@query(f"WITH {MEM} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM mem)")
 def id_difference(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(memorized(spark, sf).withColumnRenamed("sequence_id", "doc_id"), "doc_id", "left_anti")
+    return table(spark, sf, "documents").select("doc_id").join(memorized(spark, sf), "doc_id", "left_anti")
 
 
 @query("SELECT DISTINCT lang, source FROM documents")

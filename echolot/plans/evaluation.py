@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..operators import metrics, modeling, stats
-from .base import FRAME, frame, query, r9, sequences, table
+from .base import FRAME, LENGTH, PIECES, frame, query, r9, sequences, spread, table
 
 
 @query(f"""WITH {FRAME}, s AS (SELECT avg(length) AS m, stddev_pop(length) AS d, avg(duplicates) AS m2, stddev_pop(duplicates) AS d2 FROM frame)
@@ -123,7 +123,7 @@ def fold_metric_spread(spark, sf):
 
 @query()
 def pattern_detection(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", patterns.pattern("text").alias("p"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", patterns.pattern("text").alias("p"))
     return d.select("doc_id", "p.is_incrementing", "p.is_repeating")
 
 
@@ -141,7 +141,7 @@ def repeated_sublists(spark, sf):
 
 @query()
 def frequent_substrings(spark, sf):
-    s = sequences(spark, sf).select("sequence_id", F.array_join(F.slice("tokens", 1, 12).cast("array<string>"), "").alias("digits"))
+    s = sequences(spark, sf).select("sequence_id", F.array_join(F.col("tokens").cast("array<string>"), "").alias("digits"))
     return s.select("sequence_id", patterns.frequent_substring("digits").alias("substring"))
 
 
@@ -157,12 +157,13 @@ def metric_pipeline(spark, sf):
     from .filters import FeatureSet, run
     from .frequency import _feature_tables
 
-    m, n = _feature_tables(spark, sf)
-    d = table(spark, sf, "documents")
-    copies = d.groupBy("text").agg(F.count(F.lit(1)).alias("frequency"))
-    features = FeatureSet(sequence_frequencies=d.join(copies, "text").select(F.col("doc_id").alias("sequence_id"), "frequency"), memorized_token_frequencies=m, non_memorized_token_frequencies=n)
-    s = sequences(spark, sf).join(d.select(F.col("doc_id").alias("sequence_id"), F.array_join(F.slice(words(F.col("text")), 1, 64), " ").alias("text")), "sequence_id")
-    return run(s, features)
+    s = sequences(spark, sf)
+    m, n = _feature_tables(spark, s, sf)
+    copies = s.groupBy("tokens").agg(F.count(F.lit(1)).alias("frequency"))
+    features = FeatureSet(sequence_frequencies=s.join(copies, "tokens").select("sequence_id", "frequency"), memorized_token_frequencies=m, non_memorized_token_frequencies=n)
+    texts = table(spark, sf, "documents").where("text is not null").select("doc_id", words(F.col("text")).alias("words"))
+    part = F.slice("words", (F.col("sequence_id") % PIECES * LENGTH + 1).cast("int"), LENGTH)
+    return run(s.join(texts, "doc_id").select("sequence_id", "tokens", F.array_join(part, " ").alias("text")), features)
 
 
 _FEATURES = ["length", "duplicates", "nl_score", "base_score"]
@@ -211,13 +212,16 @@ def correlation_grid(spark, sf):
     return stats.pearson(stats.in_groups(f, "lang", "subset"), "length", "label", "lang", "subset").withColumn("statistic", r9(F.col("statistic")))
 
 
-@query(f"""WITH {FRAME}, w AS (SELECT lang AS model, source AS feature, avg(score) AS weight FROM frame WHERE source IN ('src0', 'src1', 'src2') GROUP BY ALL),
+_SOURCES = [f"src{k}" for k in range(20)]
+
+
+@query(f"""WITH {FRAME}, w AS (SELECT lang AS model, source AS feature, avg(score) AS weight FROM frame GROUP BY ALL),
 s AS (SELECT model, feature, (weight - avg(weight) OVER p) / CASE WHEN stddev_pop(weight) OVER p = 0 THEN 1 ELSE stddev_pop(weight) OVER p END AS s FROM w WINDOW p AS (PARTITION BY feature))
-SELECT model, round(max(s) FILTER (feature = 'src0'), 6) AS src0, round(max(s) FILTER (feature = 'src1'), 6) AS src1, round(max(s) FILTER (feature = 'src2'), 6) AS src2 FROM s GROUP BY model""")
+SELECT model, {", ".join(f"round(max(s) FILTER (feature = '{c}'), 6) AS {c}" for c in _SOURCES)} FROM s GROUP BY model""")
 def scaled_weight_matrix(spark, sf):
-    w = frame(spark, sf).where(F.col("source").isin("src0", "src1", "src2")).groupBy(F.col("lang").alias("model"), F.col("source").alias("feature")).agg(F.avg("score").alias("weight"))
+    w = frame(spark, sf).groupBy(F.col("lang").alias("model"), F.col("source").alias("feature")).agg(F.avg("score").alias("weight"))
     m = stats.scaled_weights(w)
-    return m.select("model", *(r9(F.col(c)).alias(c) for c in ("src0", "src1", "src2")))
+    return m.select("model", *(r9(F.col(c) if c in m.columns else F.lit(None)).alias(c) for c in _SOURCES))
 
 
 @query()

@@ -77,7 +77,7 @@ def semantic_matches(rows: DataFrame, features: FeatureSet) -> DataFrame:
 
 
 def code_length(rows: DataFrame, features: FeatureSet) -> DataFrame:
-    return rows.withColumn("huffman_coding_length", measures.code_length(measures.characters(F.col("text"))))
+    return rows.withColumn("huffman_coding_length", patterns.text_code_length("text"))
 
 
 FILTERS: tuple[Filter, ...] = (detokenize, incrementing_and_repeating, sequence_duplicates, token_frequency_statistics, highly_repetitive, code_vs_natural_language, semantic_matches, code_length)

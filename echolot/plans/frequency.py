@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from ..functions import patterns
 from ..functions import sequences as S
 from ..operators import frequencies as Q
-from .base import COUNTS, MEM, SEQ, TOK, memorized, query, r9, sequences, table, tokenised
+from ..scratch import written
+from .base import COUNTS, MEM, SEQ, TOK, memorized, query, r9, sequences, spread, table, tokenised
 
 
 @query(f"WITH {SEQ}, {MEM}, {COUNTS} SELECT token_id, memorized, non_memorized FROM counts")
 def token_frequency_split(spark, sf):
-    return Q.token_counts(sequences(spark, sf), memorized(spark, sf))
+    return Q.token_counts(sequences(spark, sf), memorized(spark, sf), "doc_id")
 
 
 @query(f"""WITH {SEQ}, {MEM}, {COUNTS}, t AS (SELECT sum(memorized + non_memorized) AS total FROM counts)
 SELECT token_id, memorized + non_memorized AS occurrences, round(memorized::DOUBLE / (memorized + non_memorized), 6) AS memorized_probability,
   round(total::DOUBLE / (memorized + non_memorized), 6) AS unigram_perplexity FROM counts, t""")
 def token_probability_perplexity(spark, sf):
-    return Q.token_probabilities(Q.token_counts(sequences(spark, sf), memorized(spark, sf))).withColumns({c: r9(F.col(c)) for c in ("memorized_probability", "unigram_perplexity")})
+    return Q.token_probabilities(Q.token_counts(sequences(spark, sf), memorized(spark, sf), "doc_id")).withColumns({c: r9(F.col(c)) for c in ("memorized_probability", "unigram_perplexity")})
 
 
-def _feature_tables(spark, sf):
-    """Memorized and non-memorized frequencies; a token that occurs on one side only is missing on the other."""
-    counts = Q.token_counts(sequences(spark, sf), memorized(spark, sf))
+def _feature_tables(spark, sequences, sf):
+    """Memorized and non-memorized frequencies of the sequences; a token that occurs on one side only is missing on the other.  Counted once and written."""
+    counts = written(Q.token_counts(sequences, memorized(spark, sf), "doc_id"), "counts")
     return tuple(counts.where(F.col(c) > 0).select("token_id", F.col(c).alias("frequency")) for c in ("memorized", "non_memorized"))
 
 
@@ -37,13 +39,14 @@ f AS (SELECT sequence_id, i, CASE WHEN memorized > 0 AND non_memorized > 0 THEN
   quantile_disc(f, 0.25) AS p25_frequency, quantile_disc(f, 0.75) AS p75_frequency FROM f GROUP BY sequence_id""")
 def token_frequency_statistics(spark, sf):
     s = sequences(spark, sf)
-    out = Q.frequency_statistics(s, *_feature_tables(spark, sf))
+    out = Q.frequency_statistics(s, *_feature_tables(spark, s, sf))
     return out.select("sequence_id", "max_frequency", r9(F.col("avg_frequency")).alias("avg_frequency"), "min_frequency", r9(F.col("median_frequency")).alias("median_frequency"), "p25_frequency", "p75_frequency")
 
 
 @query(_STATS + """SELECT sequence_id, array_to_string(list(coalesce(f::VARCHAR, 'null') ORDER BY i), ' ') AS frequencies FROM f GROUP BY sequence_id""")
 def token_frequency_list(spark, sf):
-    out = Q.frequency_statistics(sequences(spark, sf), *_feature_tables(spark, sf))
+    s = sequences(spark, sf)
+    out = Q.frequency_statistics(s, *_feature_tables(spark, s, sf))
     return out.select("sequence_id", F.array_join(F.col("frequencies").cast("array<string>"), " ", "null").alias("frequencies"))
 
 
@@ -52,7 +55,7 @@ SELECT sequence_id, array_to_string(list(token_id ORDER BY i), ' ') AS tokens, a
   array_to_string(list(non_memorized ORDER BY i), ' ') AS non_memorized FROM ex JOIN counts USING (token_id) GROUP BY sequence_id""")
 def token_frequency_lists_by_kind(spark, sf):
     s = sequences(spark, sf)
-    counts = Q._small(Q.token_counts(s, memorized(spark, sf)))
+    counts = Q._small(Q.token_counts(s, memorized(spark, sf), "doc_id"))
     rows = s.select("sequence_id", F.posexplode("tokens").alias("i", "token_id")).join(counts, "token_id")
     lists = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("i", "token_id", "memorized", "non_memorized"))).alias("x"))
     text = lambda c: F.array_join(F.transform("x", lambda x: x[c].cast("string")), " ")
@@ -65,7 +68,7 @@ SELECT sequence_id, max(memorized + non_memorized) AS max_occurrences, min(memor
 FROM ex JOIN counts USING (token_id), t GROUP BY sequence_id""")
 def sequence_frequency_extremes(spark, sf):
     s = sequences(spark, sf)
-    out = Q.sequence_extremes(s, Q.token_probabilities(Q.token_counts(s, memorized(spark, sf))))
+    out = Q.sequence_extremes(s, Q.token_probabilities(Q.token_counts(s, memorized(spark, sf), "doc_id")))
     return out.withColumns({c: r9(F.col(c)) for c in ("max_perplexity", "min_perplexity")})
 
 
@@ -73,7 +76,8 @@ def sequence_frequency_extremes(spark, sf):
 p AS (SELECT sequence_id, k::DOUBLE / sum(k) OVER (PARTITION BY sequence_id) AS p FROM n), s AS (SELECT sequence_id, sum(ceil(-log2(p)) * p) AS v FROM p GROUP BY sequence_id)
 SELECT doc_id AS sequence_id, round(CASE WHEN text = '' THEN 0 ELSE v END, 6) AS code_length FROM documents LEFT JOIN s ON doc_id = sequence_id""")
 def code_length_chars(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("sequence_id"), r9(M.code_length(M.characters(F.col("text")))).alias("code_length"))
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return texts.select(F.col("doc_id").alias("sequence_id"), r9(patterns.text_code_length("text")).alias("code_length"))
 
 
 @query(f"""WITH {SEQ}, c AS (SELECT sequence_id, unnest(tokens) AS x FROM seq), n AS (SELECT sequence_id, x, count(*) AS k FROM c GROUP BY ALL),
@@ -83,7 +87,7 @@ def code_length_tokens(spark, sf):
     return sequences(spark, sf).select("sequence_id", r9(M.code_length(F.col("tokens").cast("array<string>"))).alias("code_length"))
 
 
-@query(f"""WITH {SEQ} SELECT sequence_id, array_to_string(tokens[33:64], '_') AS last_key, array_to_string(tokens[1:32], '_') AS prompt_key, array_to_string(tokens, '') AS digits FROM seq""")
+@query(f"""WITH {SEQ} SELECT sequence_id, array_to_string(tokens[greatest(len(tokens) - 31, 1):], '_') AS last_key, array_to_string(tokens[1:32], '_') AS prompt_key, array_to_string(tokens, '') AS digits FROM seq""")
 def sequence_keys(spark, sf):
     t = F.col("tokens")
     return sequences(spark, sf).select("sequence_id", S.sequence_key(S.last_tokens(t, 32)).alias("last_key"), S.sequence_key(S.first_tokens(t, 32)).alias("prompt_key"), S.sequence_key(t, "").alias("digits"))
@@ -140,9 +144,9 @@ def attention_entropy(spark, sf):
     return _vectors(spark, sf).withColumn("w", M.softmax(F.col("e"))).select("vec_id", r9(M.attention_entropy(F.col("w"))).alias("entropy"))
 
 
-@query(f"""WITH {_VEC}, t AS (SELECT vec_id, [floor(x * 1000) FOR x IN e[1:8]] AS a FROM v)
+@query(f"""WITH {_VEC}, t AS (SELECT vec_id, [floor(x * 1000) FOR x IN e] AS a FROM v)
 SELECT vec_id, len(a)::BIGINT AS n, round(list_sum(a), 6) AS total FROM t""")
 def stringified_array_parse(spark, sf):
-    text = F.concat(F.lit("["), F.array_join(F.transform(F.slice("e", 1, 8), lambda x: F.floor(x * 1000).cast("string")), "  "), F.lit("]"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: F.floor(x * 1000).cast("string")), "  "), F.lit("]"))
     a = M.parse_array(F.col("t"))
     return _vectors(spark, sf).withColumn("t", text).select("vec_id", F.size(a).cast("long").alias("n"), r9(F.aggregate(a, F.lit(0.0), lambda x, y: x + y)).alias("total"))

@@ -53,6 +53,42 @@ def test_repetition():
     assert patterns.longest_increasing_run(["1", "x"]) == []
 
 
+def plain_sublist(tokens):
+    """The longest sublist that occurs again after its end, of several the one that begins first."""
+    n = len(tokens)
+    for size in range(n // 2, 0, -1):
+        for i in range(n - size + 1):
+            if any(tokens[j : j + size] == tokens[i : i + size] for j in range(i + size, n - size + 1)):
+                return tokens[i : i + size]
+    return []
+
+
+@given(st.lists(st.integers(0, 2), max_size=24))
+@settings(max_examples=300, deadline=None)
+def test_longest_repeated_sublist(tokens):
+    assert patterns.longest_repeated_sublist(tokens) == plain_sublist(tokens)
+
+
+@given(st.text("ab1", max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_most_frequent_substring(text):
+    subs = {text[i:j] for i in range(len(text)) for j in range(i + 2, len(text) + 1)}
+    assert patterns.most_frequent_substring(text) == min(subs, key=lambda s: (-text.count(s), -len(s), s), default=None)
+
+
+@given(st.text("ab", max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_repeats_itself(text):
+    assert patterns.repeats_itself(text) == patterns.periodic_step(list(text))[0]
+
+
+def test_text_code_length(spark):
+    texts = [None, "", "aaaa", "ab", "aab", "😀é😀", "x" * 1000 + "y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(patterns.text_code_length("t").alias("x"), measures.code_length(measures.characters(F.col("t"))).alias("y")).collect()
+    for r in rows:
+        assert r.x == r.y or math.isclose(r.x, r.y)
+
+
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {t}" for k, t in _types(values)))
     return row.select(column.alias("x")).first().x
