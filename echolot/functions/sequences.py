@@ -52,12 +52,14 @@ def ngrams(tokens: Column, n: int, drop_last: bool = False) -> Column:
 
 
 def polynomial_hash(gram: Column, n: int) -> Column:
-    """sum(token * HASH_BASE**i) modulo HASH_MODULUS.  Products pass 64 bits, so they are decimals; the powers are literals."""
-    powers = F.array(*(F.lit(str(pow(HASH_BASE, i, HASH_MODULUS))).cast("decimal(19,0)") for i in range(n)))
-    modulus = F.lit(str(HASH_MODULUS)).cast("decimal(19,0)")
-    zero = F.lit("0").cast("decimal(38,0)")
-    terms = F.zip_with(gram, powers, lambda t, p: (t.cast("decimal(6,0)") * p).cast("decimal(38,0)") % modulus)
-    return F.aggregate(terms, zero, lambda acc, x: ((acc + x) % modulus).cast("decimal(38,0)")).cast("long")
+    """sum(token * HASH_BASE**i) modulo HASH_MODULUS of n tokens below 2**20.
+
+    The powers are literals in limbs of 20 bits, so that the sums for each limb fit a long; only they are put together as decimals.
+    """
+    powers = [pow(HASH_BASE, i, HASH_MODULUS) for i in range(n)]
+    limbs = [sum((F.get(gram, F.lit(i)).cast("long") * F.lit(p >> shift & 0xFFFFF).cast("long") for i, p in enumerate(powers)), F.lit(0).cast("long")) for shift in (0, 20, 40)]
+    scaled = [limb.cast("decimal(19,0)") * F.lit(str(1 << shift)).cast("decimal(13,0)") for limb, shift in zip(limbs, (0, 20, 40), strict=True)]
+    return (sum(scaled[1:], scaled[0]) % F.lit(str(HASH_MODULUS)).cast("decimal(19,0)")).cast("long")
 
 
 def gram_key(gram: Column) -> Column:
