@@ -4,14 +4,15 @@ Corpus counts come first: tokens of all training documents, aggregated per batch
 (a bounded number, FREQUENT) are broadcast with their counts; the counts of the others are met by a join with only the
 rare tokens of each document, so no table of all words is ever in one place.
 
-The model's vocabulary is bounded: the VOCABULARY most frequent words, the end and one symbol for all other words, whose
-probability is then shared among them as in the unigram base, so the model is a distribution over all known words and one
-unknown.  Words are ranked by frequency and cut into classes of equal size; the output is softmax over classes, then over the
-words of the class.  The hidden state of a GRU is carried from window to window, in training (where gradients stop at
+The model's vocabulary grows with the corpus, as the square root of its training tokens (GROWTH): the most frequent words, the
+end and one symbol for all other words, whose probability is then shared among them as in the unigram base, so the model is
+a distribution over all known words and one unknown.  It is limited only by FREQUENT.  Words are ranked by frequency and cut
+into as many classes as each has words; the output is softmax over classes, then over the words of the class.  The hidden state of a GRU is carried from window to window, in training (where gradients stop at
 a window's start: truncated backpropagation) and in scoring, so a document is always scored whole, however long.
 
 Training is rounds of parallel descent: each round every task trains on its own part of the round's share of the training
-documents (the shares of all rounds are all documents, each once), starting from the same parameters, and the parameters are averaged by a Spark aggregate, weighted by tokens.
+documents (the shares of all rounds are all documents, each once), starting from the same parameters.  The parameters are then
+averaged, weighted by tokens: blocks of them meet in Spark and are added up as they stream by.
 
 Defined cases: a null or empty text is the end alone; a null id counts as training text; rows that share an id or are equal
 are documents of their own; very long texts are scored window by window; an empty table gives an empty result; columns
@@ -35,11 +36,14 @@ from .textops import LOWER, Chunk, chunks, row_sums, word_hashes, words
 #: Held out: crc32 of the id's text modulo FOLDS is HELD_OUT.
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 1 << 18
-VOCABULARY, CLASS_SIZE = 2048, 46
+#: Words of the model: GROWTH times the square root of the training tokens.
+GROWTH = 1.5
 HIDDEN, EMBEDDING = 32, 16
-WINDOW, BATCH = 16, 128
+WINDOW, BATCH = 16, 512
 #: The rounds part the training documents among them, so each document is learnt once.
 ROUNDS, RATE = 3, 0.015
+#: Parameters that travel together.
+BLOCK = 4096
 #: Tokens that a task lays out at once.
 LEARN_TOKENS = 1 << 19
 #: Documents scored side by side, and steps of a scoring window.
@@ -129,10 +133,10 @@ class Lexicon:
         return np.where(self.word[at] == h, self.id[at], UNKNOWN).astype(np.int32)
 
 
-def lexicon(f: Frequent, size: int = VOCABULARY) -> tuple[Lexicon, np.ndarray]:
+def lexicon(f: Frequent, growth: float = GROWTH) -> tuple[Lexicon, np.ndarray]:
     """The lexicon, and the training count of each id."""
     best = np.lexsort((f.word, -f.n))
-    best = best[f.word[best] != END_HASH][: size - 2]
+    best = best[f.word[best] != END_HASH][: math.ceil(growth * math.sqrt(f.total))]
     word = np.concatenate(([END_HASH], f.word[best]))
     ids = np.arange(1, len(word) + 1)
     count = np.concatenate(([0], np.maximum(f.counts(word), 0)))
@@ -147,11 +151,12 @@ class Model:
     def __init__(self, count: np.ndarray, seed: int = 0):
         rng = np.random.default_rng(seed)
         size = len(count)
-        self.size, self.classes = size, -(-size // CLASS_SIZE)
-        wide = self.classes * CLASS_SIZE  # the last class is filled up by words that can't occur
+        self.size, self.width = size, math.isqrt(size - 1) + 1
+        self.classes = -(-size // self.width)
+        wide = self.classes * self.width  # the last class is filled up by words that can't occur
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         share = (count + 1) / (count.sum() + size)
-        share = np.concatenate((share, np.full(wide - size, 1e-12))).reshape(self.classes, CLASS_SIZE)
+        share = np.concatenate((share, np.full(wide - size, 1e-12))).reshape(self.classes, self.width)
         self.p = {
             "E": draw(size, EMBEDDING),
             "Wx": draw(EMBEDDING, 3 * HIDDEN),
@@ -159,7 +164,7 @@ class Model:
             "U": draw(HIDDEN, 3 * HIDDEN),
             "Wc": np.zeros((HIDDEN, self.classes), np.float32),
             "bc": np.log(share.sum(axis=1)).astype(np.float32),
-            "Ww": np.zeros((self.classes, HIDDEN, CLASS_SIZE), np.float32),
+            "Ww": np.zeros((self.classes, HIDDEN, self.width), np.float32),
             "bw": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32),
         }
 
@@ -187,37 +192,36 @@ def _step(x: np.ndarray, h: np.ndarray, U: np.ndarray) -> tuple[np.ndarray, ...]
     return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp of scores, in place; rows are shifted only if they don't fit."""
+    if z.size and z.max() > 60:
+        z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
 
 
-def _by_class(cls: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the tokens by class, and (class, begin, end) of the classes that occur."""
     order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(classes + 1))
-    for c in range(classes):
-        if edge[c] < edge[c + 1]:
-            yield c, order[edge[c] : edge[c + 1]]
+    edge = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
+    return order, [(c, edge[c], edge[c + 1]) for c in range(classes) if edge[c] < edge[c + 1]]
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax of each row at one place.  Scores are shifted only if they don't fit exp()."""
-    i = np.arange(len(z))
-    if not z.size or z.max() > 60:
-        z = z - z.max(axis=1, keepdims=True)
-    own = z[i, at]
-    return own - np.log(np.exp(z).sum(axis=1))
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of each row at one place."""
+    q = _exp(z)
+    return np.log(q[np.arange(len(q)), at] + 1e-30) - np.log(q.sum(axis=1))
 
 
 def log_probabilities(model: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target id after each state."""
     p = model.p
-    cls, word = target // CLASS_SIZE, target % CLASS_SIZE
-    out = _log_softmax_at(h @ p["Wc"] + p["bc"], cls)
-    for c, at in _by_class(cls, model.classes):
-        out[at] += _log_softmax_at(h[at] @ p["Ww"][c] + p["bw"][c], word[at])
+    cls, word = target // model.width, target % model.width
+    out = _log_share(h @ p["Wc"] + p["bc"], cls)
+    order, parts = _by_class(cls, model.classes)
+    h, word, own = h[order], word[order], np.empty(len(out))
+    for c, lo, hi in parts:
+        own[lo:hi] = _log_share(h[lo:hi] @ p["Ww"][c] + p["bw"][c], word[lo:hi])
+    out[order] += own
     return out
 
 
@@ -249,58 +253,80 @@ def score_documents(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndar
     return out
 
 
+def _miss(z: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weighted gradient of the loss of softmax at some places, and the loss.  The scores are overwritten."""
+    i = np.arange(len(z))
+    q = _exp(z)
+    total = q.sum(axis=1)
+    loss = -float((np.log(q[i, at] / total + 1e-30) * weight).sum())
+    q *= (weight / total)[:, None]
+    q[i, at] -= weight
+    return q, loss
+
+
 def gradients(model: Model, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h0: np.ndarray, carry: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradients of the mean loss over a window (steps x rows of input ids, target ids and weights), the last state, the loss.
 
     carry is 0 where a document begins, so that the state starts from zero there, and 1 elsewhere.
     """
-    p = model.p
+    p, kind = model.p, h0.dtype
     steps, rows = x.shape
-    carry = np.ones(x.shape, h0.dtype) if carry is None else carry
-    emb = p["E"][x]
-    inp = emb @ p["Wx"] + p["b"]
-    h, trace, states = h0, [], []
+    carry = np.ones(x.shape, kind) if carry is None else carry
+    emb = p["E"][x.ravel()]
+    inp = (emb @ p["Wx"] + p["b"]).reshape(steps, rows, 3 * HIDDEN)
+    before, after, part = (np.empty((steps, rows, HIDDEN), kind) for _ in range(3))
+    gate, new = np.empty((steps, rows, 2 * HIDDEN), kind), np.empty((steps, rows, HIDDEN), kind)
+    h = h0
     for t in range(steps):
-        h = h * carry[t][:, None]
-        new, z, r, n, un = _step(inp[t], h, p["U"])
-        trace.append((h, z, r, n, un))
-        h = new
-        states.append(h)
-    H = np.concatenate(states)
-    target, weight = y.ravel(), mask.ravel() / max(float(mask.sum()), 1.0)
-    cls, word = target // CLASS_SIZE, target % CLASS_SIZE
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    q = _softmax(H @ p["Wc"] + p["bc"])
-    loss = -float((np.log(q[np.arange(len(q)), cls] + 1e-30) * weight).sum())
-    q[np.arange(len(q)), cls] -= 1
-    q *= weight[:, None]
-    g["Wc"], g["bc"] = H.T @ q, q.sum(axis=0)
+        np.multiply(h, carry[t][:, None], out=before[t])
+        g = before[t] @ p["U"]
+        gate[t] = _sigmoid(inp[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
+        part[t] = g[:, 2 * HIDDEN :]
+        np.multiply(gate[t, :, HIDDEN:], part[t], out=new[t])
+        new[t] += inp[t, :, 2 * HIDDEN :]
+        np.tanh(new[t], out=new[t])
+        np.subtract(before[t], new[t], out=after[t])
+        after[t] *= gate[t, :, :HIDDEN]
+        after[t] += new[t]
+        h = after[t]
+    H = after.reshape(-1, HIDDEN)
+    target, weight = y.ravel(), (mask.ravel() / max(float(mask.sum()), 1.0)).astype(kind)
+    cls, word = target // model.width, target % model.width
+    grad = {"Ww": np.zeros_like(p["Ww"]), "bw": np.zeros_like(p["bw"])}
+    q, loss = _miss(H @ p["Wc"] + p["bc"], cls, weight)
+    grad["Wc"], grad["bc"] = H.T @ q, q.sum(axis=0)
     dH = q @ p["Wc"].T
-    for c, at in _by_class(cls, model.classes):
-        q = _softmax(H[at] @ p["Ww"][c] + p["bw"][c])
-        i = np.arange(len(at))
-        loss -= float((np.log(q[i, word[at]] + 1e-30) * weight[at]).sum())
-        q[i, word[at]] -= 1
-        q *= weight[at][:, None]
-        g["Ww"][c], g["bw"][c] = H[at].T @ q, q.sum(axis=0)
-        dH[at] += q @ p["Ww"][c].T
+    order, parts = _by_class(cls, model.classes)
+    H, word, weight, own = H[order], word[order], weight[order], np.empty_like(H)
+    for c, lo, hi in parts:
+        q, more = _miss(H[lo:hi] @ p["Ww"][c] + p["bw"][c], word[lo:hi], weight[lo:hi])
+        loss += more
+        grad["Ww"][c], grad["bw"][c] = H[lo:hi].T @ q, q.sum(axis=0)
+        np.matmul(q, p["Ww"][c].T, out=own[lo:hi])
+    dH[order] += own
     dH = dH.reshape(steps, rows, HIDDEN)
-    back = np.zeros((rows, HIDDEN), np.float32)
-    dx = np.zeros_like(inp)
+    z, r = gate[:, :, :HIDDEN], gate[:, :, HIDDEN:]
+    to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), part * r * (1 - r)
+    back = np.zeros((rows, HIDDEN), kind)
+    dg, dn = np.empty((steps, rows, 3 * HIDDEN), kind), np.empty((steps, rows, HIDDEN), kind)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, un = trace[t]
         d = dH[t] + back
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        dg = np.concatenate((dz, dr, dn * r), axis=1)
-        g["U"] += before.T @ dg
-        back = (d * z + dg @ p["U"].T) * carry[t][:, None]
-        dx[t] = np.concatenate((dz, dr, dn), axis=1)
-    flat = dx.reshape(-1, 3 * HIDDEN)
-    g["Wx"], g["b"] = emb.reshape(-1, EMBEDDING).T @ flat, flat.sum(axis=0)
-    np.add.at(g["E"], x.ravel(), flat @ p["Wx"].T)
-    return g, h, loss
+        np.multiply(d, to_new[t], out=dn[t])
+        np.multiply(d, to_z[t], out=dg[t, :, :HIDDEN])
+        np.multiply(dn[t], to_r[t], out=dg[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn[t], r[t], out=dg[t, :, 2 * HIDDEN :])
+        back = (d * z[t] + dg[t] @ p["U"].T) * carry[t][:, None]
+    flat = dg.reshape(-1, 3 * HIDDEN)
+    grad["U"] = before.reshape(-1, HIDDEN).T @ flat
+    flat[:, 2 * HIDDEN :] = dn.reshape(-1, HIDDEN)
+    grad["Wx"], grad["b"] = emb.T @ flat, flat.sum(axis=0)
+    to_emb = flat @ p["Wx"].T
+    order = np.argsort(x.ravel(), kind="stable")
+    seen = x.ravel()[order]
+    head = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+    grad["E"] = np.zeros_like(p["E"])
+    grad["E"][seen[head]] = np.add.reduceat(to_emb[order], head)
+    return grad, h, loss
 
 
 class Trainer:
@@ -344,13 +370,39 @@ class Trainer:
             self.model.p[k] -= pace * m / (np.sqrt(v * still) + 1e-8)
 
 
+def _added(blocks: DataFrame) -> DataFrame:
+    """The sum of the arrays x of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, np.zeros(0)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["block", "x"])
+
+        for batch in batches:  # sorted by block
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = x.values.to_numpy()
+                if block == last:
+                    total = total + x
+                    continue
+                if last is not None:
+                    yield out()
+                last, total = block, x
+        if last is not None:
+            yield out()
+
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, x array<double>")
+
+
 def fit(docs: DataFrame, words: Lexicon, count: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Rounds of parallel training on docs (doc_id, body, held_out), averaged by Spark."""
     model = Model(count)
+    size = len(model.vector())
     for k in range(rounds):
-        start = model.vector()
+        sent = docs.sparkSession.sparkContext.broadcast((words, count, model.vector()))
 
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            words, count, start = sent.value
             trainer = Trainer(Model(count).load(start))
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -368,16 +420,17 @@ def fit(docs: DataFrame, words: Lexicon, count: np.ndarray, rounds: int = ROUNDS
             if held:
                 flush()
             if seen := trainer.seen:
-                flat = trainer.model.vector().astype(float)
-                place = np.arange(-1, len(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.append(1.0, flat) * seen)], names=["place", "x"])
+                flat = np.append(trainer.model.vector() * np.float32(seen), np.zeros(-size % BLOCK, np.float32))
+                blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BLOCK, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), blocks], names=["block", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([[float(seen)]], pa.list_(pa.float32()))], names=["block", "x"])
 
-        mine = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)).select("body")
-        got = mine.mapInArrow(run, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()  # a row for each parameter
+        mine = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "body"), F.lit(rounds)) == k)).select("body")
+        got = _added(mine.mapInArrow(run, "block long, x array<float>").select("block", F.col("x").cast("array<double>").alias("x"))).orderBy("block").toArrow()  # as large as the model
         if got.num_rows:
-            x = np.zeros(got.num_rows)
-            x[got["place"].to_numpy() + 1] = got["x"].to_numpy()
-            model.load(x[1:] / x[0])
+            total, flat = got["x"][0].values.to_numpy()[0], np.concatenate([x.values.to_numpy() for x in got["x"][1:]])
+            model.load(flat[:size] / total)
+        sent.unpersist()
     return model
 
 
