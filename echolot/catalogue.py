@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import duplicate, evaluation, frequency, report  # noqa: F401  (they register their queries)
+from .plans import duplicate, evaluation, frequency, lookup, report  # noqa: F401  (they register their queries)
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -47,9 +47,11 @@ def xi(rows: DataFrame, x: str, y: str, id: str, *keys: str) -> DataFrame:
 
 def kl_divergence(rows: DataFrame, p: str, q: str, *keys: str) -> DataFrame:
     """KL(p, q), KL(q, p) and their mean for two positive columns, each normalised to sum 1 in its group."""
-    w = Window.partitionBy(*keys)
-    t = rows.select(*keys, (F.col(p) / F.sum(p).over(w)).alias("p"), (F.col(q) / F.sum(q).over(w)).alias("q"))
-    t = t.groupBy(*keys).agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl"), F.sum(F.col("q") * F.ln(F.col("q") / F.col("p"))).alias("kl_reverse"))
+    # sum(p/P ln(p/P : q/Q)) is sum(p ln(p/q)) / P - ln(P/Q), so one aggregate with partial sums does it.
+    a, b = F.col(p).cast("double"), F.col(q).cast("double")
+    t = rows.groupBy(*keys).agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * F.ln(a / b)).alias("ab"), F.sum(b * F.ln(b / a)).alias("ba"))
+    ratio = F.ln(F.col("a") / F.col("b"))
+    t = t.select(*keys, (F.col("ab") / F.col("a") - ratio).alias("kl"), (F.col("ba") / F.col("b") + ratio).alias("kl_reverse"))
     return t.withColumn("symmetric", (F.col("kl") + F.col("kl_reverse")) / 2)
 
 
