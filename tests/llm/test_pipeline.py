@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from echolot.llm import mixing
@@ -81,3 +82,51 @@ def test_scarce_domain_reaches_its_target(spark):
     for domain, target, reached in mixing.domain_totals(rated).collect():
         assert abs(target - mixing.TARGETS[domain]) < 1e-9
         assert abs(reached - target) < 2e-3
+
+
+def rate_table(spark, n, p):
+    return spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+
+
+@pytest.mark.parametrize("seed, targets", [(1, (0.4, 0.3, 0.3)), (2, (0.05, 0.05, 0.9)), (3, (0.98, 0.01, 0.01)), (4, (1.0, 0.0, 0.0))])
+def test_rates_against_plain_least_squares(spark, seed, targets):
+    """Small steps of projected gradient descent, run for long, reach no smaller squared distance."""
+    rng = np.random.default_rng(seed)
+    p, n = rng.dirichlet([0.2, 0.2, 0.2], 60), rng.integers(1, 300, 60)
+    weight = dict(zip(mixing.DOMAINS, targets, strict=True))
+    goal, a = np.array(targets) * n.sum(), p * n[:, None]
+    r = np.ones(60)
+    pace = 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(20000):
+        r = np.maximum(0, r - pace * (a @ (a.T @ r - goal)))
+    got = mixing.rates(p, mixing.fit_rates(rate_table(spark, n, p), weight))
+    assert (got >= 0).all()
+    miss = lambda r: np.abs(a.T @ r - goal).max() / n.sum()
+    assert miss(got) <= miss(r) + 2e-3
+
+
+def test_targets_out_of_reach_are_told(spark):
+    p = np.array([[0.7, 0.3, 0.0]] * 20)
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.fit_rates(rate_table(spark, np.full(20, 50), p))
+
+
+def test_repeated_ids_and_labels(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "d e"), (None, "f"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 2), (1, 0), (None, 1), (9, 1)], "doc_id long, domain int")
+    got = mixing.document_rates(docs, labels).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 2), ("1", 3), ("2", 0), ("None", 1)]
+    assert len({round(r.rate, 9) for r in got}) >= 1 and all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in got)
+
+
+def test_stages_on_odd_rows(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    text = " ".join(f"word{i}" for i in range(60))
+    odd = [(None, text, None, None, None), (None, None, "en", "s", 0), (1, "", "en", "s", 0), (1, text + " more", "en", "s", 1), (1, text + " more", "en", "s", 1), (2, "x " * 30000, None, "s", 2)]
+    docs = spark.createDataFrame(odd, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name != "pack_windows":
+            assert made.columns == docs.columns
+        made.collect()
