@@ -94,7 +94,7 @@ def test_variants_of_one_text(spark):
     assert {tuple(r) for r in neardup.near_duplicates(table, k=4).collect()} == brute.components(rows)
 
 
-@pytest.mark.parametrize("stragglers, crowd", [(0, 0), (0, 1000), (5, 20)])
+@pytest.mark.parametrize("stragglers, crowd", [(0, 0), (0, 1000)])
 def test_crowds_of_many_sizes(spark, monkeypatch, stragglers, crowd):
     """Cut and changed versions of a few texts, so that sizes and similarities lie on both sides of every bound."""
     monkeypatch.setattr(neardup, "STRAGGLERS", stragglers)
