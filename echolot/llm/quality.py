@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Chunk, Words, chunks, covered, equal_runs, gram_hashes, inside, mix, prefix_hash, range_hash, repeated, row_sums, words
+from .textops import Chunk, Words, chunks, covered, equal_runs, gram_hashes, inside, mix, range_hash, repeated, row_sums, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -57,13 +57,9 @@ class Facts:
     def n_symbols(self) -> np.ndarray:
         return row_sums(SYMBOLS[self.c.data], self.c.off)
 
-    @cached_property
-    def prefix(self) -> np.ndarray:
-        return prefix_hash(self.c.data)
-
     @cached_property
     def hashes(self) -> np.ndarray:
-        return range_hash(self.prefix, self.words.start, self.words.end)
+        return range_hash(self.c.data, self.words.start, self.words.end)
 
     @cached_property
     def _lines(self) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +72,7 @@ class Facts:
         end = np.minimum(np.append(start[1:], len(c.data)), c.off[row + 1])
         end = end - ((end > start) & (c.data[np.maximum(end, 1) - 1] == 10)) if len(start) else end
         has = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
-        return row[has], range_hash(self.prefix, start[has], end[has])
+        return row[has], range_hash(self.c.data, start[has], end[has])
 
     @cached_property
     def n_lines(self) -> np.ndarray:

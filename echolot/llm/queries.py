@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, mixing, neardup, packing, quality, sql, substring, suffixes, topk, warc
+from . import chat, lexical, lm, mixing, neardup, packing, periods, quality, simhash, sql, substring, suffixes, topk, warc
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -77,8 +77,20 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op3_mixture_rates, op4_lm_score, op5_substring_dedup, op6_warc_captures, op7_exact_top_k, op8_chat_format, op9_pack_windows, op10_suffix_dedup)}
-#: The mixture fit, the language model and the tokenizer can't be said in SQL; they are held by tests/llm.
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(_table(spark, sf_dir, "documents"), source=periods.splice)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_quality_cascade, op3_mixture_rates, op4_lm_score, op5_substring_dedup, op6_warc_captures, op7_exact_top_k, op8_chat_format, op9_pack_windows, op10_suffix_dedup, op11_simhash, op12_ranked_search, op13_periodic_runs)}
+#: The mixture fit, the language model, the tokenizer and XXH64 can't be said in SQL; they are held by tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": sql.NEAR_DUPLICATES,
     "op2_quality_cascade": sql.QUALITY,
@@ -87,4 +99,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": sql.TOP_K,
     "op8_chat_format": sql.CHAT,
     "op10_suffix_dedup": sql.SUFFIX,
+    "op12_ranked_search": sql.LEXICAL,
+    "op13_periodic_runs": sql.RUNS,
 }

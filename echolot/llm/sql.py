@@ -59,3 +59,28 @@ CHAT = r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FRO
 a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS body, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
   sum(25 + length(role) + length(text) + length(role || text) - length(regexp_replace(role || text, '[<\[\\]', '', 'g')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(body) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+LEXICAL = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT count(*)::BIGINT AS n_all, sum(len(w))::BIGINT AS l_all FROM d WHERE len(w) > 0),
+x AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
+b AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM x WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+v AS (SELECT t, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM b, c GROUP BY t, n_all),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))))::BIGINT AS score FROM b JOIN v USING (t) JOIN i USING (t), c GROUP BY ALL)
+SELECT item_id, (row_number() OVER p)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER p <= 10 WINDOW p AS (PARTITION BY item_id ORDER BY score DESC, doc_id, r)"""
+
+#: CRC-32 of the digits of doc_id, by the table of its polynomial; words that are equal p words on, as islands of each text and p.
+RUNS = rf"""WITH k AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS k),
+h AS (SELECT doc_id, {_WORDS} AS w, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(k[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM documents, k),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM h),
+o AS (SELECT doc_id, n, CASE WHEN a < n THEN [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END FOR i IN range(n)] ELSE w END AS w FROM a),
+x AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM o),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+l AS (SELECT doc_id, min(i) AS s, count(*) + q AS len, q FROM g GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, len, min(q) AS q FROM l GROUP BY ALL),
+f AS (SELECT doc_id, count(*) AS n_runs, first(struct_pack(s, len, q) ORDER BY len DESC, s, q) AS top, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q)) AS listed FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+c AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS body FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.len::BIGINT AS length, top.q::BIGINT AS period, ((1000 * top.len) // top.q)::BIGINT AS exponent_milli,
+  coalesce(listed, sha256('')) AS runs_sha256, coalesce(body, sha256('')) AS collapsed_sha256 FROM o LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)"""

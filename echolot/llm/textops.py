@@ -14,10 +14,6 @@ import pyarrow as pa
 #: Text bytes worked on at once in a task; one longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
 #: The bytes that separate words: space and \t \n \v \f \r.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -26,18 +22,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of the hash base and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        _powers[:] = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
@@ -119,18 +103,65 @@ def words(c: Chunk, data: np.ndarray | None = None) -> Words:
     return Words(start, end, np.repeat(np.arange(c.n), np.diff(first)), first)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums whose differences give the hash of any byte range (see range_hash)."""
-    p, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges; equal ranges have equal hashes."""
-    _, inverse = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] ^ (end - start).astype(np.uint64))
+#: The five primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Ranges of more bytes are hashed one by one.
+LONG_RANGE = 4096
+
+
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def _lane(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _rotl(acc + lane * P2, 31) * P1
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each byte range data[start:end].  Every 8 bytes go through a multiplication of their own, so no family of
+    texts (as the Thue-Morse words for a polynomial) shares a hash by construction; all ranges advance together."""
+    size = end - start
+    lane = np.ascontiguousarray(np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,)))
+    begin = [np.uint64((seed + p) % (1 << 64)) for p in (int(P1) + int(P2), int(P2), 0, -int(P1), int(P5))]
+    acc = np.full(len(size), begin[4], np.uint64)
+    many = np.flatnonzero((size >= 32) & (size <= LONG_RANGE))
+    if len(many):
+        stripes = size[many] >> 5
+        many = many[np.argsort(-stripes, kind="stable")]
+        stripes = size[many] >> 5
+        v = [np.full(len(many), x, np.uint64) for x in begin[:4]]
+        # Sorted by length, so the ranges that have stripe k are the first ones.
+        for k, live in enumerate(np.searchsorted(-stripes, -np.arange(stripes[0]), "left")):
+            at = start[many[:live]] + 32 * k
+            for j in range(4):
+                v[j][:live] = _lane(v[j][:live], lane[at + 8 * j])
+        h = _rotl(v[0], 1) + _rotl(v[1], 7) + _rotl(v[2], 12) + _rotl(v[3], 18)
+        for x in v:
+            h = (h ^ _lane(np.zeros_like(x), x)) * P1 + P4
+        acc[many] = h
+    acc += size.astype(np.uint64)
+    at, left = start + (size & ~31), size & 31
+    for k in range(3):
+        go = np.flatnonzero(left >= 8 * (k + 1))
+        if len(go):
+            acc[go] = _rotl(acc[go] ^ _lane(np.zeros(len(go), np.uint64), lane[at[go] + 8 * k]), 27) * P1 + P4
+    at, left = at + (left & ~7), left & 7
+    go = np.flatnonzero(left >= 4)
+    if len(go):
+        acc[go] = _rotl(acc[go] ^ ((lane[at[go]] & np.uint64(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    at, left = at + (left & ~3), left & 3
+    for k in range(3):
+        go = np.flatnonzero(left > k)
+        if len(go):
+            acc[go] = _rotl(acc[go] ^ (data[at[go] + k].astype(np.uint64) * P5), 11) * P1
+    acc = (acc ^ (acc >> np.uint64(33))) * P2
+    acc = (acc ^ (acc >> np.uint64(29))) * P3
+    acc ^= acc >> np.uint64(32)
+    if len(long := np.flatnonzero(size > LONG_RANGE)):
+        from xxhash import xxh64_intdigest
+
+        acc[long] = [xxh64_intdigest(data[start[i] : end[i]].tobytes(), seed) for i in long]
+    return acc
 
 
 def byte_words(data: np.ndarray) -> np.ndarray:
@@ -145,7 +176,7 @@ def byte_words(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(c: Chunk, w: Words, data: np.ndarray | None = None) -> np.ndarray:
-    return range_hash(prefix_hash(c.data if data is None else data), w.start, w.end)
+    return range_hash(c.data if data is None else data, w.start, w.end)
 
 
 _ROLL = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)

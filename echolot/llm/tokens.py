@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-from .textops import Chunk, prefix_hash, ragged, range_hash
+from .textops import Chunk, ragged, range_hash
 
 _OTHER, _LETTER, _NUMBER, _BLANK = 0, 1, 2, 3
 #: Endings that the pattern splits off after an apostrophe.
@@ -152,7 +152,7 @@ class Encoder:
     def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in order, and how many each row has."""
         start, row = pieces(c)
-        h = range_hash(prefix_hash(c.data), start[:-1], start[1:]) | np.uint64(1)
+        h = range_hash(c.data, start[:-1], start[1:]) | np.uint64(1)
         if self.n > REMEMBER:
             self._clear()
         found = self._find(h)
