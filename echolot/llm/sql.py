@@ -66,8 +66,9 @@ c AS (SELECT count(*)::BIGINT AS n_all, sum(len(w))::BIGINT AS l_all FROM d WHER
 x AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
 b AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM x WHERE t IN (SELECT t FROM i) GROUP BY ALL),
 v AS (SELECT t, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM b, c GROUP BY t, n_all),
-s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))))::BIGINT AS score FROM b JOIN v USING (t) JOIN i USING (t), c GROUP BY ALL)
-SELECT item_id, (row_number() OVER p)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER p <= 10 WINDOW p AS (PARTITION BY item_id ORDER BY score DESC, doc_id, r)"""
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))))::BIGINT AS score FROM b JOIN v USING (t) JOIN i USING (t), c GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM p WHERE rank <= 10"""
 
 #: CRC-32 of the digits of doc_id, by the table of its polynomial; words that are equal p words on, as islands of each text and p.
 RUNS = rf"""WITH k AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS k),
