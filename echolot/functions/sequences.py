@@ -62,11 +62,6 @@ def polynomial_hash(gram: Column, n: int) -> Column:
     return (sum(scaled[1:], scaled[0]) % F.lit(str(HASH_MODULUS)).cast("decimal(19,0)")).cast("long")
 
 
-def gram_key(gram: Column) -> Column:
-    """A 64-bit key for meeting equal grams; joins on it also compare the grams."""
-    return F.xxhash64(gram)
-
-
 def detokenize(tokens: Column, vocabulary: Column) -> Column:
     """Text of ids by a map from id to token."""
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.element_at(vocabulary, t), F.lit(""))), "")

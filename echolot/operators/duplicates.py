@@ -1,11 +1,25 @@
-"""Exact duplicate counting by n-grams."""
+"""Exact duplicate counting by n-grams.
+
+Windows are made in Arrow, all of a batch at once.  Where only some grams are asked for, their keys become a filter that is tested in the
+scan (membership.py), so that the shuffle gets the wanted windows and about 1 % of the others.  Keys and hashes only bring windows
+together: what is counted as equal has equal tokens.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import gram_key, ngrams, polynomial_hash
+from ..functions import windows
+from ..functions.sequences import ngrams
+from ..scratch import written
+from . import membership
+
+Keys = Callable[[np.ndarray, int], np.ndarray]
 
 
 def gram_table(sequences: DataFrame, n: int, drop_last: bool = False) -> DataFrame:
@@ -14,8 +28,20 @@ def gram_table(sequences: DataFrame, n: int, drop_last: bool = False) -> DataFra
 
 
 def gram_hashes(sequences: DataFrame, n: int, drop_last: bool = False) -> DataFrame:
-    """sequence_id, offset, gram_hash: the polynomial hash of every window; grams stay in the projection and are never shuffled."""
-    return gram_table(sequences, n, drop_last).select("sequence_id", "offset", polynomial_hash(F.col("gram"), n).alias("gram_hash"))
+    """sequence_id, offset, gram_hash: the polynomial hash of every window; the tokens themselves go no further."""
+    return _hashed(sequences, n, drop_last, None)
+
+
+def _hashed(sequences: DataFrame, n: int, drop_last: bool, wanted: membership.Slices | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in windows.parts(batch.column(1), n, drop_last):
+                hashes = windows.polynomial_hashes(part.tokens, n)[part.start]
+                keep = np.arange(len(hashes)) if wanted is None else np.flatnonzero(wanted.passes(hashes))
+                ids = batch.column(0).slice(part.rows.start, part.rows.stop - part.rows.start).take(pa.array(part.row[keep]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(part.offset[keep].astype(np.int32)), pa.array(hashes[keep])], names=["sequence_id", "offset", "gram_hash"])
+
+    return sequences.select(F.col("sequence_id").cast("long").alias("sequence_id"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "sequence_id long, offset int, gram_hash long")
 
 
 def grams_at(hashes: DataFrame, offset: int) -> DataFrame:
@@ -28,28 +54,63 @@ def keep_grams(hashes: DataFrame, wanted: DataFrame) -> DataFrame:
     return hashes.join(wanted.select("gram_hash"), "gram_hash", "left_semi")
 
 
-def approximate_duplicates(hashes: DataFrame, least: int = 2) -> DataFrame:
+def windows_of(sequences: DataFrame, wanted: DataFrame, n: int, drop_last: bool = False) -> DataFrame:
+    """sequence_id, offset and gram_hash of the windows whose hash is in a table; windows are narrowed to them before they are moved."""
+    wanted = written(wanted.select("gram_hash").distinct(), "wanted")
+    found = None
+    for slices in membership.scans(wanted.select(F.col("gram_hash").alias("key"))):
+        one = _hashed(sequences, n, drop_last, slices)
+        found = one if found is None else found.union(one)
+    return keep_grams(found, wanted)
+
+
+def approximate_duplicates(sequences: DataFrame, n: int, least: int = 2, drop_last: bool = False) -> DataFrame:
     """gram_hash, n and the positions of hashes that occur at least ``least`` times.
 
-    Counts come first (combined before the shuffle), so positions are gathered only for hashes that repeat.
+    Counts come first (combined before the shuffle); then only windows of hashes that repeat are moved.
     """
-    often = hashes.groupBy("gram_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return hashes.join(often, "gram_hash").select("gram_hash", "n", "sequence_id", "offset")
+    often = gram_hashes(sequences, n, drop_last).groupBy("gram_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    often = written(often, "often")
+    return windows_of(sequences, often, n, drop_last).join(often, "gram_hash").select("gram_hash", "n", "sequence_id", "offset")
+
+
+def keyed_windows(sequences: DataFrame, n: int, drop_last: bool = False, wanted: membership.Slices | None = None, offset: int | None = None, keys: Keys = windows.window_keys) -> DataFrame:
+    """sequence_id, offset, key and gram of the windows of n tokens: of those whose key may be wanted, or of those at one offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in windows.parts(batch.column(1), n, drop_last):
+                key = keys(part.tokens, n)[part.start].view(np.int64)
+                keep = np.ones(len(key), bool) if wanted is None else wanted.passes(key)
+                if offset is not None:
+                    keep &= part.offset == offset
+                keep = np.flatnonzero(keep)
+                ids = batch.column(0).slice(part.rows.start, part.rows.stop - part.rows.start).take(pa.array(part.row[keep]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(part.offset[keep].astype(np.int32)), pa.array(key[keep]), windows.grams(part, keep, n)], names=["sequence_id", "offset", "key", "gram"])
+
+    return sequences.select(F.col("sequence_id").cast("long").alias("sequence_id"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "sequence_id long, offset int, key long, gram array<int>")
 
 
-def continuation_duplicates(sequences: DataFrame, offset: int = 32, n: int = 32, drop_last: bool = False) -> DataFrame:
-    """sequence_id and how often its n tokens at the offset occur at any offset of any sequence, itself included; 1 without them.
+def gram_counts(sequences: DataFrame, wanted: DataFrame, n: int, drop_last: bool = False, keys: Keys = windows.window_keys) -> DataFrame:
+    """key, gram and how often each wanted gram (rows of key and gram) occurs at any offset of any sequence.
 
-    Windows are narrowed to the grams asked for and counted by a 128-bit key, so that neither tokens nor other windows are moved
-    for longer than it takes to meet them; grams at the offset are grouped first, so copies don't multiply.
+    Tokens travel with the windows that pass the filter only, and are a part of the group, so grams that share a key are counted apart.
     """
-    keys = lambda gram: (gram_key(gram).alias("key_a"), F.xxhash64(F.lit(n), gram).alias("key_b"))
-    gram = F.when(F.size("tokens") >= offset + n, F.slice("tokens", offset + 1, n))
-    mine = sequences.select("sequence_id", gram.alias("gram")).select("sequence_id", *(F.when(F.col("gram").isNotNull(), k).alias(name) for k, name in zip(keys(F.col("gram")), ("key_a", "key_b"), strict=True)))
-    wanted = mine.where("key_a is not null").select("key_a", "key_b").distinct()
-    windows = gram_table(sequences, n, drop_last).select(*keys(F.col("gram")))
-    counts = windows.join(wanted, ["key_a", "key_b"], "left_semi").groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("times"))
-    return mine.join(counts, ["key_a", "key_b"], "left").select("sequence_id", F.coalesce("times", F.lit(1)).alias("sequence_duplicates"))
+    wanted = written(wanted.select("key", "gram").distinct(), "wanted")
+    found = None
+    for slices in membership.scans(wanted.select("key").distinct()):
+        one = keyed_windows(sequences, n, drop_last, slices, keys=keys).select("key", "gram")
+        found = one if found is None else found.union(one)
+    return found.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("times")).join(wanted, ["key", "gram"], "left_semi")
+
+
+def continuation_duplicates(sequences: DataFrame, offset: int = 32, n: int = 32, drop_last: bool = False, keys: Keys = windows.window_keys) -> DataFrame:
+    """sequence_id and how often its n tokens at the offset occur at any offset of any sequence, itself included; 1 without them."""
+    mine = written(keyed_windows(sequences, n, offset=offset, keys=keys).drop("offset"), "continuations")
+    counts = gram_counts(sequences, mine, n, drop_last, keys)
+    # Ids are expected to be unique, as everywhere in this module.
+    found = mine.join(counts, ["key", "gram"], "left").select("sequence_id", "times")
+    return sequences.select("sequence_id").join(found, "sequence_id", "left").select("sequence_id", F.coalesce("times", F.lit(1)).alias("sequence_duplicates"))
 
 
 def unique_prefixes(sequences: DataFrame, n: int = 64) -> DataFrame:

@@ -36,7 +36,7 @@ def polynomial_ngram_hash(spark, sf):
 @query(f"""WITH {_HASHES}, c AS (SELECT gram_hash, count(*) AS n FROM h GROUP BY gram_hash HAVING count(*) >= 2)
 SELECT gram_hash, n, sequence_id, "offset" FROM h JOIN c USING (gram_hash)""")
 def approx_duplicate_positions(spark, sf):
-    return D.approximate_duplicates(D.gram_hashes(sequences(spark, sf), 8)).withColumn("offset", F.col("offset").cast("long"))
+    return D.approximate_duplicates(sequences(spark, sf), 8).withColumn("offset", F.col("offset").cast("long"))
 
 
 @query(f"""WITH {_HASHES} SELECT DISTINCT gram_hash FROM h WHERE "offset" = 32""")
@@ -46,8 +46,8 @@ def distinct_continuation_grams(spark, sf):
 
 @query(f"""WITH {_HASHES} SELECT sequence_id, count(*) AS n FROM h WHERE gram_hash IN (SELECT gram_hash FROM h WHERE "offset" = 32) GROUP BY sequence_id""")
 def windows_of_continuation_grams(spark, sf):
-    h = D.gram_hashes(sequences(spark, sf), 8)
-    return D.keep_grams(h, D.grams_at(h, 32)).groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"))
+    s = sequences(spark, sf)
+    return D.windows_of(s, D.grams_at(D.gram_hashes(s, 8), 32), 8).groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SEQ} SELECT min(sequence_id) AS sequence_id FROM seq GROUP BY tokens")
