@@ -68,15 +68,15 @@ class Part:
     offset: np.ndarray  # of each window, in its row
 
 
-def parts(column: pa.ListArray, n: int, drop_last: bool = False) -> list[Part]:
-    """The windows of a list column, in parts of about STEP tokens.  A null list has none; a null token is -1."""
+def parts(column: pa.ListArray, n: int, drop_last: bool = False, whole: bool = False) -> list[Part]:
+    """The windows of a list column, in parts of about STEP tokens (or ``whole``, in one).  A null list has none; a null token is -1."""
     if column.null_count:
         column = column.fill_null([])
     off = column.offsets.to_numpy().astype(np.int64)
     values = column.values.fill_null(-1).to_numpy() if len(column.values) else np.zeros(0, np.int32)
     out, lo = [], 0
     while lo < len(column):
-        hi = min(len(column), max(lo + 1, int(np.searchsorted(off, off[lo] + STEP, "right")) - 1))
+        hi = len(column) if whole else min(len(column), max(lo + 1, int(np.searchsorted(off, off[lo] + STEP, "right")) - 1))
         count = np.maximum(np.diff(off[lo : hi + 1]) - n + (0 if drop_last else 1), 0)
         row = np.repeat(np.arange(hi - lo), count)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)

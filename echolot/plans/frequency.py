@@ -55,11 +55,9 @@ SELECT sequence_id, array_to_string(list(token_id ORDER BY i), ' ') AS tokens, a
   array_to_string(list(non_memorized ORDER BY i), ' ') AS non_memorized FROM ex JOIN counts USING (token_id) GROUP BY sequence_id""")
 def token_frequency_lists_by_kind(spark, sf):
     s = sequences(spark, sf)
-    counts = Q._small(Q.token_counts(s, memorized(spark, sf), "doc_id"))
-    rows = s.select("sequence_id", F.posexplode("tokens").alias("i", "token_id")).join(counts, "token_id")
-    lists = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("i", "token_id", "memorized", "non_memorized"))).alias("x"))
-    text = lambda c: F.array_join(F.transform("x", lambda x: x[c].cast("string")), " ")
-    return lists.select("sequence_id", text("token_id").alias("tokens"), text("memorized").alias("memorized"), text("non_memorized").alias("non_memorized"))
+    counts = written(Q.token_counts(s, memorized(spark, sf), "doc_id"), "counts")
+    lists = Q.token_lists(s, counts, {"memorized": "long", "non_memorized": "long"})
+    return lists.select("sequence_id", *(F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("tokens", "memorized", "non_memorized")))
 
 
 @query(f"""WITH {SEQ}, {MEM}, {COUNTS}, t AS (SELECT sum(memorized + non_memorized) AS total FROM counts), ex AS (SELECT sequence_id, unnest(tokens) AS token_id FROM seq)
@@ -68,7 +66,8 @@ SELECT sequence_id, max(memorized + non_memorized) AS max_occurrences, min(memor
 FROM ex JOIN counts USING (token_id), t GROUP BY sequence_id""")
 def sequence_frequency_extremes(spark, sf):
     s = sequences(spark, sf)
-    out = Q.sequence_extremes(s, Q.token_probabilities(Q.token_counts(s, memorized(spark, sf), "doc_id")))
+    counts = written(Q.token_counts(s, memorized(spark, sf), "doc_id"), "counts")
+    out = Q.sequence_extremes(s, Q.token_probabilities(counts))
     return out.withColumns({c: r9(F.col(c)) for c in ("max_perplexity", "min_perplexity")})
 
 

@@ -1,6 +1,7 @@
 """Golden values of the functions, and properties that must hold for any input."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -127,16 +128,31 @@ def test_token_statistics(spark):
     m, n = {5: 10, 7: 20}, {5: 1, 7: 2, 9: 3}
     tables = [spark.createDataFrame(list(x.items()), "token_id int, frequency long") for x in (m, n)]
     want = {1: ([11, 22, 11, None], 22, 44 / 3, 11.0, 11), 2: (None, None, None, None, None), 3: ([22], 22, 22.0, 22.0, 22)}
-    for made in (frequencies.frequency_statistics(rows, *tables), frequencies.frequency_statistics_in_place(rows, m, n)):
+    for made in (frequencies.frequency_statistics(rows, *tables), frequencies.frequency_statistics(rows, *tables, most=1), frequencies.frequency_statistics_in_place(rows, m, n)):
         got = {r.sequence_id: (r.frequencies, r.max_frequency, r.avg_frequency, r.median_frequency, r.p25_frequency) for r in made.collect()}
         assert got == want
 
 
-def test_vocabulary_join_is_broadcast_and_stays_in_the_jvm(spark):
-    rows = spark.createDataFrame([(1, [5, 7])], "sequence_id long, tokens array<int>")
-    t = spark.createDataFrame([(5, 1)], "token_id int, frequency long")
-    plan = frequencies.frequency_statistics(rows, t, t)._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan and "Python" not in plan.split("== Physical Plan ==")[1]
+def test_token_statistics_look_up_and_join_alike(spark):
+    """Random lists, nulls, repeated rows and further columns; the lookup moves no rows and keeps a null list's row."""
+    rng = random.Random(9)
+    lists = [[rng.randrange(40) for _ in range(rng.randrange(30))] for _ in range(300)]
+    rows = spark.createDataFrame([(i, t, i % 7, "x") for i, t in enumerate(lists)] + [(1000, None, 1, None), (1001, [3, None, 4], 1, "y")], "sequence_id long, tokens array<int>, frequency int, position string")
+    tables = [spark.createDataFrame([(t, rng.randrange(1, 100)) for t in range(start, 36)], "token_id int, frequency long") for start in (0, 5)]
+    one, two = frequencies.frequency_statistics(rows, *tables), frequencies.frequency_statistics(rows, *tables, most=3)
+    assert one.columns == two.columns and one.dtypes == two.dtypes
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+    def seen(df):
+        return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+
+    assert seen(one) == seen(two)
+    assert frequencies.frequency_statistics(rows.limit(0), *tables).count() == 0
+    table = tables[0].withColumnRenamed("frequency", "occurrences").withColumn("unigram_perplexity", F.col("occurrences") / 7)
+    assert seen(frequencies.sequence_extremes(rows, table, 5)) == seen(frequencies.sequence_extremes(rows, table, 5, most=3))
+    nothing = tables[0].limit(0)
+    assert {r.max_frequency for r in frequencies.frequency_statistics(rows, nothing, nothing).collect()} == {None}
 
 
 def test_metric_properties(spark):
