@@ -193,8 +193,8 @@ def _step(x: np.ndarray, h: np.ndarray, U: np.ndarray) -> tuple[np.ndarray, ...]
 
 
 def _exp(z: np.ndarray) -> np.ndarray:
-    """exp of scores, in place; rows are shifted only if they don't fit."""
-    if z.size and z.max() > 60:
+    """exp of scores, in place; rows are shifted only if one of them might overflow or vanish."""
+    if z.size and (z.max() > 60 or z.max(axis=1).min() < -60):
         z -= z.max(axis=1, keepdims=True)
     return np.exp(z, out=z)
 

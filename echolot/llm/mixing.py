@@ -1,16 +1,17 @@
 """Mixing documents to target weights with soft domain membership.
 
 A softmax classifier, trained on a bounded sample of labelled rows, gives every document a posterior over domains.  Then
-nonnegative rates are fitted by projected gradient: the expected tokens of a domain are the sum over documents of
-rate * tokens * posterior, and the squared distance of these totals from the targets is minimised, with a very small weight on
-the distance of rates from 1.  A step changes a rate by the inner product of the document's posterior with one small vector; steps
-add up, and rates are the sum's projection on nonnegative ones.  So the driver holds one small vector per step, and each pass over
-the posteriors, which are dealt over the cluster, returns one total for each domain.
+nonnegative rates are fitted by projected-gradient least squares: the expected tokens of a domain are the sum over documents of
+rate * tokens * posterior, and the squared distance of these totals from the targets is brought down by steps r <- max(0, r - step).
+A document's step is the inner product of its posterior with one small vector, so a document's rate is a replay of the steps so far;
+the driver holds that small vector for each step, and each pass over the posteriors, which are dealt over the cluster, returns one
+total for each domain.
 
 Defined cases: a null or empty text has no tokens, the posterior of an empty text, and a rate all the same; a null id is a
 row like others (and has no label); rows that share an id are documents of their own, with the same label; labels that
 repeat an id count once (the smallest domain); without any labelled row all posteriors are uniform; an empty table gives an
-empty result; ``mix`` keeps all columns.
+empty result; a very long text is a chunk of its own, and its copies leave the task in batches of bounded bytes; ``mix_documents`` keeps
+all columns.  Copies are drawn by row (from its id, its text and how often the chunk has had both), so rows without an id don't share a draw.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from .quality import Facts
-from .textops import LOWER, Chunk, chunks, mix, word_hashes
+from .textops import LOWER, Chunk, chunks, equal_runs, mix, range_hash, word_hashes
 
 #: Labelled rows that the classifier is fitted on at most (those of the least id hashes).
 LABEL_ROWS = 4000
+#: Bytes of a batch of copies.
+OUT_BYTES = 16 << 20
 #: Hashed word features.
 BUCKETS = 1 << 11
 #: Domains in order, and the share of all tokens that each is to have.
@@ -115,15 +118,16 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens (words) and p, the posterior of each domain."""
+    """doc_id, n_tokens (words), p (the posterior of each domain) and draw, the row's number from 0 to 1 that rounds its copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
                 n, p = model.posteriors(c)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(n), _lists(p)], names=["doc_id", "n_tokens", "p"])
+                ids = batch.column(0).slice(c.lo, c.n)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), _lists(p), pa.array(draws(ids, c))], names=["doc_id", "n_tokens", "p", "draw"])
 
-    return docs.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    return docs.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>, draw double")
 
 
 def _lists(p: np.ndarray) -> pa.Array:
@@ -131,70 +135,87 @@ def _lists(p: np.ndarray) -> pa.Array:
 
 
 def rates(p: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps of a path: from 1 along the steps together, and to zero where that is below."""
-    return np.maximum(0.0, 1.0 - p @ sum(path, np.zeros(p.shape[1])))
+    """Rates after the steps of a path: from 1, and after each step to zero where it is below."""
+    r = np.ones(len(p))
+    for step in path:
+        r = np.maximum(0.0, r - p @ step)
+    return r
 
 
-def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, tokens: float | None = None, most_passes: int = 60, tolerance: float = 1e-4) -> list[np.ndarray]:
+#: A step may bring the objective up, but not over all of so many before it; so many steps that hardly change it end a fit.
+LOOK_BACK = 5
+
+
+def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, tokens: float | None = None, most_passes: int = 200, tolerance: float = 1e-4) -> list[np.ndarray]:
     """The steps of a projected-gradient fit over a table with n_tokens and p.
 
-    targets: weight of each domain; tokens: the total to match (default: that of the table).  The gradient is scaled by the
-    inverse of the domains' Gram matrix over documents above zero, and a step is halved until it brings the objective down.
-    Totals that can't be reached, as those of a domain that no document belongs to, give a warning; domain_totals() says what
-    was reached.
+    targets: weight of each domain; tokens: the total to match (default: that of the table).  What is minimised is the squared distance of
+    the totals from the targets.  A step goes along its gradient over the rates, scaled by the inverse of the Gram matrix of the documents
+    whose rate is above zero (so that a scarce domain isn't slower than others), and every rate is projected before the next step; a
+    step is halved until the objective allows it.  The fit ends within ``tolerance`` of all tokens or where steps no longer bring
+    it down, as for targets that can't be reached; those give a warning, and domain_totals() says what was reached.
     """
     k = len(DOMAINS)
     weight = np.array([targets[d] for d in DOMAINS], float)
+    held = table.select(F.col("n_tokens").cast("double"), "p")
 
-    def totals(path: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Expected tokens of each domain, the Gram matrix of documents above zero, and half the tokens times squared rates."""
+    def totals(path: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of each domain, and the Gram matrix of the documents above zero."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(k + k * k + 1)
+            sums = np.zeros(k + k * k)
             for batch in batches:
                 n, p = batch.column(0).to_numpy(), batch.column(1).values.to_numpy().reshape(-1, k)
                 r = rates(p, path)
-                free = p * (r > 0)[:, None]
-                sums += np.concatenate(((n * r) @ p, ((free * n[:, None]).T @ free).ravel(), [0.5 * (n * r * r).sum()]))
+                free = p[r > 0]
+                sums += np.append((n * r) @ p, (free * n[r > 0][:, None]).T @ free)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["place", "x"])
 
-        found = dict(table.select(F.col("n_tokens").cast("double"), "p").mapInArrow(run, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect())
-        flat = np.array([found.get(i, 0.0) for i in range(k + k * k + 1)])
-        return flat[:k], flat[k:-1].reshape(k, k), float(flat[-1])
+        found = dict(held.mapInArrow(run, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect())
+        flat = np.array([found.get(i, 0.0) for i in range(k + k * k)])
+        return flat[:k], flat[k:].reshape(k, k)
 
     path: list[np.ndarray] = []
-    total, gram, energy = totals(path)
+    total, gram = totals(path)
     goal = weight / weight.sum() * (tokens if tokens is not None else total.sum())
     scale = max(goal.sum(), 1.0)
-    small = 1e-7 * scale
-    at, passes = np.zeros(k), 1
-    # What the steps bring down is the fit's dual: its gradient is what the totals miss.
-    height = lambda at, energy: energy + goal @ at + 0.5 * small * at @ at
-    while (error := float(np.abs(total - goal).max() / scale)) >= tolerance and passes < most_passes:
-        miss = total - goal - small * at
-        step = np.linalg.solve(gram + small * np.eye(k), miss)
-        before = height(at, energy)
-        while passes < most_passes:
-            total, gram, energy = totals([*path, step])
+    seen, passes, idle = [float(((total - goal) ** 2).sum())], 1, 0
+    while np.abs(total - goal).max() / scale >= tolerance and passes < most_passes and idle < LOOK_BACK:
+        # Directions in which no document differs have no step; without any document above zero all have the same.
+        step = (np.linalg.pinv(gram, 1e-9, hermitian=True) if gram.any() else np.eye(k) / scale) @ (total - goal)
+        for _ in range(20):
+            after, free = totals([*path, step])
             passes += 1
-            if height(at + step, energy) <= before - 1e-4 * miss @ step:
+            value = float(((after - goal) ** 2).sum())
+            if value < max(seen[-LOOK_BACK:]) or passes >= most_passes:
                 break
             step = step / 2
+        idle = idle + 1 if abs(value - seen[-1]) <= 1e-6 * seen[-1] else 0
         path.append(step)
-        at = at + step
+        seen.append(value)
+        total, gram = after, free
+    error = float(np.abs(total - goal).max() / scale)
     if error >= tolerance and goal.sum():
         warnings.warn(f"the domains' expected totals miss their targets by up to {error:.2g} of all tokens", stacklevel=2)
     return path
 
 
-def copies(r: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whole copies whose expectation over ids is the rate; an id always gets the same."""
-    u = (mix(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77))) >> np.uint64(11)).astype(float) / (1 << 53)
-    return np.floor(r + u).astype(np.int64)
+def draws(ids: pa.Array, c: Chunk) -> np.ndarray:
+    """A number from 0 to 1 for each row of a chunk, from its id, its text and its place among equal rows of the chunk."""
+    key = mix(pa.compute.fill_null(ids, -1).to_numpy().view(np.uint64) + np.uint64(77)) ^ range_hash(c.data, c.off[:-1], c.off[1:])
+    at, begin = equal_runs(key)
+    again = np.zeros(c.n, np.uint64)
+    again[at] = (np.arange(len(at)) - np.repeat(begin[:-1], np.diff(begin))).astype(np.uint64)
+    return (mix(mix(key) + again) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def copies(r: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Whole copies whose expectation over draws is the rate."""
+    return np.floor(r + draw).astype(np.int64)
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, id: str = "doc_id", text: str = "text", label_rows: int = LABEL_ROWS) -> DataFrame:
-    """doc_id, n_tokens, p, rate and copies of every row."""
+    """doc_id, n_tokens, p, rate and copies of every row; ``domain_totals`` sums them up."""
     table = written(with_posteriors(docs, fit_classifier(docs, labels, id, text, label_rows), id, text), "posteriors")
     path = fit_rates(table, targets)
     k = len(DOMAINS)
@@ -202,8 +223,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = rates(batch.column(2).values.to_numpy().reshape(-1, k), path)
-            ids = pa.compute.fill_null(batch.column(0), -1).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(copies(r, ids))], names=["doc_id", "n_tokens", "p", "rate", "copies"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(r), pa.array(copies(r, batch.column(3).to_numpy()))], names=["doc_id", "n_tokens", "p", "rate", "copies"])
 
     return table.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double, copies long")
 
@@ -227,9 +247,20 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.compute.fill_null(batch.column(i).cast(pa.int64()), -1).to_numpy()
+            ids = batch.column(i).cast(pa.int64())
             for c in chunks(batch.column(t)):
-                times = copies(rates(model.posteriors(c)[1], path), ids[c.lo : c.hi])
-                yield batch.slice(c.lo, c.n).take(pa.array(np.repeat(np.arange(c.n), times)))
+                r = rates(model.posteriors(c)[1], path)
+                yield from repeated_rows(batch.slice(c.lo, c.n), copies(r, draws(ids.slice(c.lo, c.n), c)), np.diff(c.off))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def repeated_rows(batch: pa.RecordBatch, times: np.ndarray, size: np.ndarray, most: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Each row so many times, in batches of about ``most`` bytes by the rows' sizes (of at least one row)."""
+    row = np.repeat(np.arange(len(times)), times)
+    end = np.cumsum(size[row] + 64)
+    lo = 0
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + most, "right")))
+        yield batch.take(pa.array(row[lo:hi]))
+        lo = hi

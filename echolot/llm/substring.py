@@ -47,12 +47,17 @@ def resolver(length: int = LENGTH, seed: int = SEED):
         i, j = ragged(b.n)
         back = b.anchor[i] - j  # words of window j before the seed
         at, begin = equal_runs(mix(left[i, back] + mix(right[i, most - back] ^ back.astype(np.uint64))))
-        lead = np.repeat(at[begin[:-1]], np.diff(begin))
-        later, lead = at[at != lead], lead[at != lead]
         first = w.first[:-1][i] + j
         lo, hi = w.start[first], w.end[first + length - 1]
         dup = np.zeros(len(i), bool)
-        dup[later] = same_bytes(c.data, lo[later], hi[later], lo[lead], hi[lead])
+        size = np.diff(begin)
+        while len(size):
+            # Windows that aren't those of their group's first make a group of their own, until every window has met its equals.
+            lead = np.repeat(at[np.cumsum(size) - size], size)
+            same = same_bytes(c.data, lo[at], hi[at], lo[lead], hi[lead])
+            dup[at[same & (at != lead)]] = True
+            size = np.add.reduceat(~same, np.cumsum(size) - size, dtype=np.int64)
+            at, size = at[~same], size[size > 0]
         return dup
 
     return resolve

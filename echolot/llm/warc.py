@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import table_path
+from ..scratch import table_path, written
 
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,8 +57,11 @@ def captures(pages: DataFrame, min_payload: int = 0) -> DataFrame:
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     )
-    # The row's place in its input partition tells repeated ids apart; it is fixed before any shuffle.
-    rows = rows.withColumn("digest", digest(F.col("payload").cast("binary"))).withColumn("me", F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("id"), F.monotonically_increasing_id().alias("row")))
+    # Ids that are unique are keys by themselves.  Otherwise rows get numbers, and are written so that both uses below see the same ones.
+    unique = rows.groupBy("page_id").count().where("count > 1").isEmpty()
+    rows = rows if unique else written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    me = F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("id"), (F.lit(0).cast("long") if unique else F.col("row")).alias("row"))
+    rows = rows.withColumn("digest", digest(F.col("payload").cast("binary"))).withColumn("me", me)
     # The payload's SHA-256 is a part of the key, so payloads that only share the SHA-1 never meet.
     rows = rows.withColumn("same", F.when(F.octet_length("payload") >= min_payload, F.concat(F.col("digest"), F.sha2("payload", 256))))
     first = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("me").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")

@@ -130,3 +130,35 @@ def test_stages_on_odd_rows(spark, sf):
         if name != "pack_windows":
             assert made.columns == docs.columns
         made.collect()
+
+
+def test_copies_of_a_long_text(spark):
+    """A text of 700 kB at a rate of thousands leaves in batches of bounded bytes, with none lost."""
+    import pyarrow as pa
+
+    size = np.array([10, 700_000, 5])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["x" * n for n in size])], names=["doc_id", "text"])
+    count, most = {1: 0, 2: 0, 3: 0}, 0
+    for part in mixing.repeated_rows(batch, np.array([2, 4000, 3]), size):
+        most = max(most, part.nbytes)
+        for i, n in Counter(part.column(0).to_pylist()).items():
+            count[i] += n
+    assert count == {1: 2, 2: 4000, 3: 3} and most < 20 << 20
+
+
+def test_rows_draw_their_own_copies(spark):
+    """Rows without an id, equal or not, round apart: of 2000 rows of rate 0.5 about half stay."""
+    import pyarrow as pa
+
+    from echolot.llm.textops import chunks
+
+    (c,) = chunks(pa.array(["same"] * 1000 + [f"text {i}" for i in range(1000)]))
+    draw = mixing.draws(pa.array([None] * 2000, pa.int64()), c)
+    kept = mixing.copies(np.full(2000, 0.5), draw)
+    assert 430 < kept[:1000].sum() < 570 and 430 < kept[1000:].sum() < 570
+
+
+def test_rates_replay_projected_steps():
+    p, path = np.array([[1.0, 0.0], [0.5, 0.5]]), [np.array([2.0, 0.0]), np.array([-1.0, 0.0])]
+    # The first rate is cut to zero before it grows again; steps that merely add up would give 0.
+    assert mixing.rates(p, path).tolist() == [1.0, 0.5]

@@ -109,6 +109,16 @@ def test_warc_odd_rows(spark, tmp_path):
     assert {r.record_type for r in all_responses.collect()} == {"response"}
 
 
+def test_warc_on_shuffled_input(spark):
+    """Each payload has one response, that of the smallest id, however the rows come; with repeated ids too."""
+    pages = spark.range(4000).selectExpr("id AS page_id", "'u' AS url", "concat('payload ', id % 50) AS html").repartition(16)
+    want = brute.warc([(i, f"payload {i % 50}") for i in range(4000)])
+    assert {tuple(r) for r in warc.page_digests(spark, pages).collect()} == want
+    twice = warc.page_digests(spark, pages.union(pages).repartition(7)).collect()
+    assert len(twice) == 8000 and sum(r.record_type == "response" for r in twice) == 50
+    assert all((r.refers_to is None) == (r.record_type == "response") and (r.refers_to is None or r.refers_to == r.page_id % 50) for r in twice)
+
+
 def test_chat(spark, sf):
     turns = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     turns += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
