@@ -1,41 +1,66 @@
-"""Classification metrics as grouped aggregates and windows over distinct scores.
+"""Classification metrics as grouped aggregates and running sums over distinct scores.
 
 Every function takes label (0 or 1) and score columns and optional group columns.  Rows are first reduced to one row for each
-distinct score of a group, so windows run over scores and not over rows.
+distinct score of a group; sums over the scores below are made over range partitions (ordering.py), so no group has to fit a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
+from .ordering import dealt, next_values, sums_before
+
 
 def _by_score(rows: DataFrame, label: str, score: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
 
 
+def _below(rows: DataFrame, label: str, score: str, keys: list[str]) -> DataFrame:
+    """keys, score, pos and neg of each distinct score, and how many of both are below it."""
+    return sums_before(dealt(_by_score(rows, label, score, keys), keys, ["score"]), keys, ["score"], {"pos_below": "pos", "neg_below": "neg"})
+
+
 def roc_auc(rows: DataFrame, label: str, score: str, *keys: str) -> DataFrame:
     """Area under ROC by mid-ranks: the share of (positive, negative) pairs in order, ties for half."""
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    t = _by_score(rows, label, score, list(keys)).select(*keys, "pos", "neg", won.alias("won"))
-    return t.groupBy(*keys).agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
+    t = _below(rows, label, score, list(keys))
+    won = F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)
+    return t.groupBy(*keys).agg(F.try_divide(F.sum(won), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
+
+
+def _curve(rows: DataFrame, label: str, score: str, keys: list[str]) -> DataFrame:
+    """curve() with pos, the positives of each score."""
+    t = written(_below(rows, label, score, keys), "scores")
+    total = t.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    t = t.alias("a").join(total.alias("b"), same).select("a.*", "b.p", "b.n")
+    t = t.select(*keys, "score", "pos", (F.col("p") - F.col("pos_below")).alias("tp"), (F.col("n") - F.col("neg_below")).alias("fp"), "p", "n")
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("tp").cast("double"), F.col("p"))
+    return t.select(*keys, "score", "pos", "p", "tp", "fp", precision.alias("precision"), recall.alias("recall"), F.try_divide(F.col("fp").cast("double"), F.col("n")).alias("fpr"), F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")).alias("f1"))
 
 
 def curve(rows: DataFrame, label: str, score: str, *keys: str) -> DataFrame:
     """For each distinct score as threshold (>=): tp, fp, precision, recall, fpr and f1."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*keys)
-    t = _by_score(rows, label, score, list(keys)).select(*keys, "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("tp").cast("double"), F.col("p"))
-    return t.select(*keys, "score", "tp", "fp", precision.alias("precision"), recall.alias("recall"), F.try_divide(F.col("fp").cast("double"), F.col("n")).alias("fpr"), F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")).alias("f1"))
+    return _curve(rows, label, score, list(keys)).drop("pos", "p")
 
 
 def average_precision(rows: DataFrame, label: str, score: str, *keys: str) -> DataFrame:
     """Step-wise sum of recall gains times precision (not the trapezoid)."""
-    t = curve(rows, label, score, *keys)
-    before = F.lag("recall", 1, 0.0).over(Window.partitionBy(*keys).orderBy(F.desc("score")))
-    return t.withColumn("gain", (F.col("recall") - before) * F.col("precision")).groupBy(*keys).agg(F.sum("gain").alias("average_precision"))
+    gain = F.try_divide(F.col("pos").cast("double"), F.col("p")) * F.col("precision")
+    return _curve(rows, label, score, list(keys)).groupBy(*keys).agg(F.sum(gain).alias("average_precision"))
+
+
+def area_under_precision_recall(rows: DataFrame, label: str, score: str, *keys: str) -> DataFrame:
+    """Area under the precision-recall curve by trapezoids over recall, from recall 0 at precision 1."""
+    k = list(keys)
+    t = _curve(rows, label, score, k).withColumn("down", -F.col("score"))
+    t = next_values(dealt(t, k, ["down"]), k, ["down"], {"next_recall": "recall", "next_precision": "precision"})
+    step = (F.col("next_recall") - F.col("recall")) * (F.col("next_precision") + F.col("precision")) / 2
+    top = F.max(F.struct("score", "recall", "precision"))  # closes the curve towards recall 0
+    return t.groupBy(*keys).agg(F.sum(F.coalesce(step, F.lit(0.0))).alias("__s"), top.alias("__t")).select(*keys, (F.col("__s") + F.col("__t.recall") * (1 + F.col("__t.precision")) / 2).alias("pr_auc"))
 
 
 def confusion(rows: DataFrame, label: str, predicted: str, *keys: str) -> DataFrame:

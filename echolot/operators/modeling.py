@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
 from .taxonomy import threshold_pair
 
 
@@ -91,9 +92,9 @@ def wald(model: LogisticRegressionModel, rows: DataFrame, features: list[str]) -
 
 
 def quantile_thresholds(rows: DataFrame, features: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> list[tuple[str, float, float]]:
-    """(feature, quantile, value), all features in one aggregate."""
-    r = rows.agg(*(F.percentile(F.col(c), F.array(*map(F.lit, quantiles))).alias(f"q{i}") for i, c in enumerate(features))).first()
-    return [(c, q, v) for i, c in enumerate(features) for q, v in zip(quantiles, r[f"q{i}"] or [], strict=False)]
+    """(feature, quantile, value), all features at once; the table is one group of any size."""
+    got = {(r["column"], r["share"]): r["value"] for r in ordering.quantiles(rows, features, list(quantiles)).collect()}
+    return [(c, q, got[c, q]) for c in features for q in quantiles if got.get((c, q)) is not None]
 
 
 def taxonomy_candidates(thresholds: list[tuple[str, float, float]], start: int = 0, end: int | None = None) -> list[tuple[str, Column]]:

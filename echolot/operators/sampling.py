@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import row_places
+
 
 def hash_order(id: str, seed: int) -> list[Column]:
     """A fixed pseudo-random order, with the id itself to settle ties."""
@@ -22,21 +24,25 @@ def sample_per_group(rows: DataFrame, n: int, group: Column, id: str, seed: int
     return rows.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
+def _placed(rows: DataFrame, group: str, id: str, seed: int) -> DataFrame:
+    """The rows with their place in the hash order of their group (__place) and its size (__n)."""
+    digest, own = hash_order(id, seed)
+    return row_places(rows, [group], {"__hash": digest, "__id": own})
+
+
 def balance_groups(rows: DataFrame, group: str, id: str, seed: int = 42) -> DataFrame:
     """Every group cut to the size of the smallest."""
-    least = rows.groupBy(group).count().agg(F.min("count").alias("__least"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*hash_order(id, seed)))
-    return rows.withColumn("__rank", rank).crossJoin(F.broadcast(least)).where("__rank <= __least").drop("__rank", "__least")
+    least = rows.groupBy(group).count().agg(F.min("count").alias("__least"))  # one row
+    return _placed(rows, group, id, seed).crossJoin(F.broadcast(least)).where("__place < __least").drop("__place", "__n", "__least")
 
 
 def stratified_split(rows: DataFrame, stratum: str, id: str, bounds: list[float], seed: int = 42) -> DataFrame:
     """Adds split: 0 for the first share of each stratum in hash order, 1 up to the next bound, and so on."""
-    w = Window.partitionBy(stratum)
-    place = (F.row_number().over(w.orderBy(*hash_order(id, seed))) - 1) / F.count(F.lit(1)).over(w)
+    place = F.col("__place") / F.col("__n")
     split = F.lit(len(bounds))
     for k in range(len(bounds) - 1, -1, -1):
         split = F.when(place < bounds[k], k).otherwise(split)
-    return rows.withColumn("split", split)
+    return _placed(rows, stratum, id, seed).withColumn("split", split).drop("__place", "__n")
 
 
 def fold_of(id: str, folds: int, seed: int = 42) -> Column:

@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import dealt, next_values, sums_before
+
 
 def mid_ranks(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     """value, rank and n for every distinct value: ties share their middle rank."""
     t = rows.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.withColumn("rank", before + (F.col("n") + 1) / 2)
+    t = sums_before(dealt(t, list(keys), ["value"]), list(keys), ["value"], {"before": "n"})
+    return t.select(*keys, "value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def pearson(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
@@ -33,16 +35,21 @@ def spearman(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
 def xi(rows: DataFrame, x: str, y: str, id: str, *keys: str) -> DataFrame:
     """Chatterjee's xi of y on x: 1 - n * sum|r(i+1) - r(i)| / (2 * sum l(i) * (n - l(i))), rows in order of x (ties by id).
 
-    r counts rows with y <= y(i), l those with y >= y(i).
+    r counts rows with y <= y(i), l those with y >= y(i).  Null where y is constant.
     """
-    part = Window.partitionBy(*keys)
+    k = list(keys)
     t = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), F.col(id).alias("id"))
     by = t.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("m"))
-    by = by.select(*keys, "y", F.sum("m").over(part.orderBy("y")).alias("r"), F.sum("m").over(part.orderBy(F.desc("y"))).alias("l"), F.sum("m").over(part).alias("n"))
-    t = t.join(by, [*keys, "y"])
-    step = F.abs(F.lead("r").over(part.orderBy("x", "id")) - F.col("r"))
-    t = t.withColumn("step", step)
-    return t.groupBy(*keys).agg((1 - F.max("n") * F.sum("step") / (2.0 * F.sum(F.col("l") * (F.col("n") - F.col("l"))))).alias("statistic"), F.max("n").alias("n"))
+    # Values of y are counted once; a group's n comes with the last sum.
+    by = sums_before(dealt(by, k, ["y"]), k, ["y"], {"before": "m"}).select(*(F.col(c).alias(f"__{c}") for c in k), F.col("y").alias("__y"), (F.col("before") + F.col("m")).alias("r"), "before")
+    same = F.col("y") == F.col("__y")
+    for c in k:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    t = t.join(by, same).drop("__y", *(f"__{c}" for c in k))
+    t = next_values(dealt(t, k, ["x", "id"]), k, ["x", "id"], {"next": "r"})
+    # l = n - before, so sum l (n - l) = n sum before - sum before^2.
+    n, b = F.count(F.lit(1)), F.col("before").cast("double")
+    return t.groupBy(*keys).agg((1 - F.try_divide(n * F.sum(F.abs(F.col("next") - F.col("r"))).cast("double"), 2.0 * (n * F.sum(b) - F.sum(b * b)))).alias("statistic"), n.alias("n"))
 
 
 def kl_divergence(rows: DataFrame, p: str, q: str, *keys: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
-from ..operators import sampling
+from ..operators import ordering, sampling
 from ..operators import taxonomy as T
 from .base import FRAME, frame, query, r9, table
 
@@ -93,14 +93,14 @@ def nunique_columns(spark, sf):
 @query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 6) AS q25, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_discount, 0.75), 6) AS q75
 FROM lineitem GROUP BY l_returnflag""")
 def quantile_thresholds(spark, sf):
-    q = lambda c, p: r9(F.percentile(c, F.lit(p)))
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(q("l_quantity", 0.25).alias("q25"), q("l_extendedprice", 0.5).alias("q50"), q("l_discount", 0.75).alias("q75"))
+    wanted = {"q25": ("l_quantity", 0.25), "q50": ("l_extendedprice", 0.5), "q75": ("l_discount", 0.75)}
+    return ordering.quantile_columns(table(spark, sf, "lineitem"), wanted, "l_returnflag").withColumns({c: r9(F.col(c)) for c in wanted})
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars > 10 AND n_chars <= (SELECT quantile_cont(n_chars, 0.99) FROM documents WHERE n_chars > 10)")
 def percentile_bound_filter(spark, sf):
     d = table(spark, sf, "documents").where("n_chars > 10").select("doc_id", "n_chars")
-    bound = d.agg(F.percentile("n_chars", F.lit(0.99)).alias("__bound"))  # one row
+    bound = ordering.quantile_columns(d, {"__bound": ("n_chars", 0.99)})  # one row
     return d.crossJoin(F.broadcast(bound)).where("n_chars <= __bound").drop("__bound")
 
 
@@ -108,9 +108,10 @@ def percentile_bound_filter(spark, sf):
   round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.75), 4) AS q75, max(o_totalprice) AS most FROM orders GROUP BY o_orderpriority""")
 def grouped_describe(spark, sf):
     x = F.col("o_totalprice")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    t = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("least"), q.alias("q"), F.max(x).alias("most"))
-    return t.withColumns({f"q{p}": F.round(F.col("q")[k], 4) for k, p in enumerate((25, 50, 75))}).drop("q")
+    o = table(spark, sf, "orders")
+    t = o.groupBy("o_orderpriority").agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("least"), F.max(x).alias("most"))
+    q = ordering.quantile_columns(o, {f"q{p}": ("o_totalprice", p / 100) for p in (25, 50, 75)}, "o_orderpriority")
+    return t.join(q, "o_orderpriority").withColumns({f"q{p}": F.round(f"q{p}", 4) for p in (25, 50, 75)})
 
 
 @query("""WITH b AS (SELECT least(floor((l_extendedprice - 900) / 5000), 20)::BIGINT AS bin FROM lineitem)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import quantile_columns
+
 #: Schemas of the known tables, as DDL.
 SCHEMAS = {
     "sequences": "sequence_id long, tokens array<int>",
@@ -119,10 +121,10 @@ def experiment_metrics(spark: SparkSession, pattern: str) -> DataFrame:
 
 def slice_by_percent(rows: DataFrame, key: str, first: int, last: int) -> DataFrame:
     """Rows whose key is in the given percent band of the key's range order (first to last)."""
-    bounds = rows.agg(F.percentile(F.col(key), F.array(F.lit(first / 100), F.lit(last / 100))).alias("b"))
+    bounds = quantile_columns(rows, {"__lo": (key, first / 100), "__hi": (key, last / 100)})
     out = rows.crossJoin(F.broadcast(bounds))  # one row
-    top = F.col(key) <= F.col("b")[1] if last == 100 else F.col(key) < F.col("b")[1]
-    return out.where((F.col(key) >= F.col("b")[0]) & top).drop("b")
+    top = F.col(key) <= F.col("__hi") if last == 100 else F.col(key) < F.col("__hi")
+    return out.where((F.col(key) >= F.col("__lo")) & top).drop("__lo", "__hi")
 
 
 def write_metrics_json(spark: SparkSession, metrics: dict[str, float], path: str) -> None:
