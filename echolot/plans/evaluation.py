@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..operators import metrics, modeling, stats
+from ..scratch import written
 from .base import FRAME, LENGTH, PIECES, frame, query, r9, sequences, spread, table
 
 
@@ -237,3 +238,81 @@ def bootstrapped_kl(spark, sf):
     f = frame(spark, sf).select("id", (F.col("duplicates") % 4).alias("bucket"), (F.col("score") + 0.001).alias("p"), (F.col("base_score") + 0.001).alias("q"))
     out = stats.kl_divergence(bootstrap_rows(f, 10, "id"), "p", "q", "bucket", "replicate")
     return out.groupBy("bucket").agg(r9(F.avg("symmetric")).alias("mean"), r9(F.stddev_pop("symmetric")).alias("sd"))
+
+
+def _area_sql(score: str) -> str:
+    return f"""SELECT fold, sum(x) AS area FROM (SELECT fold, (r - coalesce(lag(r) OVER w, 0)) * (p + coalesce(lag(p) OVER w, 1)) / 2 AS x FROM (SELECT fold, s, (sum(pos) OVER w)::DOUBLE / (sum(pos) OVER (PARTITION BY fold)) AS r, (sum(pos) OVER w)::DOUBLE / (sum(pos + neg) OVER w) AS p
+  FROM (SELECT fold, {score} AS s, sum(label) AS pos, sum(1 - label) AS neg FROM f GROUP BY ALL) WINDOW w AS (PARTITION BY fold ORDER BY s DESC)) WINDOW w AS (PARTITION BY fold ORDER BY s DESC)) GROUP BY fold"""
+
+
+@query(f"""WITH {FRAME}, f AS (SELECT ('0x' || substr(md5(id::VARCHAR || '-42'), 1, 8))::BIGINT % 10 AS fold, label, score, base_score FROM frame), a AS ({_area_sql('score')}), b AS ({_area_sql('base_score')})
+SELECT fold, round(a.area, 6) AS pr_auc, round(b.area, 6) AS base_pr_auc FROM a JOIN b USING (fold)""")
+def fold_precision_recall_areas(spark, sf):
+    from ..operators.sampling import fold_of
+
+    f = frame(spark, sf).withColumn("fold", fold_of("id", 10))
+    a, b = (metrics.area_under_precision_recall(f, "label", s, "fold").select("fold", r9(F.col("pr_auc")).alias(name)) for s, name in (("score", "pr_auc"), ("base_score", "base_pr_auc")))
+    return a.join(b, "fold")
+
+
+@query(f"""WITH {FRAME}, g AS (SELECT unnest(['all', lang]) AS lang, CASE WHEN nl_score >= 0.5 THEN 'nl' ELSE 'code' END AS subset, duplicates AS x, score AS y, id FROM frame),
+h AS (SELECT lang, unnest(['all', subset]) AS subset, x, y, id FROM g),
+r AS (SELECT lang, subset, x, id, count(*) OVER (PARTITION BY lang, subset ORDER BY y) AS r, count(*) OVER (PARTITION BY lang, subset ORDER BY y DESC) AS l, count(*) OVER (PARTITION BY lang, subset) AS n FROM h),
+d AS (SELECT lang, subset, l, n, abs(lead(r) OVER (PARTITION BY lang, subset ORDER BY x, id) - r) AS d FROM r)
+SELECT lang, subset, round(1 - max(n) * sum(d)::DOUBLE / nullif(2 * sum(l * (n - l))::DOUBLE, 0), 6) AS statistic, max(n) AS n FROM d GROUP BY ALL""")
+def xi_grid(spark, sf):
+    f = frame(spark, sf).select("lang", F.when(F.col("nl_score") >= 0.5, "nl").otherwise("code").alias("subset"), "duplicates", "score", "id")
+    return stats.xi(stats.in_groups(f, "lang", "subset"), "duplicates", "score", "id", "lang", "subset").withColumn("statistic", r9(F.col("statistic")))
+
+
+_SHARES = (0.25, 0.5, 0.75)
+
+
+@query(f"""WITH {FRAME} {" UNION ALL ".join(f"SELECT '{c}' AS feature, {q} AS quantile, round(quantile_cont({c}::DOUBLE, {q}), 6) AS value FROM frame" for c in ("length", "duplicates", "nl_score", "base_score") for q in _SHARES)}""")
+def feature_thresholds(spark, sf):
+    from ..operators.ordering import quantiles
+
+    q = quantiles(frame(spark, sf), _FEATURES, list(_SHARES))
+    return q.select(F.col("column").alias("feature"), F.col("share").alias("quantile"), r9(F.col("value")).alias("value"))
+
+
+@query(f"""WITH {FRAME}, t AS (SELECT id, CASE WHEN duplicates >= 6 THEN 'recitation' WHEN templating <> 0 THEN 'reconstruction' ELSE 'recollection' END AS taxonomy FROM frame)
+SELECT id, (taxonomy = 'recitation')::INT AS is_recitation, (taxonomy = 'reconstruction')::INT AS is_reconstruction, (taxonomy = 'recollection')::INT AS is_recollection FROM t""")
+def taxonomy_indicators(spark, sf):
+    from ..operators import taxonomy as T
+
+    t = frame(spark, sf).select("id", T.memorization_taxonomy(F.col("duplicates"), F.col("templating")).alias("taxonomy"))
+    return modeling.with_indicator(t, "taxonomy", [T.RECITATION, T.RECONSTRUCTION, T.RECOLLECTION]).drop("taxonomy")
+
+
+def searched(spark, sf):
+    """Models of all taxonomies by pairs of quantiles, fitted on nine tenths of the labelled documents, and all rows with their fold."""
+    from ..operators import search
+    from ..operators.sampling import fold_of
+
+    f = written(_matrix(spark, sf).withColumn("fold", fold_of("id", 10)).select("id", "fold", "label", *_FEATURES), "matrix")
+    found = search.candidates(modeling.quantile_thresholds(f, _FEATURES, _SHARES))
+    return search.fit_all(f.where("fold > 0"), _FEATURES, found), f
+
+
+@query()
+def taxonomy_search(spark, sf):
+    from ..operators import search
+
+    fits, f = searched(spark, sf)
+    return search.as_table(spark, [(name, round(x, 4)) for name, x in search.score_all(fits, f.where("fold = 0"))], "candidate string, log_loss double")
+
+
+@query()
+def taxonomy_weights(spark, sf):
+    from ..operators import search
+
+    return search.as_table(spark, [(*k, round(w, 4)) for *k, w in searched(spark, sf)[0].rows()], "candidate string, category int, feature string, weight double")
+
+
+@query()
+def taxonomy_wald(spark, sf):
+    from ..operators import search
+
+    fits, f = searched(spark, sf)
+    return search.as_table(spark, [(*k, round(w, 3)) for *k, w in search.wald_all(fits, f.where("fold > 0"))], "candidate string, category int, feature string, wald double")

@@ -80,6 +80,42 @@ def test_bootstrapped_divergence(spark, sf):
     assert {r.bucket for r in got} == whole and all(r["mean"] >= 0 and r.sd >= 0 for r in got)
 
 
+def test_taxonomy_search(spark, sf):
+    """The best and some other candidates against single fits in numpy, and weights and Wald statistics for the same ones."""
+    import numpy as np
+
+    from echolot.plans.evaluation import _FEATURES, searched
+
+    fits, f = searched(spark, sf)
+    data = f.toPandas()
+    found = {r.candidate: r.log_loss for r in QUERIES["taxonomy_search"](spark, sf).collect()}
+    weights = {(r.candidate, r.category, r.feature): r.weight for r in QUERIES["taxonomy_weights"](spark, sf).collect()}
+    wald = {(r.candidate, r.category, r.feature): r.wald for r in QUERIES["taxonomy_wald"](spark, sf).collect()}
+    assert len(fits.candidates) == 108 and found and len(weights) == 15 * len(found)
+    by_name = {c.name: c for c in fits.candidates}
+    for name in [*sorted(found, key=found.get)[:3], *sorted(found)[:3]]:
+        c = by_name[name]
+        one, two = data[c.first] >= c.t1, data[c.second] >= c.t2
+        total = n = 0
+        for k, mask in enumerate((one, ~one & two, ~one & ~two), 1):
+            x = np.hstack([data[_FEATURES].to_numpy(), np.ones((len(data), 1))])[mask]
+            y, fold = data.label.to_numpy()[mask].astype(float), data.fold.to_numpy()[mask]
+            a, b = x[fold > 0], y[fold > 0]
+            s = np.where(b == 1, len(b) / (2 * b.sum()), len(b) / (2 * (1 - b).sum()))
+            w = np.zeros(5)
+            for _ in range(60):
+                p = 1 / (1 + np.exp(-a @ w))
+                w = w - np.linalg.solve((a.T * (s * p * (1 - p))) @ a + np.diag([1, 1, 1, 1, 0]), a.T @ (s * (p - b)) + np.append(w[:4], 0))
+            assert np.allclose([weights[name, k, i] for i in [*_FEATURES, "intercept"]], w, atol=1e-4)
+            p = 1 / (1 + np.exp(-a @ w))
+            error = np.diag(np.linalg.pinv((a.T * (p * (1 - p))) @ a))
+            assert all(math.isclose(wald[name, k, i], w[j] ** 2 / error[j], rel_tol=1e-3, abs_tol=1e-2) for j, i in enumerate([*_FEATURES, "intercept"]) if (name, k, i) in wald)
+            p = 1 / (1 + np.exp(-x[fold == 0] @ w))
+            total -= np.log(np.where(y[fold == 0] == 1, p, 1 - p)).sum()
+            n += (fold == 0).sum()
+        assert math.isclose(found[name], total / n, abs_tol=1e-4)
+
+
 def test_all_queries_are_held():
-    plain = {"pattern_detection", "chunk_repetition", "chunk_repetition_ratios", "repeated_sublists", "frequent_substrings", "increasing_runs", "metric_pipeline", "logistic_predictions", "routed_taxonomy_predictions", "bootstrapped_kl"}
+    plain = {"pattern_detection", "chunk_repetition", "chunk_repetition_ratios", "repeated_sublists", "frequent_substrings", "increasing_runs", "metric_pipeline", "logistic_predictions", "routed_taxonomy_predictions", "bootstrapped_kl", "taxonomy_search", "taxonomy_weights", "taxonomy_wald"}
     assert QUERIES.keys() == ORACLE_SQL.keys() | plain
