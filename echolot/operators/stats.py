@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import dealt, next_values, sums_before
@@ -54,12 +54,21 @@ def xi(rows: DataFrame, x: str, y: str, id: str, *keys: str) -> DataFrame:
 
 def kl_divergence(rows: DataFrame, p: str, q: str, *keys: str) -> DataFrame:
     """KL(p, q), KL(q, p) and their mean for two positive columns, each normalised to sum 1 in its group."""
-    # sum(p/P ln(p/P : q/Q)) is sum(p ln(p/q)) / P - ln(P/Q), so one aggregate with partial sums does it.
+    t = rows.groupBy(*keys).agg(*(F.sum(c).alias(name) for name, c in kl_sums(p, q).items()))
+    return kl_of_sums(t).select(*keys, "kl", "kl_reverse", "symmetric")
+
+
+def kl_sums(p: str, q: str) -> dict[str, Column]:
+    """Columns whose sums make up the divergence: sum(p/P ln(p/P : q/Q)) is sum(p ln(p/q)) / P - ln(P/Q), so partial sums do."""
     a, b = F.col(p).cast("double"), F.col(q).cast("double")
-    t = rows.groupBy(*keys).agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * F.ln(a / b)).alias("ab"), F.sum(b * F.ln(b / a)).alias("ba"))
-    ratio = F.ln(F.col("a") / F.col("b"))
-    t = t.select(*keys, (F.col("ab") / F.col("a") - ratio).alias("kl"), (F.col("ba") / F.col("b") + ratio).alias("kl_reverse"))
-    return t.withColumn("symmetric", (F.col("kl") + F.col("kl_reverse")) / 2)
+    return {"__a": a, "__b": b, "__ab": a * F.ln(a / b), "__ba": b * F.ln(b / a)}
+
+
+def kl_of_sums(sums: DataFrame) -> DataFrame:
+    """kl, kl_reverse and symmetric from the sums; null where a sum is zero, as in a replicate that drew nothing."""
+    ratio = F.ln(F.try_divide("__a", "__b"))
+    t = sums.withColumns({"kl": F.try_divide("__ab", "__a") - ratio, "kl_reverse": F.try_divide("__ba", "__b") + ratio})
+    return t.withColumn("symmetric", (F.col("kl") + F.col("kl_reverse")) / 2).drop("__a", "__b", "__ab", "__ba")
 
 
 def paired_sums(rows: DataFrame, a: str, b: str, *keys: str) -> DataFrame:

@@ -233,13 +233,17 @@ def chunk_repetition_ratios(spark, sf):
 
 @query()
 def bootstrapped_kl(spark, sf):
-    from ..operators.sampling import bootstrap_rows
+    from ..operators.sampling import bootstrap_sums
 
     f = frame(spark, sf).select("id", (F.col("duplicates") % 4).alias("bucket"), (F.col("score") + 0.001).alias("p"), (F.col("base_score") + 0.001).alias("q"))
-    out = stats.kl_divergence(bootstrap_rows(f, 10, "id"), "p", "q", "bucket", "replicate")
+    out = stats.kl_of_sums(bootstrap_sums(f, stats.kl_sums("p", "q"), REPLICATES, "id", "bucket"))
     return out.groupBy("bucket").agg(r9(F.avg("symmetric")).alias("mean"), r9(F.stddev_pop("symmetric")).alias("sd"))
 
 
+#: Replicates of a bootstrap; rows aren't copied for them.
+REPLICATES = 1000
+
+
 def _area_sql(score: str) -> str:
     return f"""SELECT fold, sum(x) AS area FROM (SELECT fold, (r - coalesce(lag(r) OVER w, 0)) * (p + coalesce(lag(p) OVER w, 1)) / 2 AS x FROM (SELECT fold, s, (sum(pos) OVER w)::DOUBLE / (sum(pos) OVER (PARTITION BY fold)) AS r, (sum(pos) OVER w)::DOUBLE / (sum(pos + neg) OVER w) AS p
   FROM (SELECT fold, {score} AS s, sum(label) AS pos, sum(1 - label) AS neg FROM f GROUP BY ALL) WINDOW w AS (PARTITION BY fold ORDER BY s DESC)) WINDOW w AS (PARTITION BY fold ORDER BY s DESC)) GROUP BY fold"""

@@ -75,9 +75,44 @@ def test_fitted_models(spark, sf):
 
 
 def test_bootstrapped_divergence(spark, sf):
-    got = QUERIES["bootstrapped_kl"](spark, sf).collect()
-    whole = {r.bucket for r in QUERIES["bootstrapped_kl"](spark, sf).select(F.col("bucket")).collect()}
-    assert {r.bucket for r in got} == whole and all(r["mean"] >= 0 and r.sd >= 0 for r in got)
+    """Mean and deviation over the replicates that plain numpy makes from the same draws."""
+    import numpy as np
+
+    from echolot.operators.sampling import poisson_weights
+    from echolot.plans.base import frame
+    from echolot.plans.evaluation import REPLICATES
+
+    rows = frame(spark, sf).select(F.xxhash64("id").alias("h"), (F.col("duplicates") % 4).alias("bucket"), "score", "base_score").toPandas()
+    got = {r.bucket: (r["mean"], r.sd) for r in QUERIES["bootstrapped_kl"](spark, sf).collect()}
+    assert got.keys() == set(rows.bucket)
+    for bucket, part in rows.groupby("bucket"):
+        w = poisson_weights(part.h.to_numpy(), REPLICATES).astype(float)
+        p, q = part.score.to_numpy() + 0.001, part.base_score.to_numpy() + 0.001
+        p, q = w * (p / 1)[:, None], w * (q / 1)[:, None]
+        p, q = p / p.sum(axis=0), q / q.sum(axis=0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            both = np.where(w > 0, (p - q) * np.log(p / q), 0).sum(axis=0) / 2
+        assert np.allclose(got[bucket], (np.nanmean(both), np.nanstd(both)), atol=2e-6)
+
+
+def test_bootstrap_sums(spark):
+    """Sums of groups, a null one too, by fixed draws; a row for each group and replicate however many rows there are."""
+    import numpy as np
+
+    from echolot.operators import sampling
+
+    df = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'big' WHEN id % 5 > 0 THEN concat('g', id % 7) END AS g", "IF(id % 11 = 0, null, id / 7.0) AS x", "id % 4 AS k").repartition(5)
+    data = df.withColumn("h", F.xxhash64("id")).toPandas()
+    got = {(r.g, r.k, r.replicate): (r.n, r.s) for r in sampling.bootstrap_sums(df, {"n": F.lit(1), "s": F.col("x")}, 50, "id", "g", "k").collect()}
+    for (g, k), part in data.groupby(["g", "k"], dropna=False):
+        w = sampling.poisson_weights(part.h.to_numpy(), 50)
+        x = part.x.astype(float).fillna(0).to_numpy()
+        for r in range(50):
+            assert np.allclose(got[g if isinstance(g, str) else None, k, r], (w[:, r].sum(), w[:, r] @ x))
+    assert len(got) == 50 * len(data.groupby(["g", "k"], dropna=False))
+    whole = sampling.bootstrap_sums(df, {"n": F.lit(1)}, 1000, "id").toPandas()
+    assert len(whole) == 1000 and abs(whole.n.mean() - 2000) < 10 and 35 < whole.n.std() < 55
+    assert sampling.bootstrap_sums(df.limit(0), {"n": F.lit(1)}, 10, "id", "g").count() == 0
 
 
 def test_taxonomy_search(spark, sf):
