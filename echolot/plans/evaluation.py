@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import patterns
+from ..functions import patterns, repeats
+from ..functions.sequences import count_sublist
 from ..operators import metrics, modeling, stats
 from ..scratch import written
 from .base import FRAME, LENGTH, PIECES, frame, query, r9, sequences, spread, table
@@ -130,20 +131,28 @@ def pattern_detection(spark, sf):
 
 @query()
 def chunk_repetition(spark, sf):
-    s = sequences(spark, sf).withColumn("c", patterns.chunk("tokens"))
+    s = sequences(spark, sf).withColumn("c", repeats.chunk("tokens"))
     return s.select("sequence_id", F.array_join(F.col("c.chunk").cast("array<string>"), "_").alias("chunk"), "c.k")
 
 
 @query()
 def repeated_sublists(spark, sf):
-    s = sequences(spark, sf).withColumn("sub", patterns.repeated_sublist("tokens"))
+    s = sequences(spark, sf).withColumn("sub", repeats.repeated_sublist("tokens"))
     return s.select("sequence_id", F.array_join(F.col("sub").cast("array<string>"), "_").alias("sublist"), F.size("sub").alias("n"))
 
 
+@query()
+def repeated_sublist_ratios(spark, sf):
+    """Length of the longest repeated sublist times its occurrences (of its digits in those of the tokens), over the number of tokens."""
+    s = sequences(spark, sf).withColumn("sub", repeats.repeated_sublist("tokens"))
+    s = s.select("sequence_id", F.size("sub").alias("n"), count_sublist(F.col("tokens"), F.col("sub")).cast("long").alias("occurrences"), F.size("tokens").alias("of"))
+    return s.select("sequence_id", "n", "occurrences", r9(F.col("n") * F.col("occurrences") / F.col("of")).alias("ratio"))
+
+
 @query()
 def frequent_substrings(spark, sf):
     s = sequences(spark, sf).select("sequence_id", F.array_join(F.col("tokens").cast("array<string>"), "").alias("digits"))
-    return s.select("sequence_id", patterns.frequent_substring("digits").alias("substring"))
+    return s.select("sequence_id", repeats.frequent_substring("digits").alias("substring"))
 
 
 @query()

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import measures, patterns, sequences
+from ..functions import measures, patterns, repeats, sequences
 from ..operators import frequencies
 from ..scratch import cut
 
@@ -63,7 +63,7 @@ def token_frequency_statistics(rows: DataFrame, features: FeatureSet) -> DataFra
 
 def highly_repetitive(rows: DataFrame, features: FeatureSet) -> DataFrame:
     """The chunk that the tokens repeat, and how often (-1: none)."""
-    return rows.withColumn("__c", patterns.chunk("tokens")).withColumns({"repeating_chunk": F.col("__c")["chunk"], "repeating_k": F.col("__c")["k"]}).drop("__c")
+    return rows.withColumn("__c", repeats.chunk("tokens")).withColumns({"repeating_chunk": F.col("__c")["chunk"], "repeating_k": F.col("__c")["k"]}).drop("__c")
 
 
 def code_vs_natural_language(rows: DataFrame, features: FeatureSet) -> DataFrame:

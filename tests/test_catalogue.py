@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echolot.catalogue import ORACLE_SQL, QUERIES
 from echolot.functions import patterns
 from echolot.plans.base import sequences, table
+from tests import plain
 from tests.compare import connect, differences
 
 
@@ -40,17 +41,25 @@ def test_patterns(spark, sf):
 
 
 def test_chunks(spark, sf, tokens):
-    want = {i: patterns.repeating_chunk(t) for i, t in tokens.items()}
+    want = {i: plain.repeating_chunk(t) for i, t in tokens.items()}
     assert rows(spark, sf, "chunk_repetition") == {i: (joined(c), k) for i, (c, k) in want.items()}
     ratios = QUERIES["chunk_repetition_ratios"](spark, sf).collect()
     assert {r.k: r.n for r in ratios} == {k: sum(x == k for _, x in want.values()) for _, k in want.values()}
     assert all(math.isclose(r.ratio, r.n / len(want), abs_tol=1e-6) for r in ratios)
 
 
+def test_repeated_sublist_ratios(spark, sf, tokens):
+    got = {r.sequence_id: (r.n, r.occurrences, r.ratio) for r in QUERIES["repeated_sublist_ratios"](spark, sf).collect()}
+    for i, t in tokens.items():
+        sub = plain.longest_repeated_sublist(t)
+        n = "".join(map(str, t)).count("".join(map(str, sub)))
+        assert got[i][:2] == (len(sub), n) and math.isclose(got[i][2], len(sub) * n / len(t), abs_tol=1e-6)
+
+
 def test_sublists_substrings_and_runs(spark, sf, tokens):
-    subs = {i: patterns.longest_repeated_sublist(t) for i, t in tokens.items()}
+    subs = {i: plain.longest_repeated_sublist(t) for i, t in tokens.items()}
     assert rows(spark, sf, "repeated_sublists") == {i: (joined(s), len(s)) for i, s in subs.items()}
-    assert rows(spark, sf, "frequent_substrings") == {i: (patterns.most_frequent_substring(joined(t, "")),) for i, t in tokens.items()}
+    assert rows(spark, sf, "frequent_substrings") == {i: (plain.most_frequent_substring(joined(t, "")),) for i, t in tokens.items()}
     runs = {i: patterns.longest_increasing_run([str(x) for x in t]) for i, t in tokens.items()}
     assert rows(spark, sf, "increasing_runs") == {i: (len(r), joined(r)) for i, r in runs.items()}
 
@@ -61,7 +70,7 @@ def test_metric_pipeline(spark, sf, tokens):
     single = {r.sequence_id: r for r in QUERIES["token_frequency_statistics"](spark, sf).collect()}
     for r in got:
         assert (r.is_incrementing, r.is_repeating) == patterns.detect_pattern(r.text)
-        assert (list(r.repeating_chunk), r.repeating_k) == patterns.repeating_chunk(list(r.tokens))
+        assert (list(r.repeating_chunk), r.repeating_k) == plain.repeating_chunk(list(r.tokens))
         assert r.sequence_duplicates >= 1 and len(r.text.split()) <= 64
         assert (r.max_frequency, r.min_frequency, r.p25_frequency) == tuple(single[r.sequence_id][c] for c in ("max_frequency", "min_frequency", "p25_frequency"))
 
@@ -88,7 +97,7 @@ def test_bootstrapped_divergence(spark, sf):
     for bucket, part in rows.groupby("bucket"):
         w = poisson_weights(part.h.to_numpy(), REPLICATES).astype(float)
         p, q = part.score.to_numpy() + 0.001, part.base_score.to_numpy() + 0.001
-        p, q = w * (p / 1)[:, None], w * (q / 1)[:, None]
+        p, q = w * p[:, None], w * q[:, None]
         p, q = p / p.sum(axis=0), q / q.sum(axis=0)
         with np.errstate(invalid="ignore", divide="ignore"):
             both = np.where(w > 0, (p - q) * np.log(p / q), 0).sum(axis=0) / 2
@@ -152,5 +161,5 @@ def test_taxonomy_search(spark, sf):
 
 
 def test_all_queries_are_held():
-    plain = {"pattern_detection", "chunk_repetition", "chunk_repetition_ratios", "repeated_sublists", "frequent_substrings", "increasing_runs", "metric_pipeline", "logistic_predictions", "routed_taxonomy_predictions", "bootstrapped_kl", "taxonomy_search", "taxonomy_weights", "taxonomy_wald"}
+    plain = {"pattern_detection", "chunk_repetition", "chunk_repetition_ratios", "repeated_sublists", "frequent_substrings", "increasing_runs", "metric_pipeline", "logistic_predictions", "routed_taxonomy_predictions", "bootstrapped_kl", "repeated_sublist_ratios", "taxonomy_search", "taxonomy_weights", "taxonomy_wald"}
     assert QUERIES.keys() == ORACLE_SQL.keys() | plain

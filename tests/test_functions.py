@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from echolot.functions import measures, patterns, sequences
+from echolot.functions import measures, patterns, repeats, sequences
 from echolot.operators import frequencies, metrics, stats
+from tests import plain
 
 
 @pytest.mark.parametrize(
@@ -42,14 +43,14 @@ def test_pattern_is_never_both(text):
 
 
 def test_repetition():
-    assert patterns.repeating_chunk([1, 2, 3, 4] * 3 + [1], 2, 4) == ([1, 2, 3, 4], 3)
-    assert patterns.repeating_chunk([1, 1, 1, 1]) == ([1, 1], 2)
-    assert patterns.repeating_chunk([1, 2, 3]) == ([], -1)
-    assert patterns.repeating_chunk([]) == ([], -1)
-    assert patterns.longest_repeated_sublist([1, 2, 1, 3, 1, 3, 1, 2, 1]) == [1, 2, 1]
-    assert patterns.longest_repeated_sublist([]) == []
-    assert patterns.most_frequent_substring("abab") == "ab"
-    assert patterns.most_frequent_substring("a") is None
+    assert plain.repeating_chunk([1, 2, 3, 4] * 3 + [1], 2, 4) == ([1, 2, 3, 4], 3)
+    assert plain.repeating_chunk([1, 1, 1, 1]) == ([1, 1], 2)
+    assert plain.repeating_chunk([1, 2, 3]) == ([], -1)
+    assert plain.repeating_chunk([]) == ([], -1)
+    assert plain.longest_repeated_sublist([1, 2, 1, 3, 1, 3, 1, 2, 1]) == [1, 2, 1]
+    assert plain.longest_repeated_sublist([]) == []
+    assert plain.most_frequent_substring("abab") == "ab"
+    assert plain.most_frequent_substring("a") is None
     assert patterns.longest_increasing_run(["a1", "a2", "a3", "a1"]) == ["a1", "a2", "a3"]
     assert patterns.longest_increasing_run(["1", "x"]) == []
 
@@ -67,14 +68,51 @@ def plain_sublist(tokens):
 @given(st.lists(st.integers(0, 2), max_size=24))
 @settings(max_examples=300, deadline=None)
 def test_longest_repeated_sublist(tokens):
-    assert patterns.longest_repeated_sublist(tokens) == plain_sublist(tokens)
+    assert plain.longest_repeated_sublist(tokens) == plain_sublist(tokens)
 
 
 @given(st.text("ab1", max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_most_frequent_substring(text):
     subs = {text[i:j] for i in range(len(text)) for j in range(i + 2, len(text) + 1)}
-    assert patterns.most_frequent_substring(text) == min(subs, key=lambda s: (-text.count(s), -len(s), s), default=None)
+    assert plain.most_frequent_substring(text) == min(subs, key=lambda s: (-text.count(s), -len(s), s), default=None)
+
+
+def windows_of(lists):
+    import numpy as np
+
+    return repeats.Windows(np.array(sum(lists, []), np.int64), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64))
+
+
+@given(st.lists(st.lists(st.integers(0, 2), max_size=30), max_size=6), st.integers(1, 6))
+@settings(max_examples=300, deadline=None)
+def test_batched_repeats(lists, copies):
+    """Several sequences at once, one of them periodic, give what the plain rules give one by one."""
+    lists = [*lists, (lists[0] if lists else [1, 2]) * copies]
+    w = windows_of(lists)
+    for t, a, n in zip(lists, *repeats.longest_repeats(w), strict=True):
+        assert t[a : a + n] == plain.longest_repeated_sublist(t)
+    for t, n, k in zip(lists, *repeats.repeated_chunks(w), strict=True):
+        assert (t[:n], k) == plain.repeating_chunk(t)
+    for t, a, n in zip(lists, *repeats.most_frequent(w), strict=True):
+        text = "".join(map(str, t))
+        assert (text[a : a + n] or None) == plain.most_frequent_substring(text)
+
+
+def test_repeats_of_long_sequences():
+    """One item, one period, and no repeat, of a size at which anything quadratic would not end."""
+    n = 200_000
+    lists = [[7] * n, list(range(1000)) * (n // 1000), list(range(n)), []]
+    w = windows_of(lists)
+    assert [x.tolist() for x in repeats.longest_repeats(w)] == [[0, 0, 0, 0], [n // 2, n // 2, 0, 0]]
+    assert [x.tolist() for x in repeats.repeated_chunks(w)] == [[n // 2, n // 2, 0, 0], [2, 2, -1, -1]]
+    assert [x.tolist() for x in repeats.most_frequent(w)] == [[0, 0, 0, 0], [2, 1000, n, 0]]
+
+
+def test_repeat_columns(spark):
+    rows = spark.createDataFrame([(1, [1, 2, 1, 3, 1, 3, 1, 2, 1], "abab"), (2, None, None), (3, [], "a"), (4, [5, 5, 5, 5], "é😀é😀x"), (5, [1, None, 1, None], "")], "id int, t array<int>, s string")
+    got = {r.id: (r.a, r.b and (r.b.chunk, r.b.k), r.c) for r in rows.select("id", repeats.repeated_sublist("t").alias("a"), repeats.chunk("t").alias("b"), repeats.frequent_substring("s").alias("c")).collect()}
+    assert got == {1: ([1, 2, 1], ([], -1), "ab"), 2: (None, None, None), 3: ([], ([], -1), None), 4: ([5, 5], ([5, 5], 2), "é😀"), 5: ([1, None], ([1, None], 2), None)}
 
 
 @given(st.text("ab", max_size=14))
