@@ -32,7 +32,14 @@ def gram_hashes(sequences: DataFrame, n: int, drop_last: bool = False) -> DataFr
     return _hashed(sequences, n, drop_last, None)
 
 
+def _check(n: int, offset: int = 0) -> None:
+    if n < 1 or offset < 0:
+        raise ValueError(f"windows of {n} tokens from offset {offset} on")
+
+
 def _hashed(sequences: DataFrame, n: int, drop_last: bool, wanted: membership.Slices | None) -> DataFrame:
+    _check(n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in windows.parts(batch.column(1), n, drop_last):
@@ -76,6 +83,7 @@ def approximate_duplicates(sequences: DataFrame, n: int, least: int = 2, drop_la
 
 def keyed_windows(sequences: DataFrame, n: int, drop_last: bool = False, wanted: membership.Slices | None = None, offset: int | None = None, keys: Keys = windows.window_keys) -> DataFrame:
     """sequence_id, offset, key and gram of the windows of n tokens: of those whose key may be wanted, or of those at one offset."""
+    _check(n, offset or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

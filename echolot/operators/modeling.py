@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import json
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ordering
@@ -131,12 +132,19 @@ def search_taxonomies(train_rows: DataFrame, test_rows: DataFrame, features: lis
     return sorted(out, key=lambda x: x[1])
 
 
-def save_model(model: LogisticRegressionModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: LogisticRegressionModel, path: str, features: list[str] | None = None, **metadata) -> None:
+    """The model under path/model, and path/metadata with one JSON document: the weight of each feature, the intercept, and what else is given."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    weights = model.coefficients.toArray().tolist()
+    document = {"weights": dict(zip(features or [f"x{i}" for i in range(len(weights))], weights, strict=True)), "intercept": float(model.intercept)} | metadata
+    spark.createDataFrame([(json.dumps(document, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
-def load_model(path: str) -> LogisticRegressionModel:
-    return LogisticRegressionModel.load(path)
+def load_model(path: str) -> tuple[LogisticRegressionModel, dict]:
+    """The model and its metadata."""
+    (line,) = SparkSession.active().read.text(f"{path}/metadata").collect()
+    return LogisticRegressionModel.load(f"{path}/model"), json.loads(line[0])
 
 
 def with_indicator(rows: DataFrame, taxonomy: str, categories: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordering import quantile_columns
+from ..operators.ordering import quantile_columns, row_places
 
 #: Schemas of the known tables, as DDL.
 SCHEMAS = {
@@ -68,6 +68,11 @@ def read_hashes_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["gram_hashes"]).option("header", False).csv(path)
 
 
+def write_hashes_csv(hashes: DataFrame, path: str) -> None:
+    """The same: sequence, offset and hash of each window, without a header; a file for each partition."""
+    hashes.select("sequence_id", "offset", "gram_hash").write.option("header", False).csv(path)
+
+
 def write_report_csv(rows: DataFrame, path: str) -> None:
     rows.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
@@ -106,10 +111,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").try_cast("long").alias("sequence_id")).where("sequence_id is not null")
 
 
-def positions_text(positions: DataFrame, path: str) -> None:
-    """One line for each hash: the hash and its positions."""
-    lines = positions.groupBy("gram_hash").agg(F.sort_array(F.collect_list(F.concat_ws(":", "sequence_id", "offset"))).alias("p"))
-    lines.select(F.concat_ws(" ", F.col("gram_hash").cast("string"), F.array_join("p", " ")).alias("value")).write.mode("overwrite").text(path)
+def positions_text(positions: DataFrame, path: str, most: int = 100_000) -> None:
+    """Lines of a hash and its positions in order; a hash of more than ``most`` positions has a line for each ``most`` of them."""
+    placed = row_places(positions.select("gram_hash", "sequence_id", "offset"), ["gram_hash"], {"__s": F.col("sequence_id"), "__o": F.col("offset")})
+    lines = placed.groupBy("gram_hash", F.floor(F.col("__place") / most).alias("part")).agg(F.sort_array(F.collect_list(F.struct("sequence_id", "offset"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["sequence_id"].cast("string"), x["offset"].cast("string"))), " ")
+    lines.select(F.concat_ws(" ", F.col("gram_hash").cast("string"), text).alias("value")).write.mode("overwrite").text(path)
 
 
 def experiment_metrics(spark: SparkSession, pattern: str) -> DataFrame:

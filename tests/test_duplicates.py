@@ -89,3 +89,9 @@ def test_approximate_duplicates(spark, corpus):
     count = Counter(h for _, _, h in hashes)
     got = sorted(tuple(r) for r in duplicates.approximate_duplicates(df, 5, least=3).collect())
     assert got == sorted((h, count[h], i, o) for i, o, h in hashes if count[h] >= 3)
+
+
+def test_guards(spark, corpus):
+    for call in (lambda df: duplicates.gram_hashes(df, 0), lambda df: duplicates.continuation_duplicates(df, -1, 4), lambda df: duplicates.continuation_duplicates(df, 1, 0)):
+        with pytest.raises(ValueError, match="windows of"):
+            call(corpus[1])

@@ -251,8 +251,10 @@ def test_models(spark, tmp_path):
     assert np.abs(x.T @ (weight * (p - y)) + w[:2]).max() < 1e-3  # gradient of the penalised loss with C = 1
     wald = dict(modeling.wald(model, rows, ["a", "b"]))
     assert wald["a"] > 50 > wald["b"]
-    modeling.save_model(model, str(tmp_path / "m"))
-    assert modeling.load_model(str(tmp_path / "m")).intercept == model.intercept
+    modeling.save_model(model, str(tmp_path / "m"), ["a", "b"], taxonomy="all")
+    again, document = modeling.load_model(str(tmp_path / "m"))
+    assert again.intercept == model.intercept == document["intercept"] and document["taxonomy"] == "all"
+    assert document["weights"] == dict(zip("ab", model.coefficients.toArray().tolist(), strict=True))
     thresholds = modeling.quantile_thresholds(rows, ["a", "b"])
     assert len(modeling.taxonomy_candidates(thresholds)) == 18
     with pytest.raises(ValueError, match="candidates"):
