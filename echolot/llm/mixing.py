@@ -3,7 +3,8 @@
 A softmax classifier, trained on a bounded sample of labelled rows, gives every document a posterior over domains.  Then
 nonnegative rates are fitted by projected-gradient least squares: the expected tokens of a domain are the sum over documents of
 rate * tokens * posterior, and the squared distance of these totals from the targets is brought down by steps r <- max(0, r - step).
-A document's step is the inner product of its posterior with one small vector, so a document's rate is a replay of the steps so far;
+A document's step is its tokens times the inner product of its posterior with one small vector, so its rate is a replay of the steps so
+far, a longer document of a scarce domain is repeated more than a short one, and one without tokens keeps its rate;
 the driver holds that small vector for each step, and each pass over the posteriors, which are dealt over the cluster, returns one
 total for each domain.
 
@@ -134,26 +135,28 @@ def _lists(p: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
 
 
-def rates(p: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps of a path: from 1, and after each step to zero where it is below."""
-    r = np.ones(len(p))
+def rates(n: np.ndarray, p: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
+    """Rates of documents of n tokens and posteriors p after the steps of a path: from 1, and after each step to zero where it is below."""
+    r, a = np.ones(len(p)), p * n[:, None]
     for step in path:
-        r = np.maximum(0.0, r - p @ step)
+        r = np.maximum(0.0, r - a @ step)
     return r
 
 
-#: A step may bring the objective up, but not over all of so many before it; so many steps that hardly change it end a fit.
-LOOK_BACK = 5
+#: Share of its trace that is added to the Gram matrix of a step: a domain that hardly any document belongs to is chased in smaller steps.
+DAMPING = 1e-4
+#: A fit ends after two steps that bring the objective down by less than this share of it.
+PROGRESS = 1e-3
 
 
-def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, tokens: float | None = None, most_passes: int = 200, tolerance: float = 1e-4) -> list[np.ndarray]:
+def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, tokens: float | None = None, most_passes: int = 100, tolerance: float = 1e-4) -> list[np.ndarray]:
     """The steps of a projected-gradient fit over a table with n_tokens and p.
 
     targets: weight of each domain; tokens: the total to match (default: that of the table).  What is minimised is the squared distance of
-    the totals from the targets.  A step goes along its gradient over the rates, scaled by the inverse of the Gram matrix of the documents
-    whose rate is above zero (so that a scarce domain isn't slower than others), and every rate is projected before the next step; a
-    step is halved until the objective allows it.  The fit ends within ``tolerance`` of all tokens or where steps no longer bring
-    it down, as for targets that can't be reached; those give a warning, and domain_totals() says what was reached.
+    the totals from the targets.  A step goes along the gradient over the rates, scaled by the inverse of the damped Gram matrix of the
+    documents whose rate is above zero (so that a scarce domain isn't slower than others), and every rate is projected before the next
+    step; a step is halved until it brings the objective down.  The fit ends within ``tolerance`` of all tokens, or where steps make no
+    more PROGRESS, as for targets that can't be reached; those give a warning, and domain_totals() says what was reached.
     """
     k = len(DOMAINS)
     weight = np.array([targets[d] for d in DOMAINS], float)
@@ -166,9 +169,9 @@ def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, tokens:
             sums = np.zeros(k + k * k)
             for batch in batches:
                 n, p = batch.column(0).to_numpy(), batch.column(1).values.to_numpy().reshape(-1, k)
-                r = rates(p, path)
-                free = p[r > 0]
-                sums += np.append((n * r) @ p, (free * n[r > 0][:, None]).T @ free)
+                r, a = rates(n, p, path), p * n[:, None]
+                free = a[r > 0]
+                sums += np.append(r @ a, free.T @ free)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["place", "x"])
 
         found = dict(held.mapInArrow(run, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect())
@@ -179,21 +182,20 @@ def fit_rates(table: DataFrame, targets: Mapping[str, float] = TARGETS, tokens:
     total, gram = totals(path)
     goal = weight / weight.sum() * (tokens if tokens is not None else total.sum())
     scale = max(goal.sum(), 1.0)
-    seen, passes, idle = [float(((total - goal) ** 2).sum())], 1, 0
-    while np.abs(total - goal).max() / scale >= tolerance and passes < most_passes and idle < LOOK_BACK:
-        # Directions in which no document differs have no step; without any document above zero all have the same.
-        step = (np.linalg.pinv(gram, 1e-9, hermitian=True) if gram.any() else np.eye(k) / scale) @ (total - goal)
-        for _ in range(20):
+    value = lambda total: float(((total - goal) ** 2).sum())
+    passes, idle, better = 1, 0, True
+    while np.abs(total - goal).max() / scale >= tolerance and passes < most_passes and idle < 2 and better and gram.any():
+        step = np.linalg.solve(gram + DAMPING * np.trace(gram) * np.eye(k), total - goal)
+        for _ in range(12):
             after, free = totals([*path, step])
             passes += 1
-            value = float(((after - goal) ** 2).sum())
-            if value < max(seen[-LOOK_BACK:]) or passes >= most_passes:
+            if better := value(after) < value(total):
                 break
             step = step / 2
-        idle = idle + 1 if abs(value - seen[-1]) <= 1e-6 * seen[-1] else 0
-        path.append(step)
-        seen.append(value)
-        total, gram = after, free
+        if better:
+            idle = idle + 1 if value(total) - value(after) <= PROGRESS * value(total) else 0
+            path.append(step)
+            total, gram = after, free
     error = float(np.abs(total - goal).max() / scale)
     if error >= tolerance and goal.sum():
         warnings.warn(f"the domains' expected totals miss their targets by up to {error:.2g} of all tokens", stacklevel=2)
@@ -222,7 +224,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = rates(batch.column(2).values.to_numpy().reshape(-1, k), path)
+            r = rates(batch.column(1).to_numpy(), batch.column(2).values.to_numpy().reshape(-1, k), path)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(r), pa.array(copies(r, batch.column(3).to_numpy()))], names=["doc_id", "n_tokens", "p", "rate", "copies"])
 
     return table.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double, copies long")
@@ -249,7 +251,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, floa
         for batch in batches:
             ids = batch.column(i).cast(pa.int64())
             for c in chunks(batch.column(t)):
-                r = rates(model.posteriors(c)[1], path)
+                r = rates(*model.posteriors(c), path)
                 yield from repeated_rows(batch.slice(c.lo, c.n), copies(r, draws(ids.slice(c.lo, c.n), c)), np.diff(c.off))
 
     return docs.mapInArrow(run, docs.schema)

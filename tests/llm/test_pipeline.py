@@ -52,7 +52,7 @@ def test_rates_match_targets(spark):
     n = rng.integers(10, 500, 400)
     table = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
     targets = {"clean": 0.7, "low": 0.2, "toxic": 0.1}
-    r = mixing.rates(p, mixing.fit_rates(table, targets))
+    r = mixing.rates(n, p, mixing.fit_rates(table, targets))
     assert (r >= 0).all()
     total = (n * r) @ p
     assert np.allclose(total / n.sum(), [0.7, 0.2, 0.1], atol=2e-3)
@@ -76,7 +76,7 @@ def test_scarce_domain_reaches_its_target(spark):
     rows = [(100, [float(x) for x in b]) for b in p]
     table = spark.createDataFrame(rows, "n_tokens long, p array<double>")
     assert mixing.TARGETS == {"clean": 0.9, "low": 0.08, "toxic": 0.02}
-    r = mixing.rates(p, mixing.fit_rates(table))
+    r = mixing.rates(np.full(len(p), 100), p, mixing.fit_rates(table))
     assert r.max() > 4
     rated = spark.createDataFrame([(*a, float(x)) for a, x in zip(rows, r, strict=True)], "n_tokens long, p array<double>, rate double")
     for domain, target, reached in mixing.domain_totals(rated).collect():
@@ -99,7 +99,7 @@ def test_rates_against_plain_least_squares(spark, seed, targets):
     pace = 1 / np.linalg.norm(a, 2) ** 2
     for _ in range(20000):
         r = np.maximum(0, r - pace * (a @ (a.T @ r - goal)))
-    got = mixing.rates(p, mixing.fit_rates(rate_table(spark, n, p), weight))
+    got = mixing.rates(n, p, mixing.fit_rates(rate_table(spark, n, p), weight))
     assert (got >= 0).all()
     miss = lambda r: np.abs(a.T @ r - goal).max() / n.sum()
     assert miss(got) <= miss(r) + 2e-3
@@ -161,4 +161,6 @@ def test_rows_draw_their_own_copies(spark):
 def test_rates_replay_projected_steps():
     p, path = np.array([[1.0, 0.0], [0.5, 0.5]]), [np.array([2.0, 0.0]), np.array([-1.0, 0.0])]
     # The first rate is cut to zero before it grows again; steps that merely add up would give 0.
-    assert mixing.rates(p, path).tolist() == [1.0, 0.5]
+    assert mixing.rates(np.array([1, 1]), p, path).tolist() == [1.0, 0.5]
+    # Steps are gradients over rates: they grow with a document's tokens, and leave one without tokens alone.
+    assert mixing.rates(np.array([0, 2]), p, path[1:]).tolist() == [1.0, 2.0]
