@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 #: Groups of up to so many values are left to Spark's percentile, which keeps a group's values in one task.
-SMALL_GROUP = 1 << 16
+SMALL_GROUP = 1 << 19
 _DIGIT = 16
 
 
