@@ -140,3 +140,48 @@ def test_every_training_document_is_learnt(spark):
     for i in (ids[3], ids[9], None):
         docs = lm._prepared(spark.createDataFrame([(i, text)], "doc_id long, text string"), "doc_id", "text")
         assert not np.allclose(lm.fit(docs, words, count).vector(), start)
+
+
+def test_scores_per_token():
+    """A token takes fewer than half of the scores of two softmaxes of equal width, and no word is left out."""
+    count = np.array([5_000_000, 100_000, *(10_000_000 // np.arange(10, 16_010))])
+    model = lm.Model(count)
+    target = np.sort(np.random.default_rng(5).choice(len(count), 20_000, p=count / count.sum()))
+    cells = sum((rows.stop - rows.start) * (places.stop - places.start) for _, _, _, pieces in model.levels(target) for rows, places in pieces)
+    assert cells / len(target) < math.sqrt(len(count))
+    every = np.arange(len(count))
+    assert np.allclose(np.exp(lm.log_probabilities(model, np.zeros((len(count), lm.HIDDEN), np.float32), every)), (count + 1) / (count.sum() + len(count)), rtol=1e-3)
+
+
+@pytest.mark.parametrize("much", [200, -200])
+def test_scores_that_overflow(much):
+    model, rng = tiny()
+    h = rng.standard_normal((50, lm.HIDDEN)).astype(np.float32)
+    x, y = rng.integers(0, model.size, (2, 10, 5))
+    want = lm.log_probabilities(model, h, y.ravel())
+    grad = lm.gradients(model, x, y, np.ones(x.shape), h[:5] / 4)[0]
+    for k in ("bc", "bw"):
+        model.p[k] = model.p[k] + np.float32(much)  # softmax stays as it is
+    assert np.allclose(lm.log_probabilities(model, h, y.ravel()), want, atol=1e-3)
+    got = lm.gradients(model, x, y, np.ones(x.shape), h[:5] / 4)[0]
+    assert all(np.allclose(got[k], grad[k], atol=1e-4) for k in grad)
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(6)
+    top = ~np.uint64(0)
+    near = np.arange(1000, 1100, dtype=np.uint64)  # share their leading bits
+    for word in (np.zeros(0, np.uint64), np.unique(np.concatenate((rng.integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2), near))), np.array([0, top], np.uint64)):
+        asked = np.concatenate((word, word + np.uint64(1), near, [np.uint64(0), top]))
+        at, there = lm.Places(word).find(asked)
+        assert (there == np.isin(asked, word)).all()
+        assert (word[at[there]] == asked[there]).all()
+
+
+def test_hashes_tell_words_apart():
+    """Words of up to 8 bytes are hashed on their own: with zeros at the end, and beside longer ones that begin alike."""
+    some = ["a", "a\0", "a\0\0", "\0", "b", "ab", "ba", "abcdefgh", "abcdefghi", "abcdefg", "abcdefg\0", "ä", "abcdefgh\0", "x" * 5000]
+    got, first = lm.tokens(next(lm.chunks(pa.array([" ".join(some), " ".join(w.upper() for w in some if w.isascii()), None]))))
+    assert len(set(got[: first[1]].tolist())) == len(some) + 1
+    assert set(got[first[1] : first[2]].tolist()) < set(got[: first[1]].tolist())
+    assert got[first[2] :].tolist() == [int(lm.END_HASH)]
