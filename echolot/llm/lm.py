@@ -591,7 +591,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         model, number = Model(count).load(flat), np.append(words.ids(frequent.word), np.int32(UNKNOWN))
         log_base = np.append(frequent.log_base(frequent.n), 0.0)
         unknown_base = np.where(number == UNKNOWN, log_base - other, 0.0)
-        unknown_base[-1] = -other
+        unknown_base[-1] = 0.0  # rare words: below
         for batch in batches:
             held: list[tuple[np.ndarray, ...]] = []
             lo = 0

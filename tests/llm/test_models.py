@@ -185,3 +185,15 @@ def test_hashes_tell_words_apart():
     assert len(set(got[: first[1]].tolist())) == len(some) + 1
     assert set(got[first[1] : first[2]].tolist()) < set(got[: first[1]].tolist())
     assert got[first[2] :].tolist() == [int(lm.END_HASH)]
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, sf, monkeypatch):
+    """Words beyond the frequent ones are outside the model's vocabulary like others, and share the unknown symbol's probability once."""
+    monkeypatch.setattr(lm.lexicon, "__defaults__", (0.2,))
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").coalesce(1).localCheckpoint()
+    want = {r.doc_id: r.score for r in lm.score(table).collect()}
+    monkeypatch.setattr(lm.frequent_words, "__defaults__", (300,))
+    got = {r.doc_id: r.score for r in lm.score(table).collect()}
+    assert want.keys() == got.keys()
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-3) for i in want)
