@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .neardup import components
+from .neardup import components, forest
 from .textops import LOWER, Chunk, chunks, inside, mix, ragged, range_hash, words
 
 WORDS, DISTANCE = 3, 3
@@ -166,23 +166,6 @@ def neighbours(fp: np.ndarray, size: np.ndarray, distance: int) -> Iterator[tupl
         lo = hi
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least place that each of n places is linked with, directly or through others."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while len(i):
-            a, b = root[i], root[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-    return root
-
-
 def group_edges(groups: DataFrame, distance: int) -> DataFrame:
     """u, v: a spanning forest of the links in each group, from rows of key and fp that are sorted by key."""
 

@@ -142,3 +142,30 @@ def test_keys_outside_an_origin(spark):
                     assert both_inside or set(got[i]["keys"]) & set(got[j]["keys"])
                     kinds.add(both_inside)
     assert kinds == {True, False}
+
+
+def test_strangers_in_a_groups_bucket_cost_no_texts(spark, monkeypatch):
+    """Texts that share half of a large group's words meet its buckets, but numbers alone rule their pairs out."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    base = [word() for _ in range(120)]
+    texts = [" ".join(base[:120] + [word()]) for _ in range(150)] + [" ".join(base[:84] + [word() for _ in range(37)]) for _ in range(20)]
+    rows, compared, plain = list(enumerate(texts)), [], neardup.compared_pairs
+    monkeypatch.setattr(neardup, "compared_pairs", lambda pairs, *more: (compared.append(pairs.count()), plain(pairs, *more))[1])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardup.near_duplicates(table, k=4).collect()} == brute.components(rows)
+    assert sum(compared[1:]) < 20 * 19  # of 20 strangers with 150 members and with one another
+
+
+@pytest.mark.parametrize("edges", [1 << 17, 8])
+def test_components_of_chains(spark, monkeypatch, edges):
+    """Tasks shrink their edges first, so that few tables are written; with few edges at once the rounds do the rest."""
+    monkeypatch.setattr(neardup, "EDGES", edges)
+    made, kept = [], neardup._kept
+    monkeypatch.setattr(neardup, "_kept", lambda df: (made.append(1), kept(df))[1])
+    rows = [(100 * c + i, 100 * c + i + 1) for c in range(3) for i in range(40)]
+    random.Random(16).shuffle(rows)
+    got = {tuple(r) for r in neardup.components(spark.createDataFrame([*rows, (7, 7), (7, 8)], "u long, v long")).collect()}
+    assert got == {(100 * c + i, 100 * c) for c in range(3) for i in range(1, 41)}
+    assert edges == 8 or len(made) <= 3
+    assert neardup.components(spark.createDataFrame([], "u long, v long")).count() == 0
