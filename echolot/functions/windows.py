@@ -89,3 +89,22 @@ def grams(part: Part, windows: np.ndarray, n: int) -> pa.ListArray:
     """The tokens of some windows."""
     at = part.start[windows][:, None] + np.arange(n)
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(windows) * n + 1, n, dtype=np.int32)), pa.array(part.tokens[at.ravel()].astype(np.int32)))
+
+
+def first_of_row(part: Part, n: int) -> np.ndarray:
+    """The windows (their numbers) that no earlier window of their row equals: keys bring equal ones together, tokens decide."""
+    key = window_keys(part.tokens, n)[part.start]
+    order = np.lexsort((part.offset, key, part.row))
+    if len(order) < 2:
+        return order
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero((key[a] == key[b]) & (part.row[a] == part.row[b]))
+    step = max(1, STEP // n)
+    differs = [at[(part.tokens[part.start[a[at]][:, None] + np.arange(n)] != part.tokens[part.start[b[at]][:, None] + np.arange(n)]).any(axis=1)] for at in (near[lo : lo + step] for lo in range(0, len(near), step))]
+    apart = np.concatenate(differs) if differs else near
+    if len(apart):  # different windows share a key: rows and tokens are sorted instead
+        whole = np.column_stack((part.row, part.tokens[part.start[:, None] + np.arange(n)]))
+        return np.sort(np.unique(whole, axis=0, return_index=True)[1])
+    new = np.ones(len(order), bool)
+    new[near + 1] = False
+    return order[new]

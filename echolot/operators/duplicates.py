@@ -27,6 +27,34 @@ def gram_table(sequences: DataFrame, n: int, drop_last: bool = False) -> DataFra
     return sequences.select("sequence_id", F.explode(ngrams(F.col("tokens"), n, drop_last)).alias("g")).select("sequence_id", "g.offset", "g.gram")
 
 
+def gram_totals(sequences: DataFrame, n: int, drop_last: bool = False) -> DataFrame:
+    """sequence_id, n and n_distinct: how many windows of n tokens a sequence has, and how many different ones; ids without windows have no row.
+
+    A sequence's windows are counted in the scan.  Only where several rows have an id their windows are moved, to be compared across rows.
+    """
+    _check(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in windows.parts(batch.column(1), n, drop_last):
+                size = part.rows.stop - part.rows.start
+                total = np.bincount(part.row, minlength=size)
+                distinct = np.bincount(part.row[windows.first_of_row(part, n)], minlength=size)
+                some = np.flatnonzero(total)
+                ids = batch.column(0).slice(part.rows.start, size).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(total[some]), pa.array(distinct[some])], names=["sequence_id", "n", "n_distinct"])
+
+    rows = sequences.select(F.col("sequence_id").cast("long").alias("sequence_id"), F.col("tokens").cast("array<int>").alias("tokens"))
+    each = rows.mapInArrow(run, "sequence_id long, n long, n_distinct long")
+    all_ = written(each.groupBy("sequence_id").agg(F.sum("n").alias("n"), F.sum("n_distinct").alias("n_distinct"), F.count(F.lit(1)).alias("rows")), "totals")
+    shared = all_.where("rows > 1").select(F.col("sequence_id").alias("id"))
+    if shared.isEmpty():
+        return all_.drop("rows")
+    of_several = gram_table(rows.join(shared, F.col("sequence_id").eqNullSafe(F.col("id")), "left_semi"), n, drop_last)
+    counted = of_several.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gram").alias("n_distinct"))
+    return all_.where("rows = 1").drop("rows").union(counted)
+
+
 def gram_hashes(sequences: DataFrame, n: int, drop_last: bool = False) -> DataFrame:
     """sequence_id, offset, gram_hash: the polynomial hash of every window; the tokens themselves go no further."""
     return _hashed(sequences, n, drop_last, None)

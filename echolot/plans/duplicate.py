@@ -14,7 +14,7 @@ GRAMS = SEQ + """, grams AS (SELECT sequence_id, i AS "offset", array_to_string(
 
 @query(f"WITH {GRAMS} SELECT sequence_id, count(*) AS n, count(DISTINCT gram) AS n_distinct FROM grams GROUP BY sequence_id")
 def ngram_enumerate_count(spark, sf):
-    return D.gram_table(sequences(spark, sf), 32).groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gram").alias("n_distinct"))
+    return D.gram_totals(sequences(spark, sf), 32)
 
 
 @query(f"""WITH {GRAMS}, c AS (SELECT gram, count(*) AS n FROM grams GROUP BY gram)

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from echolot.functions import windows
@@ -95,3 +96,28 @@ def test_guards(spark, corpus):
     for call in (lambda df: duplicates.gram_hashes(df, 0), lambda df: duplicates.continuation_duplicates(df, -1, 4), lambda df: duplicates.continuation_duplicates(df, 1, 0)):
         with pytest.raises(ValueError, match="windows of"):
             call(corpus[1])
+
+
+def test_gram_totals(spark, corpus, monkeypatch):
+    """Windows are counted in the scan; only those of ids with several rows are moved."""
+    rows, df = corpus
+    moved, table = [], duplicates.gram_table
+    monkeypatch.setattr(duplicates, "gram_table", lambda s, n, drop_last=False: (moved.append({r.sequence_id for r in s.collect()}), table(s, n, drop_last))[1])
+    grams = lambda t, n: [tuple(t[i : i + n]) for i in range(len(t) - n + 1)]
+    for n in (1, 4, 7):
+        got = {tuple(r) for r in duplicates.gram_totals(df, n).collect()}
+        assert got == {(i, len(g), len(set(g))) for i, t in enumerate(rows) if (g := grams(t, n))}
+    assert moved == []
+    more = spark.createDataFrame([(1, [1, 2, 1, 2, 3]), (1, [2, 3, 1]), (1, [5]), (None, [1, 2]), (None, [1, 2, 2]), (2, [7, 7, 7]), (3, [])], "sequence_id long, tokens array<int>")
+    assert {tuple(r) for r in duplicates.gram_totals(more, 2).collect()} == {(1, 6, 4), (None, 3, 2), (2, 2, 1)}
+    assert moved == [{1, None}]
+
+
+def test_first_windows_of_rows_that_share_a_key(monkeypatch):
+    rng = np.random.default_rng(9)
+    (part,) = windows.parts(pa.array(tokens(rng, 50, 2)), 3)
+    want = len({(r, *part.tokens[s : s + 3]) for r, s in zip(part.row.tolist(), part.start.tolist(), strict=True)})
+    assert len(windows.first_of_row(part, 3)) == want
+    plain = windows.window_keys
+    monkeypatch.setattr(windows, "window_keys", lambda t, n: plain(t, n) % np.uint64(3))
+    assert len(windows.first_of_row(part, 3)) == want
